@@ -1,0 +1,17 @@
+"""Broadcast hints only for frames whose row count is bounded by construction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast if ``df`` can hold at most a safe number of (narrow) rows.
+
+    ``max_rows`` is a bound the caller can prove (a limit, a sample size). Beyond the safe
+    number no hint is given and Spark joins by shuffle, or decides from measured sizes.
+    """
+    return F.broadcast(df) if max_rows <= MAX_BROADCAST_ROWS else df
