@@ -13,11 +13,14 @@ from itertools import permutations
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Executors need no installed copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+DOUBLE = T.DoubleType()
+LIMITS = T.StructType([T.StructField("conf_low", DOUBLE), T.StructField("conf_high", DOUBLE)])
 TINY = 1e-300
 CHI2_1_95 = 3.841458820694124  # Fixed value: 95 % point of chi-square with one degree of freedom.
 
@@ -84,6 +87,7 @@ def beta_ratio(a: float, b: float, x: float) -> float:
 def _rank_difference_tail(s: float, n: int, upper: bool) -> float:
     """P(S >= s) (or P(S < s)) for S, the sum of squared rank differences of n items."""
     largest = n * (n * n - 1) / 3.0
+    s += s % 2  # S itself is always even
     if s <= 0:
         return 1.0 if upper else 0.0
     if s > largest:
@@ -175,23 +179,23 @@ def profile_interval(a: float, b: float, a0: float, b0: float, intercept: bool)
     return math.exp(low), math.exp(high)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def normal_p_value(z: pd.Series) -> pd.Series:
     return z.map(two_sided_normal, na_action="ignore").astype(float)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def chi_square_p_value(statistic: pd.Series, df: pd.Series) -> pd.Series:
     values = [None if x != x or k != k or k <= 0 else chi_square_tail(x, k) for x, k in zip(statistic, df)]
     return pd.Series(values, dtype=float)
 
 
-@pandas_udf("double")
+@pandas_udf(DOUBLE)
 def spearman_p_value(rho: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([spearman_p(r, int(k), bool(t)) for r, k, t in zip(rho, n, ties)], dtype=float)
 
 
-@pandas_udf("conf_low double, conf_high double")
+@pandas_udf(LIMITS)
 def profile_limits(
     a: pd.Series, b: pd.Series, a0: pd.Series, b0: pd.Series, intercept: pd.Series
 ) -> pd.DataFrame:

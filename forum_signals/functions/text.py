@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Executors need no installed copy of this module.
@@ -34,7 +35,7 @@ COMMON_ENTITIES: dict[str, str] = {
 _OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);|[\t\n\f <&;]|\z)"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _unescape_any(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     from html import unescape
 
