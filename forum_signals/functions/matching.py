@@ -18,11 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forum_signals.functions.lexicon import CATEGORY_PREFIX, MAX_GAP, PHRASES
-from forum_signals.functions.text import UNICODE_SPACE
+from forum_signals.functions.text import ASCII_SPACE, UNICODE_SPACE, is_ascii
 
 HAS_MISCOMM = "has_miscomm"
 
-ASCII_SPACE = r"[\t-\r\x1c-\x20]"
 GAP = rf".{{1,{MAX_GAP}}}?"
 # Possessive, so that a long chain "a-a-a-..." is scanned without recursion. Blanks follow the
 # slot inside a phrase; at the end of a phrase the first run of letters already decides.
@@ -39,13 +38,20 @@ ALL_PHRASES: tuple[str, ...] = tuple(phrase for group in PHRASES.values() for ph
 def _fill(phrase: str, space: str) -> str:
     if phrase.endswith("{word}"):
         phrase = phrase.removesuffix("{word}") + FINAL_WORD
+    phrase = re.sub(r"\((?!\?)", "(?:", phrase)
     return phrase.replace("{word}", INNER_WORD).replace("{gap}", GAP).replace(r"\s", space)
 
 
-def _by_first_word(fragments: Iterable[str]) -> str:
-    """One alternation with shared first words, and shared first letters above them."""
+def _openings(fragment: str) -> list[str]:
+    """The fragment once per option of a group it starts with, so that it starts with a letter."""
+    group = re.match(r"\(\?:([^()]*)\)", fragment)
+    return [option + fragment[group.end() :] for option in group.group(1).split("|")] if group else [fragment]
+
+
+def _by_first_word(fragments: Iterable[str]) -> tuple[str, str]:
+    """The first letters, and one alternation with shared first letters and first words."""
     by_word: dict[str, list[str]] = {}
-    for fragment in fragments:
+    for fragment in (opened for f in fragments for opened in _openings(f)):
         word = re.match(r"[a-z']+(?= )", fragment)
         by_word.setdefault(word.group(0) if word else "", []).append(fragment)
     by_letter: dict[str, list[str]] = {}
@@ -53,29 +59,23 @@ def _by_first_word(fragments: Iterable[str]) -> str:
         if word:
             rest = "|".join(member[len(word) + 1 :] for member in members)
             by_letter.setdefault(word[0], []).append(f"{word[1:]} (?:{rest})")
-            continue
-        for member in members:
-            letter = member[0] if member[0].isalpha() else ""
-            by_letter.setdefault(letter, []).append(member[len(letter) :])
-    return "|".join(
-        f"{letter}(?:{'|'.join(rests)})" if letter else "|".join(rests)
-        for letter, rests in by_letter.items()
-    )
+        else:
+            for member in members:
+                by_letter.setdefault(member[0], []).append(member[1:])
+    alternation = "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in by_letter.items())
+    return "".join(by_letter), alternation
 
 
 def ascii_regex(phrases: Iterable[str]) -> str:
     """For 7-bit text: case-insensitive, ``.`` stops at a line feed only."""
-    return rf"(?id)\b(?:{_by_first_word(_fill(p, ASCII_SPACE) for p in phrases)})\b"
+    letters, body = _by_first_word(_fill(p, ASCII_SPACE) for p in phrases)
+    return rf"(?id)(?=[{letters}])\b(?:{body})\b"
 
 
 def unicode_regex(phrases: Iterable[str]) -> str:
     """For any text: Unicode case, blanks and word boundaries."""
-    body = _by_first_word(_fill(p, UNICODE_SPACE) for p in phrases)
-    return rf"(?iud){UNICODE_START}(?:{body}){UNICODE_BOUNDARY}"
-
-
-def is_ascii(text: Column) -> Column:
-    return F.length(text) == F.octet_length(text)
+    letters, body = _by_first_word(_fill(p, UNICODE_SPACE) for p in phrases)
+    return rf"(?iud)(?=[{letters}]){UNICODE_START}(?:{body}){UNICODE_BOUNDARY}"
 
 
 def matches(text: Column, phrases: Iterable[str], ascii_only: Column | None = None) -> Column:

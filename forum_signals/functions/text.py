@@ -15,7 +15,8 @@ from pyspark.sql.functions import pandas_udf
 # Executors need no installed copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# What counts as whitespace (the Unicode class; Java's \s is ASCII only).
+# What counts as whitespace in 7-bit text, and in any text (Java's \s is narrower).
+ASCII_SPACE = r"[\t-\r\x1c-\x20]"
 UNICODE_SPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
@@ -74,8 +75,14 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]*>", " ")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, UNICODE_SPACE + "+", " "))
+    """Single blanks, none at the ends. Plain ASCII texts are spared the larger class."""
+    plain, other = (F.regexp_replace(text, space + "+", " ") for space in (ASCII_SPACE, UNICODE_SPACE))
+    return F.trim(F.when(is_ascii(text), plain).otherwise(other))
 
 
 def markup_to_text(decoded: Column) -> Column:

@@ -73,7 +73,7 @@ def profile_test(contingency_by_category: DataFrame, track: str = "tags") -> Dat
     cells = contingency_by_category.select("topic", "category", F.col("n_miscomm").alias("n"))
     row_total = F.sum("n").over(Window.partitionBy("topic"))
     column_total = F.sum("n").over(Window.partitionBy("category"))
-    total = cells.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy())
     cells = cells.withColumn("_expected", row_total * column_total / total)
     summed = cells.withColumn("_chi2", _cell(F.col("n"), F.col("_expected"))).agg(
         F.sum("_chi2").alias("chi2"),
@@ -145,10 +145,11 @@ def proportion_test(contingency: DataFrame) -> DataFrame:
 
 def pairwise(contingency: DataFrame, global_rates: DataFrame, alpha: float) -> DataFrame:
     """All topics against the global rate, adjusted and labelled, clearest first."""
-    based = contingency.select(
-        "*",
-        global_rates.select("total_miscomm").scalar().alias("base_miscomm"),
-        global_rates.select("total_questions").scalar().alias("base_total"),
+    base = global_rates.select(F.struct("total_miscomm", "total_questions")).scalar()
+    based = contingency.withColumn("_base", base).select(
+        *contingency.columns,
+        F.col("_base.total_miscomm").alias("base_miscomm"),
+        F.col("_base.total_questions").alias("base_total"),
     )
     tests = label_direction(adjust_p_values(proportion_test(based)), alpha)
     return tests.drop("base_miscomm", "base_total").orderBy("p_adj", F.desc("n_total"), "topic")
@@ -172,12 +173,12 @@ def odds_ratios(contingency: DataFrame) -> DataFrame:
 
     The baseline is the largest topic; its own row is the intercept.
     """
-    largest = contingency.orderBy(F.desc("n_total"), "topic").limit(1)
+    largest_first = Window.orderBy(F.desc("n_total"), "topic")
     based = contingency.select(
         "*",
-        largest.select("topic").scalar().alias("base_topic"),
-        largest.select("n_miscomm").scalar().alias("base_miscomm"),
-        largest.select("n_no_miscomm").scalar().alias("base_no_miscomm"),
+        F.first("topic").over(largest_first).alias("base_topic"),
+        F.first("n_miscomm").over(largest_first).alias("base_miscomm"),
+        F.first("n_no_miscomm").over(largest_first).alias("base_no_miscomm"),
     )
     a, b = F.col("n_miscomm"), F.col("n_no_miscomm")
     a0, b0 = F.col("base_miscomm"), F.col("base_no_miscomm")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from forum_signals.operators import flags, model, rates, topics
+from forum_signals.session import scratch_path
 from forum_signals.settings import DEFAULTS, AnalysisSettings
+from forum_signals.sources.tables import write_table
 
 
 @dataclass
@@ -18,7 +20,7 @@ class Forum:
     posts: DataFrame
     comments: DataFrame
     tags: DataFrame
-    settings: AnalysisSettings = field(default=DEFAULTS)
+    settings: AnalysisSettings = DEFAULTS
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -56,3 +58,13 @@ class Forum:
     def topic_counts(self) -> DataFrame:
         tagged = rates.tagged_flags(self.question_tags, self.question_miscomm)
         return rates.topic_counts(tagged, self.settings.min_questions)
+
+    def stored(self) -> Forum:
+        """The same forum with its question flags written to the shared folder.
+
+        For results that use the flags more than once: the texts are matched a single time.
+        """
+        kept = Forum(self.posts, self.comments, self.tags, self.settings)
+        path = scratch_path(self.posts.sparkSession, "question_miscomm")
+        kept.__dict__["question_miscomm"] = write_table(self.question_miscomm, path)
+        return kept

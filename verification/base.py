@@ -19,8 +19,10 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         work = Workspace(spark, scratch_path(spark, "forum"), TEST_SETTINGS)
-        work.save("posts", forum_tables.posts(spark, sf_dir))
-        work.save("comments", forum_tables.comments(spark, sf_dir))
+        # An ingest reads even splits of a dump file, so its files are even; so are these.
+        parts = 4 * spark.sparkContext.defaultParallelism
+        work.save("posts", forum_tables.posts(spark, sf_dir).repartition(parts, "Id"))
+        work.save("comments", forum_tables.comments(spark, sf_dir).repartition(parts, "Id"))
         work.save("tags", forum_tables.tags(spark, sf_dir))
         work.save("norms", forum_tables.norms(spark, sf_dir))
         _stored[key] = work

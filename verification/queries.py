@@ -471,7 +471,7 @@ def _by_category(spark, sf_dir):
 
 
 def _pairwise(spark, sf_dir):
-    t = forum(spark, sf_dir)
+    t = forum(spark, sf_dir).stored()
     return stats.pairwise(rates.contingency_per_topic(t.topic_counts), rates.global_rate(t.question_miscomm), S.alpha)
 
 
@@ -540,14 +540,15 @@ def h11_rank_correlation_p(spark, sf_dir):
 
 @query
 def h12_chi_square_tail(spark, sf_dir):
-    tests = stats.homogeneity_test(_by_category(spark, sf_dir), "category").select("category", "df", "p_value")
-    profile = stats.profile_test(_by_category(spark, sf_dir)).select(F.lit("all").alias("category"), "df", "p_value")
+    cells = write_table(_by_category(spark, sf_dir), scratch_path(spark, "cells"))
+    tests = stats.homogeneity_test(cells, "category").select("category", "df", "p_value")
+    profile = stats.profile_test(cells).select(F.lit("all").alias("category"), "df", "p_value")
     return rounded(tests.unionByName(profile))
 
 
 @query
 def h13_pairwise_by_category(spark, sf_dir):
-    t = forum(spark, sf_dir)
+    t = forum(spark, sf_dir).stored()
     tests = stats.pairwise_by_category(
         rates.contingency_per_topic_category(t.topic_counts), rates.global_rate_per_category(t.question_miscomm), S.alpha
     )
