@@ -16,6 +16,11 @@ from forum_signals.functions.special import (
     spearman_p_value,
 )
 
+PAIRWISE_COLUMNS = (
+    "topic", "n_miscomm", "n_no_miscomm", "n_total", "p_value", "estimate", "ci_lower", "ci_upper", "p_adj",
+    "significant", "direction",
+)
+
 # Normal quantiles used by the published tables.
 Z_DESCRIPTIVE = 1.96
 Z_95 = 1.959963984540054
@@ -152,7 +157,7 @@ def pairwise(contingency: DataFrame, global_rates: DataFrame, alpha: float) -> D
         F.col("_base.total_questions").alias("base_total"),
     )
     tests = label_direction(adjust_p_values(proportion_test(based)), alpha)
-    return tests.drop("base_miscomm", "base_total").orderBy("p_adj", F.desc("n_total"), "topic")
+    return tests.select(*PAIRWISE_COLUMNS, "z").orderBy("p_adj", F.desc("n_total"), "topic")
 
 
 def pairwise_by_category(contingency: DataFrame, global_rates: DataFrame, alpha: float) -> DataFrame:
@@ -163,7 +168,7 @@ def pairwise_by_category(contingency: DataFrame, global_rates: DataFrame, alpha:
     tests = adjust_p_values(proportion_test(contingency.join(base, "category")), family="category")
     return (
         label_direction(tests, alpha)
-        .drop("base_miscomm", "base_total")
+        .select("category", *PAIRWISE_COLUMNS, "z")
         .orderBy("category", "p_adj", F.desc("n_total"), "topic")
     )
 

@@ -7,10 +7,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from forum_signals.session import local_session
 
-    session = local_session("*", app="forum-signals-tests")
+    session = local_session(
+        "*", app="forum-signals-tests", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse"))
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,0 +1,102 @@
+import pytest
+from pyspark.sql import functions as F
+
+from forum_fixture import SETTINGS, flagged_names, forum
+from forum_signals.operators import flags, model, rates, topics
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return forum(spark)
+
+
+def test_views(tables):
+    assert {r.question_id for r in tables.questions.collect()} == {1, 2, 3, 4, 5, 6}
+    assert {(r.answer_id, r.question_id) for r in tables.answers.collect()} == {
+        (11, 1), (12, 1), (13, 2), (14, None), (15, 99), (16, 3), (17, 6),
+    }
+    linked = {r.comment_id: r.question_id for r in tables.comments_enriched.collect()}
+    assert linked == {101: 1, 102: 2, 103: None, 106: 3, 107: 5, 108: None, 109: 6}
+
+
+def test_text_flags(tables):
+    answers = {r.answer_id: flagged_names(r) for r in tables.answers_flagged.collect()}
+    assert answers[11] == {"comprehension_failure"} and answers[14] == {"actionability"}
+    assert answers[12] == answers[13] == answers[16] == set()
+    comments = {r.comment_id: flagged_names(r) for r in tables.comments_flagged.collect()}
+    assert comments == {
+        101: set(), 102: {"epistemic"}, 106: set(), 107: {"referential"}, 109: {"comprehension_failure"},
+    }
+    viewed = flags.flag_comments(tables.comments_enriched)
+    assert {r.comment_id: flagged_names(r) for r in viewed.collect()} == comments
+
+
+def test_question_flags_cover_questions_with_replies_only(tables):
+    rows = {r.question_id: r for r in tables.question_miscomm.collect()}
+    # 4 has no replies; the unknown and the missing parent count as questions of their own.
+    assert set(rows) == {1, 2, 3, 5, 6, 99, None}
+    assert flagged_names(rows[1]) == {"comprehension_failure"}
+    assert flagged_names(rows[2]) == {"epistemic"}
+    assert flagged_names(rows[None]) == {"actionability"}
+    assert not rows[3].has_miscomm
+    by_rows = flags.question_miscomm(tables.answers_flagged, tables.comments_flagged)
+    assert {tuple(r) for r in by_rows.collect()} == {tuple(r) for r in rows.values()}
+
+
+def test_prevalence(tables):
+    rows = {r.signal: r for r in flags.flag_prevalence(tables.question_miscomm).collect()}
+    assert len(rows) == 14 and rows["has_miscomm"].n_questions == 7 and rows["has_miscomm"].n_flagged == 6
+    assert rows["comprehension_failure"].n_flagged == 2 and rows["contradiction"].pct == 0
+    empty = flags.flag_prevalence(tables.question_miscomm.where("false")).collect()
+    assert {r.pct for r in empty} == {None}
+
+
+def test_topics(tables):
+    pairs = {(r.question_id, r.tag) for r in tables.all_question_tags.collect()}
+    assert pairs == {(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a"), (4, "a"), (4, "d"), (6, "b"), (6, "c")}
+    top = [(r.tag, r.n_questions) for r in topics.top_tags(tables.all_question_tags, 3).collect()]
+    assert top == [("a", 4), ("b", 2), ("c", 2)]
+    assert {r.tag for r in tables.question_tags.collect()} == {"a", "b", "c"}
+    assert topics.distinct_tag_count(tables.all_question_tags).collect()[0].n_tags == 4
+    assert [r.tag for r in topics.supported_tags(tables.all_question_tags, 2).collect()] == ["a", "b", "c"]
+    assert topics.keep_top_tags(tables.all_question_tags, 10**9).count() == 9  # no bound, no broadcast hint
+
+
+def test_rates_and_contingency(tables):
+    counts = tables.topic_counts
+    rows = [tuple(r) for r in rates.rate_per_topic(counts).collect()]
+    # question 4 has tag a but no reply, so a counts three questions
+    assert rows == [("b", 2, 2, 1.0), ("c", 2, 2, 1.0), ("a", 3, 2, 2 / 3)]
+    cells = [tuple(r) for r in rates.contingency_per_topic(counts).collect()]
+    assert cells == [("a", 2, 1, 3), ("b", 2, 0, 2), ("c", 2, 0, 2)]
+    long = {(r.topic, r.category): (r.n_miscomm, r.n_no_miscomm) for r in rates.contingency_per_topic_category(counts).collect()}
+    assert len(long) == 39 and long["a", "epistemic"] == (1, 2) and long["b", "epistemic"] == (0, 2)
+    strict = rates.topic_counts(rates.tagged_flags(tables.question_tags, tables.question_miscomm), 3)
+    assert [r.topic for r in strict.collect()] == ["a"]
+
+
+def test_global(tables):
+    row = rates.global_summary(tables.question_miscomm, tables.posts, tables.comments, tables.tags).collect()[0]
+    assert tuple(row) == (7, 7, 9, 2, 6, 6 / 7)
+    per = {r.category: r.total_miscomm for r in rates.global_rate_per_category(tables.question_miscomm).collect()}
+    assert per["comprehension_failure"] == 2 and per["comparison_measurement"] == 1 and len(per) == 13
+
+
+def test_number_flags_and_filters(tables):
+    flag = F.col("has_miscomm")
+    row = tables.question_miscomm.agg(F.sum(rates.as_int(flag)), F.sum(rates.negated_int(flag))).collect()[0]
+    assert tuple(row) == (6, 1)
+    assert flags.flagged_only(tables.answers_flagged).count() == 3
+    assert model.with_root_question(tables.comments_enriched).count() == 5
+
+
+def test_repeated_tag_counts_twice(spark):
+    questions = spark.createDataFrame([(1, "<x><x>")], "question_id long, raw_tags string")
+    assert topics.explode_tags(questions).count() == 2
+
+
+def test_settings_default_to_the_published_study():
+    from forum_signals.settings import DEFAULTS
+
+    assert (DEFAULTS.top_n, DEFAULTS.min_questions, DEFAULTS.sample_size) == (200, 1000, 500)
+    assert SETTINGS.top_n == 3

@@ -1,0 +1,124 @@
+import csv
+
+import pytest
+
+from forum_fixture import COMMENT_ROWS, POST_ROWS, SETTINGS, forum
+from forum_signals.functions.matching import category_columns
+from forum_signals.plans import jobs
+from forum_signals.sources.schemas import COMMENTS, POSTS
+from forum_signals.streaming.incremental import flag_new_answers
+
+
+def as_xml(path, root, names, rows):
+    def escaped(v):
+        return str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;").replace("\n", "&#xA;")
+
+    lines = [" ".join(f'{n}="{escaped(v)}"' for n, v in zip(names, row) if v is not None) for row in rows]
+    path.write_text(f"<{root}>\n" + "".join(f"  <row {line} />\n" for line in lines) + f"</{root}>\n")
+
+
+@pytest.fixture(scope="module")
+def work(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("study")
+    as_xml(folder / "Posts.xml", "posts", POSTS.schema.names, POST_ROWS)
+    as_xml(folder / "Comments.xml", "comments", COMMENTS.schema.names, COMMENT_ROWS)
+    as_xml(folder / "Tags.xml", "tags", ["Id", "TagName", "Count"], [(1, "a", 4), (2, "b", 2)])
+    norms = spark.createDataFrame([("apple", 5.0), ("idea", 1.5), ("tree", 4.9)], "token string, score double")
+    work = jobs.Workspace(spark, str(folder / "work"), SETTINGS)
+    jobs.run_all(work, str(folder), norms)
+    return work
+
+
+def report(work, name):
+    from pathlib import Path
+
+    files = list(Path(f"{work.folder}/results/{name}.csv").glob("part-*.csv"))
+    assert len(files) == 1
+    with files[0].open() as lines:
+        return list(csv.reader(lines))
+
+
+def test_ingested_tables(work, spark):
+    assert {tuple(r) for r in work.posts.collect()} == {tuple(r) for r in forum(spark).posts.collect()}
+    assert {tuple(r) for r in work.comments.collect()} == {tuple(r) for r in forum(spark).comments.collect()}
+    assert work.posts.schema == POSTS.schema
+
+
+def test_views_are_registered(work, spark):
+    counts = {r.table_name: r.n_rows for r in jobs.build_model(work).collect()}
+    assert counts == {"questions": 6, "answers": 7, "comments_enriched": 7}
+    assert spark.sql("SELECT count(*) FROM comments_enriched WHERE question_id IS NULL").collect()[0][0] == 2
+
+
+def test_flagged_tables(work, spark):
+    assert work.table("answers_flagged").columns[:3] == ["answer_id", "question_id", "has_miscomm"]
+    assert work.table("comments_flagged").columns[:3] == ["comment_id", "question_id", "has_miscomm"]
+    assert len(category_columns(work.table("question_miscomm"))) == 13
+    direct = {tuple(r) for r in forum(spark).question_miscomm.collect()}
+    assert {tuple(r) for r in work.table("question_miscomm").collect()} == direct
+
+
+@pytest.mark.parametrize(
+    ("name", "header", "rows"),
+    [
+        ("tag_counts", ["tag", "n_questions"], 3),
+        ("track_a_tags", ["topic", "n_questions", "n_miscomm", "miscomm_rate"], 3),
+        ("track_a_tags_by_category", ["topic", "category", "n_questions", "n_miscomm", "miscomm_rate"], 39),
+        ("contingency_tags", ["topic", "n_miscomm", "n_no_miscomm", "n_total"], 3),
+        ("contingency_tags_by_category", ["topic", "category", "n_miscomm", "n_no_miscomm", "n_total"], 39),
+        (
+            "global_summary",
+            ["total_questions", "total_answers", "total_comments", "total_tags", "total_miscomm", "global_miscomm_rate"],
+            1,
+        ),
+        ("global_summary_by_category", ["category", "total_questions", "total_miscomm", "global_miscomm_rate"], 13),
+        ("topic_abstractness_tags", ["topic", "n_sampled", "n_words_matched", "concreteness_score"], 3),
+        ("sample_stability", ["tag", "sample_size", "run", "n_words_matched", "concreteness_score"], 18),
+        (
+            "stats_tags_descriptive",
+            ["topic", "n_miscomm", "n_no_miscomm", "n_total", "miscomm_rate", "ci_lower", "ci_upper"],
+            3,
+        ),
+        ("stats_tags_global_test", ["test", "statistic", "df", "p_value", "cramers_v"], 1),
+        ("stats_tags_by_category_global_test", ["category", "test", "statistic", "df", "p_value", "cramers_v"], 13),
+        ("stats_tags_profile_test", ["track", "chi2", "df", "p_value", "cramers_v", "n_topics", "n_cats"], 1),
+        (
+            "stats_tags_pairwise",
+            ["topic", "n_miscomm", "n_no_miscomm", "n_total", "p_value", "estimate", "ci_lower", "ci_upper", "p_adj",
+             "significant", "direction"],
+            3,
+        ),
+        (
+            "stats_tags_logistic",
+            ["term", "odds_ratio", "std.error", "statistic", "p.value", "conf.low", "conf.high", "p_adj"],
+            3,
+        ),
+        ("stats_tags_abstractness", ["track", "rho", "p_value", "n_topics"], 1),
+    ],
+)
+def test_reports(work, name, header, rows):
+    lines = report(work, name)
+    assert lines[0] == header and len(lines) == rows + 1
+
+
+def test_report_order(work):
+    assert [line[0] for line in report(work, "track_a_tags")[1:]] == ["b", "c", "a"]
+    assert [line[0] for line in report(work, "contingency_tags")[1:]] == ["a", "b", "c"]
+
+
+def test_missing_files_do_not_stop_an_ingest(spark, tmp_path):
+    as_xml(tmp_path / "Tags.xml", "tags", ["Id", "TagName", "Count"], [(1, "a", "x")])
+    work = jobs.Workspace(spark, str(tmp_path / "work"), SETTINGS)
+    assert sorted(jobs.ingest(work, str(tmp_path))) == ["tags"]
+    assert [tuple(r) for r in work.tags.collect()] == [(1, "a", 0)]
+
+
+def test_new_answers_are_flagged_as_they_arrive(work, spark, tmp_path):
+    out, checkpoint, folder = (str(tmp_path / n) for n in ("out", "checkpoint", "posts"))
+    work.posts.where("Id < 13").write.parquet(folder)
+    flag_new_answers(spark, folder, out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == 2
+    work.posts.where("Id >= 13").write.mode("append").parquet(folder)
+    flag_new_answers(spark, folder, out, checkpoint).awaitTermination()
+    batch = {tuple(r) for r in work.table("answers_flagged").collect()}
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == batch
