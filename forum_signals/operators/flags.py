@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from forum_signals.functions.lexicon import CATEGORY_PREFIX
 from forum_signals.functions.matching import HAS_MISCOMM, flag_columns, with_flags
 from forum_signals.functions.text import html_to_text
-from forum_signals.operators.model import post_roots, with_root_question
+from forum_signals.operators.model import linkable_roots, with_root_question
 
 
 def flag_answers(answers: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def flag_comments_of(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """The same rows from base tables, matched before the join so that no text is shuffled."""
     raw = comments.select(F.col("Id").alias("comment_id"), F.col("PostId").alias("post_id"), F.col("Text").alias("text"))
     flagged = with_flags(raw.where(F.col("post_id").isNotNull()), F.col("text"), ["comment_id", "post_id"])
-    linked = flagged.join(with_root_question(post_roots(posts)), "post_id", "inner")
+    linked = flagged.join(linkable_roots(posts), "post_id", "inner")
     return linked.select("comment_id", "question_id", *flag_columns(flagged))
 
 
@@ -55,7 +55,7 @@ def question_miscomm_of(posts: DataFrame, comments: DataFrame, answers: DataFram
     per_post = any_flag_per(
         with_flags(raw.where(F.col("post_id").isNotNull()), F.col("text"), ["post_id"]), "post_id"
     )
-    per_comment_question = per_post.join(with_root_question(post_roots(posts)), "post_id", "inner")
+    per_comment_question = per_post.join(linkable_roots(posts), "post_id", "inner")
     return question_miscomm(flag_answers(answers), per_comment_question)
 
 

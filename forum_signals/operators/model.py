@@ -63,5 +63,10 @@ def comments_enriched(comments: DataFrame, posts: DataFrame) -> DataFrame:
     return linked.select("comment_id", "post_id", "question_id", "text", "created_at", "score")
 
 
+def linkable_roots(posts: DataFrame) -> DataFrame:
+    """Only the posts that lead to a question; the type filter prunes the other partitions."""
+    return with_root_question(post_roots(posts.where(F.col("PostTypeId").isin(QUESTION, ANSWER))))
+
+
 def with_root_question(comments: DataFrame) -> DataFrame:
     return comments.where(F.col("question_id").isNotNull())

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forum_signals.operators.bounded import broadcast_if_bounded
-from forum_signals.sources.tables import write_table
 from forum_signals.session import scratch_path
+from forum_signals.sources.tables import write_table
 
 SALTS = 64
 
@@ -92,6 +92,7 @@ def repeated_samples(
     position = F.conv(F.substr("draw", F.lit(1), F.lit(8)), 16, 10).cast("double") / float(16**8)
     likely = with_draws(pairs, sizes, runs).withColumn("draw", draw).where(position < chance)
     drawn = first_rows(likely, group, order, largest, "sample_size").select(*group, "question_id")
+    drawn = write_table(drawn, scratch_path(spark, "draws"))
 
     max_draws = max_tags * len(sizes) * runs
     full = drawn.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") >= F.col("sample_size"))

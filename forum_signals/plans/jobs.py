@@ -6,7 +6,7 @@ executors, starts from them and never repeats the text matching.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,28 +15,49 @@ from forum_signals.operators import concreteness, flags, model, rates, stats, to
 from forum_signals.settings import DEFAULTS, AnalysisSettings
 from forum_signals.sources import dump
 from forum_signals.sources.schemas import DUMP_TABLES
-from forum_signals.sources.tables import read_table, register_views, row_counts, write_report, write_table
+from forum_signals.sources.tables import (
+    read_table,
+    register_views,
+    row_counts,
+    save_bucketed,
+    write_report,
+    write_table,
+)
 
 # Published headers of the logistic report that are awkward as column names.
 LOGISTIC_HEADER = {"std_error": "std.error", "p_value": "p.value", "conf_low": "conf.low", "conf_high": "conf.high"}
 
+SCHEMAS = {t.table: t.schema for t in DUMP_TABLES}
+KEYED_BY_QUESTION = frozenset({"question_miscomm", "question_tags"})
+
 
 @dataclass
 class Workspace:
-    """Where tables and reports live (a folder every executor can reach)."""
+    """Where tables and reports live (a folder every executor can reach).
+
+    With ``buckets`` the tables keyed by question are kept in the session's catalog, bucketed
+    by question, so that the joins of later jobs need no shuffle.
+    """
 
     spark: SparkSession
     folder: str
-    settings: AnalysisSettings = field(default=DEFAULTS)
+    settings: AnalysisSettings = DEFAULTS
+    buckets: int = 0
+    table_prefix: str = "forum_"
 
     def path(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/parquet/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.path(name))
+        if self.buckets and name in KEYED_BY_QUESTION:
+            return self.spark.table(self.table_prefix + name)
+        return read_table(self.spark, self.path(name), SCHEMAS.get(name))
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        return write_table(df, self.path(name))
+        if self.buckets and name in KEYED_BY_QUESTION:
+            return save_bucketed(df, self.table_prefix + name, "question_id", self.buckets, self.path(name))
+        # Posts are laid out by type: a scan of answers then skips the bodies of questions.
+        return write_table(df, self.path(name), SCHEMAS.get(name), "PostTypeId" if name == "posts" else None)
 
     def report(self, name: str, df: DataFrame, columns: dict[str, str] | None = None) -> None:
         write_report(df, f"{self.folder.rstrip('/')}/results/{name}.csv", columns)
@@ -70,9 +91,7 @@ class Workspace:
 
 def ingest(work: Workspace, dump_folder: str) -> dict[str, DataFrame]:
     """Dump XML to typed Parquet tables; files that are missing are skipped."""
-    found = dump.read_dump(work.spark, dump_folder)
-    schemas = {t.table: t.schema for t in DUMP_TABLES}
-    return {name: write_table(df, work.path(name), schemas[name]) for name, df in found.items()}
+    return {name: work.save(name, df) for name, df in dump.read_dump(work.spark, dump_folder).items()}
 
 
 def build_model(work: Workspace) -> DataFrame:

@@ -27,12 +27,14 @@ def local_session(cores: str | int = "*", app: str = "forum-signals", **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in its configuration.
 
-    Only a session that names none (tests, one machine) gets a temporary folder.
+    A local session that names none (tests, one machine) gets a temporary folder.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="forum-signals-")
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder.rstrip("/")

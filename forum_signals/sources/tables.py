@@ -9,32 +9,36 @@ from pyspark.sql import types as T
 from forum_signals.sources.schemas import enforce
 
 
-def write_table(df: DataFrame, path: str, schema: T.StructType | None = None) -> DataFrame:
+def write_table(
+    df: DataFrame, path: str, schema: T.StructType | None = None, partition_by: str | None = None
+) -> DataFrame:
     """Create or replace a Parquet table and return it as read back (which cuts lineage)."""
     if schema is not None:
         df = enforce(df, schema)
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
-    return read_table(df.sparkSession, path)
+    writer = df.write.mode("overwrite").option("compression", "snappy")
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return read_table(df.sparkSession, path, schema)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A stored table; with a declared schema its columns come in declared order and type."""
+    if schema is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
-def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
     """Create or replace a catalog table bucketed by ``key``.
 
     The question tables are joined on ``question_id`` by every later job; with equal bucket
     counts those joins need no shuffle.
     """
-    (
-        df.write.mode("overwrite")
-        .format("parquet")
-        .option("compression", "snappy")
-        .bucketBy(buckets, key)
-        .sortBy(key)
-        .saveAsTable(name)
-    )
+    writer = df.write.mode("overwrite").format("parquet").option("compression", "snappy")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from forum_fixture import COMMENT_ROWS, POST_ROWS, SETTINGS, forum
 from forum_signals.functions.matching import category_columns
+from forum_signals.operators import rates
 from forum_signals.plans import jobs
 from forum_signals.sources.schemas import COMMENTS, POSTS
 from forum_signals.streaming.incremental import flag_new_answers
@@ -106,6 +107,25 @@ def test_report_order(work):
     assert [line[0] for line in report(work, "contingency_tags")[1:]] == ["a", "b", "c"]
 
 
+def test_bucketed_question_tables(work, spark, tmp_path):
+    """The same counts from bucketed tables, whose join needs no shuffle."""
+    bucketed = jobs.Workspace(spark, str(tmp_path), SETTINGS, buckets=4, table_prefix="bucket_test_")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("posts", "comments", "tags"):
+            bucketed.save(name, work.table(name))
+        jobs.detect(bucketed)
+        jobs.assign_topics(bucketed)
+        tagged = rates.tagged_flags(bucketed.table("question_tags"), bucketed.table("question_miscomm"))
+        assert "Exchange" not in tagged._jdf.queryExecution().executedPlan().toString()
+        counts = {tuple(r) for r in jobs.count_topics(bucketed).collect()}
+        assert counts == {tuple(r) for r in work.table("topic_counts").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in jobs.KEYED_BY_QUESTION:
+            spark.sql(f"DROP TABLE IF EXISTS bucket_test_{name}")
+
+
 def test_missing_files_do_not_stop_an_ingest(spark, tmp_path):
     as_xml(tmp_path / "Tags.xml", "tags", ["Id", "TagName", "Count"], [(1, "a", "x")])
     work = jobs.Workspace(spark, str(tmp_path / "work"), SETTINGS)

@@ -99,7 +99,7 @@ def a6_parquet_sink(spark, sf_dir):
 
 @query
 def a7_parquet_source(spark, sf_dir):
-    posts = read_table(spark, workspace(spark, sf_dir).path("posts"))
+    posts = read_table(spark, workspace(spark, sf_dir).path("posts"), schemas.POSTS.schema)
     return posts.groupBy("PostTypeId").agg(
         F.count("*").alias("n_posts"), F.count("ParentId").alias("n_parents"), F.sum("Score").alias("total_score")
     )
