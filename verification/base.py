@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from forum_signals.plans.forum import Forum
-from forum_signals.plans.jobs import Workspace
+from forum_signals.plans.jobs import SCHEMAS, Workspace
 from forum_signals.session import scratch_path
 from verification import forum_tables
 from verification.dump_writer import write_dump
@@ -38,12 +40,18 @@ def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace(spark, sf_dir).table("norms")
 
 
+@dataclass
+class JobWorkspace(Workspace):
+    """A workspace of its own for a job, over base tables that are already ingested."""
+
+    base: Workspace | None = None
+
+    def path(self, name: str) -> str:
+        return self.base.path(name) if name in SCHEMAS else super().path(name)
+
+
 def fresh_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """A workspace of its own for a job, with the base tables already ingested."""
-    base, work = workspace(spark, sf_dir), Workspace(spark, scratch_path(spark, "job"), TEST_SETTINGS)
-    for name in ("posts", "comments", "tags"):
-        work.save(name, base.table(name))
-    return work
+    return JobWorkspace(spark, scratch_path(spark, "job"), TEST_SETTINGS, base=workspace(spark, sf_dir))
 
 
 def dump_folder(spark: SparkSession, sf_dir: str) -> str:
