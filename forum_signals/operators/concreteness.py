@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forum_signals.functions.text import tokenize
-from forum_signals.operators.sampling import repeated_samples, sample_titles, with_draws
+from forum_signals.operators.sampling import all_draws, repeated_samples, sample_titles, with_draws
 from forum_signals.operators.topics import supported_tags, top_tags
 from forum_signals.settings import AnalysisSettings
 
@@ -34,8 +34,8 @@ def concreteness_per_topic(
     question_tags: DataFrame, questions: DataFrame, norms: DataFrame, settings: AnalysisSettings
 ) -> DataFrame:
     """``topic, n_sampled, n_words_matched, concreteness_score`` for every supported tag."""
-    topics = supported_tags(question_tags, settings.min_questions).select("tag")
-    sample = sample_titles(question_tags, questions, settings.sample_size, settings.seed, settings.top_n)
+    topics = supported_tags(question_tags, settings.min_questions)
+    sample = sample_titles(question_tags, questions, topics, settings.sample_size, settings.seed, settings.top_n)
     sizes = sample.groupBy("tag").agg(F.count("*").alias("n_sampled"))
     scores = score_titles(sample, norms, ["tag"])
     return (
@@ -69,7 +69,7 @@ def sample_stability(
     group = ["tag", "sample_size", "run"]
     scores = score_titles(sample, norms, group)
     return (
-        with_draws(tags.select("tag"), sizes, runs)
+        with_draws(tags.select("tag"), all_draws(sizes, runs))
         .join(scores, group, "left")
         .select(
             *group, F.coalesce("n_words_matched", F.lit(0).cast("bigint")).alias("n_words_matched"), "concreteness_score"

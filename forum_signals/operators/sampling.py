@@ -6,6 +6,7 @@ replacement that any engine can repeat.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,68 +39,94 @@ def titled(questions: DataFrame) -> DataFrame:
     return questions.where(F.col("title").isNotNull())
 
 
-def tags_with_title(question_tags: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question, tag) pairs whose question has a title; titles themselves are not moved."""
-    return question_tags.join(titled(questions).select("question_id"), "question_id", "inner")
-
-
 def add_titles(sample: DataFrame, questions: DataFrame, max_rows: int) -> DataFrame:
-    """Fetch the titles of sampled questions; the sample is the bounded side."""
+    """Titles of sampled questions, without those that have none; the sample is the bounded side."""
     titles = titled(questions).select("question_id", "title")
     return titles.join(broadcast_if_bounded(sample, max_rows), "question_id", "inner")
 
 
-def draw_key(seed: str, *parts: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]))
+def with_draws(tags: DataFrame, draws: Sequence[tuple[int, int]]) -> DataFrame:
+    """Every row of ``tags`` once per draw, a (sample size, run) pair."""
+    pairs = [F.struct(F.lit(size).alias("sample_size"), F.lit(run).alias("run")) for size, run in draws]
+    return tags.select("*", F.inline(F.array(*pairs)))
 
 
-def sample_titles(question_tags: DataFrame, questions: DataFrame, n: int, seed: str, max_tags: int) -> DataFrame:
-    """``tag, question_id, title``: at most n random titles per tag (of at most ``max_tags``)."""
-    pairs = tags_with_title(question_tags, questions)
-    keyed = pairs.withColumn("draw", draw_key(seed, F.col("tag"), F.col("question_id")))
-    sample = first_rows(keyed, ["tag"], ["draw", "question_id"], n).select("tag", "question_id")
-    return add_titles(sample, questions, n * max_tags).select("tag", "question_id", "title")
+def draw_key(seed: str, *parts: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(p).cast("string") for p in parts]))
 
 
-def with_draws(tags: DataFrame, sizes: Sequence[int], runs: int) -> DataFrame:
-    """Every row of ``tags`` once per sample size and run."""
-    draws = [F.struct(F.lit(s).alias("sample_size"), F.lit(r).alias("run")) for s in sizes for r in range(1, runs + 1)]
-    return tags.select("*", F.inline(F.array(*draws)))
+def margin(n: int) -> int:
+    """More than a count that varies like a random draw of n will ever need."""
+    return n + 8 * math.isqrt(n) + 32
 
 
-def repeated_samples(
-    question_tags: DataFrame, questions: DataFrame, tags: DataFrame, sizes: Sequence[int], runs: int, seed: str, max_tags: int
+def draw_titles(
+    question_tags: DataFrame, questions: DataFrame, tags: DataFrame, draws: Sequence[tuple[int, int]], draw: Column, max_tags: int
 ) -> DataFrame:
-    """``tag, sample_size, run, title``: independent draws for the few given tags.
+    """``tag, sample_size, run, question_id, title``: for each draw the titles with the smallest keys.
 
-    ``tags`` holds ``tag, n_questions``. Ranking every pair once per draw would sort the
-    pairs of these (largest) tags sizes x runs times. Instead a pair enters a draw only if
-    its hash is small enough to have a real chance, judged by the tag's size. Draws that end
-    up too short that way (few titles, or an unlucky hash) are drawn again from all pairs,
-    so the result is exactly that of ranking everything.
+    ``tags`` holds ``tag, n_questions`` for the (at most ``max_tags``) tags to sample. Only
+    pairs whose key is small enough to matter, judged by the tag's size, are ranked, and
+    titles are looked up for the best of them; no join of all pairs with all questions is
+    needed. A draw that ends up short that way (most titles missing, or unlucky keys) is
+    repeated over all pairs, so the result is always that of ranking everything.
     """
     spark = question_tags.sparkSession
-    few = broadcast_if_bounded(tags.select("tag", "n_questions"), max_tags)
-    pairs = tags_with_title(question_tags.join(few, "tag", "inner"), questions)
-    pairs = write_table(pairs.select("tag", "n_questions", "question_id"), scratch_path(spark, "tag_pairs"))
+    group, order = ["tag", "sample_size", "run"], ["draw", "question_id"]
+    pools = {size: margin(size) for size, _ in draws}
+    known = F.create_map(*[F.lit(v) for pair in pools.items() for v in pair])
+    entering = F.create_map(*[F.lit(v) for size, pool in pools.items() for v in (size, margin(pool))])
+    tags = tags.select("tag", "n_questions")
 
-    group = ["tag", "sample_size", "run"]
-    order = ["draw", "question_id"]
-    largest = max(sizes)
-    draw = draw_key(seed, F.col("sample_size"), F.col("run"), F.col("tag"), F.col("question_id"))
+    def keyed(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+        return rows.join(wanted, "tag", "inner").withColumn("draw", draw)
 
-    chance = (F.col("sample_size") + 8 * F.sqrt("sample_size") + 32) / F.col("n_questions")
+    # Candidates: the smallest keys of each draw, a few more than asked for.
     position = F.conv(F.substr("draw", F.lit(1), F.lit(8)), 16, 10).cast("double") / float(16**8)
-    likely = with_draws(pairs, sizes, runs).withColumn("draw", draw).where(position < chance)
-    drawn = first_rows(likely, group, order, largest, "sample_size").select(*group, "question_id")
-    drawn = write_table(drawn, scratch_path(spark, "draws"))
-
-    max_draws = max_tags * len(sizes) * runs
-    full = drawn.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") >= F.col("sample_size"))
-    short = with_draws(tags.select("tag"), sizes, runs).join(full, group, "left_anti")
-    short = broadcast_if_bounded(short.select(*group), max_draws)
-    again = pairs.join(short, "tag", "inner").withColumn("draw", draw)
-    redrawn = first_rows(again, group, order, largest, "sample_size").select(*group, "question_id")
-
-    sample = drawn.join(broadcast_if_bounded(full.select(*group), max_draws), group, "left_semi").unionByName(redrawn)
-    return add_titles(sample, questions, max_tags * runs * sum(sizes)).select(*group, "title")
+    wanted = broadcast_if_bounded(with_draws(tags, draws), max_tags * len(draws))
+    likely = keyed(wanted, question_tags).where(position < entering[F.col("sample_size")] / F.col("n_questions"))
+    likely = likely.withColumn("_pool", known[F.col("sample_size")])
+    candidates = first_rows(likely, group, order, max(pools.values()), "_pool").select(*group, *order)
+    candidates = write_table(candidates, scratch_path(spark, "candidates"))
+
+    max_rows = max_tags * sum(pools[size] for size, _ in draws)
+    found = add_titles(candidates, questions, max_rows)
+    drawn = first_rows(found, group, order, max(pools), "sample_size").select(*group, "question_id", "title")
+    drawn = write_table(drawn, scratch_path(spark, "drawn"))
+
+    seen = candidates.groupBy(*group).agg(F.count("*").alias("_seen"))
+    kept = drawn.groupBy(*group).agg(F.count("*").alias("_kept"))
+    enough = F.coalesce("_kept", F.lit(0)) >= F.col("sample_size")
+    everything = F.coalesce("_seen", F.lit(0)) >= F.col("n_questions")
+    short = with_draws(tags, draws).join(seen, group, "left").join(kept, group, "left").where(~(enough | everything))
+    short = short.select(*group)
+    if short.isEmpty():
+        return drawn
+
+    short = broadcast_if_bounded(short, max_tags * len(draws))
+    pairs = question_tags.join(short.select("tag").distinct(), "tag", "left_semi")
+    pairs = pairs.join(titled(questions).select("question_id"), "question_id", "inner")
+    again = first_rows(keyed(short, pairs), group, order, max(pools), "sample_size").select(*group, "question_id")
+    redrawn = add_titles(again, questions, max_tags * sum(size for size, _ in draws))
+    return drawn.join(short, group, "left_anti").unionByName(redrawn.select(*drawn.columns))
+
+
+def sample_titles(
+    question_tags: DataFrame, questions: DataFrame, tags: DataFrame, n: int, seed: str, max_tags: int
+) -> DataFrame:
+    """``tag, question_id, title``: at most n random titles for each of ``tags``."""
+    draw = draw_key(seed, "tag", "question_id")
+    return draw_titles(question_tags, questions, tags, [(n, 1)], draw, max_tags).select("tag", "question_id", "title")
+
+
+def repeated_samples(
+    question_tags: DataFrame, questions: DataFrame, tags: DataFrame, sizes: Sequence[int], runs: int, seed: str, max_tags: int
+) -> DataFrame:
+    """``tag, sample_size, run, title``: independent draws for each size and run."""
+    draw = draw_key(seed, "sample_size", "run", "tag", "question_id")
+    sampled = draw_titles(question_tags, questions, tags, all_draws(sizes, runs), draw, max_tags)
+    return sampled.select("tag", "sample_size", "run", "title")
+
+
+def all_draws(sizes: Sequence[int], runs: int) -> list[tuple[int, int]]:
+    return [(size, run) for size in sizes for run in range(1, runs + 1)]

@@ -55,7 +55,7 @@ def brute_score(titles):
 
 def test_sample_and_scores_against_brute_force(data):
     titles, pairs, questions, tags, norms = data
-    sample = sampling.sample_titles(tags, questions, 7, SEED, 10)
+    sample = sampling.sample_titles(tags, questions, topics.tag_counts(tags), 7, SEED, 10)
     got = {}
     for row in sample.collect():
         got.setdefault(row.tag, set()).add(row.question_id)
@@ -89,7 +89,7 @@ def test_stability_against_brute_force(data):
     assert summary["hot", 5].std == pytest.approx(statistics.stdev(draws))
 
 
-def test_unlucky_draws_are_drawn_again(data, monkeypatch):
+def test_unlucky_draws_are_drawn_again(data):
     """With no chance to enter a draw at first, every draw must come from the second round."""
     titles, pairs, questions, tags, _ = data
     inflated = topics.tag_counts(tags).where("tag IN ('hot', 'small')").withColumn("n_questions", F.lit(10**12))
@@ -103,6 +103,30 @@ def test_unlucky_draws_are_drawn_again(data, monkeypatch):
     assert len(got) == 2 * len(SIZES) * RUNS
 
 
+def test_large_tag_with_mostly_missing_titles(spark):
+    """More pairs than enter a draw, and too few titles among those that do."""
+    questions = spark.range(20_000).select(
+        F.col("id").alias("question_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("t"), "id")).alias("title")
+    )
+    tags = questions.select("question_id", F.lit("big").alias("tag"))
+    titles = {q: f"t{q}" if q % 100 == 0 else None for q in range(20_000)}
+    pairs = [(q, "big") for q in range(20_000)]
+    sample = sampling.sample_titles(tags, questions, topics.tag_counts(tags), 10, SEED, 1)
+    assert {r.question_id for r in sample.collect()} == set(brute_sample(titles, pairs, "big", 10, SEED))
+    full = sampling.sample_titles(tags, questions.fillna("x", ["title"]), topics.tag_counts(tags), 10, SEED, 1)
+    filled = {q: t or "x" for q, t in titles.items()}
+    assert {r.question_id for r in full.collect()} == set(brute_sample(filled, pairs, "big", 10, SEED))
+
+
+def test_first_rows_are_cut_before_the_shuffle(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    kept = sampling.first_rows(rows, ["g"], ["v"], 5)
+    assert {(r.g, r.v) for r in kept.collect()} == {(v % 3, v) for v in range(15)}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "_salt" in plan
+
+
+
 def test_score_range(spark):
     scores = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 4.0)], "topic string, concreteness_score double")
     assert tuple(concreteness.score_range(scores).collect()[0]) == (1.0, 4.0, 2.5)

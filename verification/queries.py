@@ -329,7 +329,8 @@ def e2_top_supported_tags(spark, sf_dir):
 @query
 def e3_title_sample(spark, sf_dir):
     t = forum(spark, sf_dir)
-    sample = sampling.sample_titles(t.question_tags, t.questions, S.sample_size, S.seed, S.top_n)
+    tags = topics.tag_counts(t.question_tags)
+    sample = sampling.sample_titles(t.question_tags, t.questions, tags, S.sample_size, S.seed, S.top_n)
     return sample.select("tag", "question_id", digest("title"))
 
 
