@@ -48,6 +48,9 @@ ENTITIES = ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbs
 
 
 def decoded(column: str) -> str:
+    # A page title may be cut inside an entity; names without ";" are decoded as well.
+    names = "|".join(e.strip("&;") for e, _ in ENTITIES if "#" not in e)
+    column = f"regexp_replace({column}, '&({names})([^;A-Za-z0-9]|$)', '&\\1;\\2', 'g')"
     for entity, char in ENTITIES:
         column = f"replace({column}, {lit(entity)}, {lit(char)})"
     return column
