@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm import byte_bpe, exact_dedup, sharding, simhash, token_output, url_filter
-from forum_signals.llm.common import record_batch, slices, table
+from forum_signals.llm import byte_bpe, decontamination, exact_dedup, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from forum_signals.llm.common import id_bucket, record_batch, slices, table
 from forum_signals.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,10 @@ URL_RULES = (
 )
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded; digests of the ids and of the decoded bytes."""
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
@@ -54,6 +58,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified leak."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.fit_documents(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, net, ["doc_id"]).select("row.doc_id", "score")
+    return scored.select(
+        "doc_id", (id_bucket(F.col("doc_id"), quality.FOLDS) == 0).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, URL_RULES, url_filter.page_links(pages))
@@ -78,8 +98,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_token_output": op8_token_output,
     "op9_simhash": op9_simhash,
