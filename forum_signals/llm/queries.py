@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm import byte_bpe, decontamination, exact_dedup, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from forum_signals.llm import byte_bpe, decontamination, exact_dedup, lm_scoring, quality, sharding, simhash, substring_dedup, token_output, url_filter
 from forum_signals.llm.common import id_bucket, record_batch, slices, table
 from forum_signals.session import scratch_path
 
@@ -64,6 +64,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score_texts(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.fit_documents(docs, table(spark, sf_dir, "labels"))
@@ -102,6 +107,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_token_output": op8_token_output,
