@@ -12,11 +12,13 @@ Components of these links are then the components of the full link graph. Equal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,9 @@ from forum_signals.llm.components import connected_components
 SEED = 42
 #: Shingles whose bits are added up at a time, so that a very long text needs no more memory than this.
 SHINGLE_BLOCK = 65_536
+#: Words on either side among which a passage of ``keep_one`` ends at the least hash.
+PASSAGE = 6
+_MOST = np.uint64((1 << 64) - 1)
 
 
 def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -118,17 +123,120 @@ def least_ids(prints: DataFrame) -> DataFrame:
     return named.join(roots, "root").select("fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of every component the row with the smallest id stays.
-
-    Null ids come last; of rows with one id and one fingerprint one stays. Columns are those of ``docs``.
+def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all lower-cased words, offsets per text)."""
+    lists = [(text or b"").lower().split() for text in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    codes = pa.array(chain.from_iterable(lists), type=pa.binary()).dictionary_encode()
+    distinct = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in codes.dictionary.to_pylist()), dtype=np.uint64, count=len(codes.dictionary))
+    return distinct[codes.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.zeros(0, dtype=np.uint64), offsets
+
+
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` hashes (of all of them if there are fewer)."""
+    width = min(width, len(hashes))
+    rolled = np.zeros(len(hashes) - width + 1 if len(hashes) else 0, dtype=np.uint64)
+    for i in range(width):
+        rolled = (rolled ^ hashes[i : i + len(rolled)]) * np.uint64(0x9E3779B97F4A7C15)
+        rolled ^= rolled >> np.uint64(32)
+    return rolled
+
+
+def passages(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of words) of the passages of a text: cut after each word with the least hash among the PASSAGE words
+    before and after it, so that an edit moves no cut further away."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    padded = np.concatenate([np.full(PASSAGE, _MOST), hashes, np.full(PASSAGE, _MOST)])
+    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * PASSAGE + 1).min(1)
+    ends = np.union1d(np.flatnonzero(hashes == least) + 1, [n])
+    starts = np.concatenate([[0], ends[:-1]])
+    place = np.arange(n) - np.repeat(starts, ends - starts)
+    mixed = (hashes ^ place.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    return np.add.reduceat(mixed, starts).view(np.int64), ends - starts
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every group the row with the smallest id stays.
+
+    Two texts are near duplicates if the Jaccard similarity of their ``width``-word shingles (lower-cased, split at ASCII blanks;
+    fewer words: the whole sequence) is at least ``similarity``; groups are connected by such pairs. Candidates
+    are fingerprints within two bits, found by multi-index hashing, and, because a similarity of 0.8 already flips about ten of 64
+    bits, texts that share a quarter of the words of either in equal passages. Candidates are never all pairs: every row
+    is paired with the least row of a fingerprint or passage only, and each pair is verified on all shingles.
+
+    Null, empty and blank texts have no shingles and are equal to each other. Null ids come last; of rows with one id
+    the first stays. Columns are those of ``docs``, with any names; an empty table gives an empty table.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text"))
-    prints = stored(fingerprints(whole, ["doc"], "text", width).withColumn("seq", F.monotonically_increasing_id()), "simhash-rows")
-    number = F.col(f"row.doc.`{id_col}`")
-    rank = F.struct(number.isNull().alias("last"), number.alias("id"), F.col("seq").alias("seq"))
-    groups = near_groups(prints)
-    least = prints.groupBy("fp").agg(F.min(rank).alias("best"))
-    named = least.join(groups, "fp", "left").select("best", F.coalesce("root", "fp").alias("root"))
-    stay = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.seq").alias("seq"))
-    return prints.join(stay, "seq", "left_semi").select("row.doc.*")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    longs = T.ArrayType(T.LongType())
+    schema = (
+        T.StructType([whole.schema["doc"], whole.schema["id"]]).add("seq", "long").add("fp", "long").add("n_words", "long")
+        .add("passages", longs).add("sizes", longs)
+    )
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = TaskContext.get().partitionId() << 40
+        for part in slices(batches, text=2):
+            hashes, offsets = _word_hashes(arrow_bytes(part.column(2)))
+            each = [hashes[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
+            cut = [passages(h) for h in each]
+            fps = np.array([_majority(_rolled(h, width)) for h in each], dtype=np.uint64).view(np.int64)
+            seqs = [seq + i for i in range(len(each))]
+            yield record_batch(schema, [*part.columns[:2], seqs, fps, [len(h) for h in each], [c[0] for c in cut], [c[1] for c in cut]])
+            seq += len(each)
+
+    rows = stored(whole.mapInArrow(scored, schema), "simhash-rows")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "seq")
+    pairs = stored(_candidates(rows, rank), "simhash-pairs")
+    shingles = _shingles(rows, pairs, text_col, width)
+    left, right = (shingles.select(F.col("seq").alias(name), F.col("shingles").alias(f"{name}_set")) for name in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    near = (common >= similarity * (F.size("a_set") + F.size("b_set") - common)) | ((F.size("a_set") == 0) & (F.size("b_set") == 0))
+    groups = connected_components(both.where(near).select("a", "b"), "simhash-near")
+    ranked = groups.join(rows.select(F.col("seq").alias("node"), rank.alias("rank")), "node")
+    best = ranked.groupBy("component").agg(F.min("rank").alias("best"))
+    gone = ranked.join(best, "component").where("rank != best").select(F.col("node").alias("seq"))
+    return rows.join(gone, "seq", "left_anti").select("doc.*")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), SHINGLE_BLOCK):
+        part = hashes[at : at + SHINGLE_BLOCK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def _candidates(rows: DataFrame, rank: Column) -> DataFrame:
+    """Pairs (a, b) of seq to verify: at most one per row and fingerprint, link of fingerprints, and passage."""
+    by_print = rows.groupBy("fp").agg(F.min(rank).alias("least"))
+    equal = rows.select("fp", "seq").join(by_print, "fp").select("seq", F.col("least.seq").alias("b")).where("seq != b")
+    first = by_print.select("fp", F.col("least.seq").alias("seq"))
+    linked = links(rows).join(first.select(F.col("fp").alias("a"), "seq"), "a").join(first.select(F.col("fp").alias("b"), F.col("seq").alias("other")), "b")
+    spread = rows.select("id", "seq", "n_words", F.explode(F.arrays_zip("passages", "sizes")).alias("p"))
+    spread = spread.select("id", "seq", "n_words", F.col("p.passages").alias("passage"), F.col("p.sizes").alias("size"))
+    least = spread.groupBy("passage").agg(F.min(rank).alias("least"), F.min("n_words").alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = spread.select("seq", "n_words", "passage", "size").join(least.select("passage", F.col("least.seq").alias("b")), "passage")
+    shared = shared.where("seq != b").groupBy("seq", "b").agg(F.sum("size").alias("common"), F.first("n_words").alias("n_words"))
+    alike = shared.where("4 * common >= n_words")
+    return equal.union(linked.select("seq", "other")).union(alike.select("seq", "b")).toDF("a", "b").distinct()
+
+
+def _shingles(rows: DataFrame, pairs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(seq, shingles) of the rows that are in a pair: the distinct shingle hashes."""
+    wanted = pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct()
+    texts = rows.select("seq", F.col(f"doc.`{text_col}`").cast("string").alias("text")).join(wanted, "seq", "left_semi")
+    schema = T.StructType().add("seq", "long").add("shingles", T.ArrayType(T.LongType()))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text=1):
+            hashes, offsets = _word_hashes(arrow_bytes(part.column(1)))
+            sets = [np.unique(_rolled(hashes[x:y], width)).view(np.int64) for x, y in zip(offsets[:-1], offsets[1:])]
+            yield record_batch(schema, [part.column(0), sets])
+
+    return stored(texts.mapInArrow(hashed, schema), "simhash-shingles")
