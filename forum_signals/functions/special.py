@@ -1,203 +1,239 @@
-"""Special functions for the significance tests, applied to the small result tables.
+"""Special functions of the significance tests as column expressions.
 
-Spark SQL has no erfc, incomplete gamma or beta function. The helpers below are scalar
-formulas from public textbooks (series and Lentz continued fractions); the pandas UDFs run
-them over the topic tables, whose size is bounded by topics x categories.
+Spark SQL has no erfc, incomplete gamma or beta function. Each is written as a finite sum or continued fraction over
+``sequence`` and ``aggregate``, so the tests stay in the JVM. How many terms are taken follows from the arguments,
+never from a limit on the work; every formula is good to about 1e-13 in its result, in the far tails too.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from itertools import permutations
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
-
-# Executors need no installed copy of this module.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-DOUBLE = T.DoubleType()
-LIMITS = T.StructType([T.StructField("conf_low", DOUBLE), T.StructField("conf_high", DOUBLE)])
-TINY = 1e-300
-CHI2_1_95 = 3.841458820694124  # Fixed value: 95 % point of chi-square with one degree of freedom.
-
-
-def two_sided_normal(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
-def _lentz(first: float, terms, limit: int = 100_000) -> float:
-    """Value of first + a1/(b1 + a2/(b2 + ...)) for the (a, b) pairs of ``terms``."""
-    value = first or TINY
-    c, d = value, 0.0
-    for step, (a, b) in enumerate(terms):
-        d = 1.0 / ((b + a * d) or TINY)
-        c = (b + a / c) or TINY
-        value *= c * d
-        if abs(c * d - 1.0) < 1e-16 or step > limit:
-            break
-    return value
-
-
-def chi_square_tail(x: float, df: float) -> float:
-    """Upper tail of chi-square, accurate far below 1e-16 (log scale throughout)."""
-    if x <= 0:
-        return 1.0
-    a, x = df / 2.0, x / 2.0
-    scale = a * math.log(x) - x - math.lgamma(a)
-    if x < a + 1.0:
-        term = total = 1.0 / a
-        k = a
-        while term > total * 1e-17:
-            k += 1.0
-            term *= x / k
-            total += term
-        return max(0.0, 1.0 - total * math.exp(scale))
-
-    def terms():
-        n = 0
-        while True:
-            n += 1
-            yield -n * (n - a), x + 2.0 * n + 1.0 - a
-
-    return math.exp(scale - math.log(_lentz(x + 1.0 - a, terms())))
-
-
-def beta_ratio(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_ratio(b, a, 1.0 - x)
-
-    def terms():
-        m = 0
-        while True:
-            yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
-            m += 1
-            yield m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
-
-    log_front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    return math.exp(log_front) / (a * _lentz(1.0, terms()))
-
-
-def _rank_difference_tail(s: float, n: int, upper: bool) -> float:
-    """P(S >= s) (or P(S < s)) for S, the sum of squared rank differences of n items."""
-    largest = n * (n * n - 1) / 3.0
-    s += s % 2  # S itself is always even
-    if s <= 0:
-        return 1.0 if upper else 0.0
-    if s > largest:
-        return 0.0 if upper else 1.0
-    if n <= 9:
-        base = range(n)
-        hits = sum(1 for p in permutations(base) if sum((i - v) ** 2 for i, v in zip(base, p)) >= s)
-        tail = hits / math.factorial(n)
-        return tail if upper else 1.0 - tail
+from collections import Counter
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Fixed value: 95 % point of chi-square with one degree of freedom.
+CHI2_1_95 = 3.841458820694124
+# Fixed value: up to this many items the published test of a rank correlation is exact, above it a series (AS 89).
+EXACT_ITEMS = 9
+# Fixed value: above this many items the published test uses Student's t.
+SERIES_ITEMS = 1290
+
+LN_PI = math.log(math.pi)
+
+
+def _steps(first: Column | int, last: Column) -> Column:
+    """first, first + 1, ..., last; empty if last is smaller."""
+    first = F.lit(first) if isinstance(first, int) else first
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _log_add(a: Column, b: Column) -> Column:
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function for x >= 0: the power series of erf up to 1.5, the continued fraction beyond."""
+    square = x * x
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(x.alias("term"), x.alias("total")),
+        lambda acc, k: F.struct(
+            (acc["term"] * 2 * square / (2 * k + 1)).alias("term"),
+            (acc["total"] + acc["term"] * 2 * square / (2 * k + 1)).alias("total"),
+        ),
+    )["total"]
+    fraction = F.aggregate(F.sequence(F.lit(150), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / 2.0 / acc)
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * series
+    return F.when(x < 1.5, near).otherwise(F.exp(-square) / (math.sqrt(math.pi) * fraction))
+
+
+def normal_p_value(z: Column | str) -> Column:
+    """Two-sided p-value of a standard normal statistic."""
+    z = F.col(z) if isinstance(z, str) else z
+    return erfc(F.abs(z) / math.sqrt(2.0))
+
+
+def chi_square_log_p(statistic: Column | str, df: Column | str) -> Column:
+    """Natural log of the upper tail of chi-square with a whole number of degrees of freedom.
+
+    The tail is a finite sum of Poisson-like terms (and erfc, for odd numbers), added on the log scale. NULL without a
+    statistic or degrees of freedom; 0 for statistics not above 0.
+    """
+    statistic = F.col(statistic) if isinstance(statistic, str) else statistic
+    df = (F.col(df) if isinstance(df, str) else df).cast("int")
+    x, odd = statistic / 2, df % 2 == 1
+    offset = F.when(odd, 0.5).otherwise(0.0)
+    terms = F.floor(df / F.lit(2)).cast("int")
+    first = F.when(odd, F.ln(x) / 2 - (0.5 * LN_PI - math.log(2.0))).otherwise(F.lit(0.0)) - x
+    total = F.aggregate(
+        _steps(1, terms - 1),
+        F.struct(first.alias("term"), first.alias("total")),
+        lambda acc, k: F.struct(
+            (acc["term"] + F.ln(x / (k + offset))).alias("term"),
+            _log_add(acc["total"], acc["term"] + F.ln(x / (k + offset))).alias("total"),
+        ),
+    )["total"]
+    # log erfc(sqrt(x)) from the same continued fraction, which is exact enough for odd tails from 1.5 on
+    root = F.sqrt(x)
+    fraction = F.aggregate(F.sequence(F.lit(150), F.lit(1), F.lit(-1)), root, lambda acc, k: root + k / 2.0 / acc)
+    rest = F.when(root < 1.5, F.ln(erfc(root))).otherwise(-x - 0.5 * LN_PI - F.ln(fraction))
+    tail = F.when(~odd, total).when(df == 1, rest).otherwise(_log_add(total, rest))
+    known = statistic.isNotNull() & ~F.isnan(statistic) & (df > 0)
+    return F.when(known, F.when(statistic <= 0, 0.0).otherwise(F.least(F.lit(0.0), tail)))
+
+
+def chi_square_p_value(statistic: Column | str, df: Column | str) -> Column:
+    return F.exp(chi_square_log_p(statistic, df))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, terms: Column) -> Column:
+    def step(acc: Column, m: Column) -> Column:
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        even = (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
+        return 1 + odd / (1 + even / acc)
+
+    return F.aggregate(F.sequence(terms, F.lit(0), F.lit(-1)), F.lit(1.0), step)
+
+
+def student_p_value(t_squared: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t: the regularised incomplete beta function with a half as second parameter."""
+    a, b = df / 2.0, F.lit(0.5)
+    x, y = df / (df + t_squared), t_squared / (df + t_squared)
+    odd = df % 2 == 1
+    start = F.when(odd, 0.5).otherwise(1.0)
+    # gamma(a + 1/2) / gamma(a), as a product from gamma(1) / gamma(1/2) or gamma(3/2) / gamma(1)
+    first = F.when(odd, -0.5 * LN_PI).otherwise(0.5 * LN_PI - math.log(2.0))
+    ratio = F.aggregate(
+        _steps(0, (a - start - 1).cast("int")), first, lambda acc, i: acc + F.ln((start + i + 0.5) / (start + i))
+    )
+    front = F.exp(a * F.ln(x) + b * F.ln(y) + ratio - 0.5 * LN_PI)
+    terms = (100 + F.ceil(20 * F.sqrt(df.cast("double")))).cast("int")  # the fraction converges in O(sqrt(df)) steps
+    direct = front / (a * _beta_fraction(a, b, x, terms))
+    other = 1 - front / (b * _beta_fraction(b, a, y, terms))
+    return F.when(t_squared == 0, 1.0).when(x <= (a + 1) / (a + b + 2), direct).otherwise(other)
+
+
+def _exact_tails(n: int) -> list[float]:
+    """P(S >= 0), P(S >= 2), ... for S, the sum of squared rank differences of n items in random order."""
+    counts = {0: Counter({0: 1})}
+    for item in range(n):
+        grown: dict[int, Counter] = {}
+        for taken, sums in counts.items():
+            for place in range(n):
+                if not taken >> place & 1:
+                    into = grown.setdefault(taken | 1 << place, Counter())
+                    for s, ways in sums.items():
+                        into[s + (item - place) ** 2] += ways
+        counts = grown
+    sums = counts[(1 << n) - 1]
+    return [sum(w for s, w in sums.items() if s >= low) / math.factorial(n) for low in range(0, max(sums) + 1, 2)]
+
+
+def _rank_difference_tail(s: Column, n: Column, upper: Column) -> Column:
+    """P(S >= s) where ``upper``, else P(S < s), for S, the sum of squared rank differences of n items."""
+    s = s + s % 2  # S itself is always even
+    size = n.cast("double")
     # The published Edgeworth series coefficients (AS 89).
-    b = 1.0 / n
-    x = (6.0 * (s - 1.0) * b / (n * n - 1.0) - 1.0) * math.sqrt(1.0 / b - 1.0)
+    b = 1.0 / size
+    x = (6.0 * (s - 1.0) * b / (size * size - 1.0) - 1.0) * F.sqrt(1.0 / b - 1.0)
     y = x * x
     inner = 0.0072 - 0.0831 * b + y * b * (0.0131 - 0.00046 * y)
     inner = 0.0879 + 0.0151 * b - y * inner
     u = x * b * (0.2274 + b * (0.2531 + 0.1745 * b) + y * (-0.0758 + b * (0.1033 + 0.3932 * b) - y * b * inner))
-    correction = u / math.exp(y / 2.0)
-    normal = 0.5 * math.erfc(x / math.sqrt(2.0)) if upper else 0.5 * math.erfc(-x / math.sqrt(2.0))
-    return min(1.0, max(0.0, normal + (correction if upper else -correction)))
-
-
-def spearman_p(rho: float, n: int, ties: bool) -> float:
-    """Two-sided p-value of a rank correlation: Edgeworth series, or Student's t with ties."""
-    if n < 3 or rho != rho:
-        return math.nan
-    if ties or n > 1290:
-        if abs(rho) >= 1.0:
-            return 0.0
-        t2 = rho * rho * (n - 2) / (1.0 - rho * rho)
-        return beta_ratio((n - 2) / 2.0, 0.5, (n - 2) / (n - 2 + t2))
-    middle = (n**3 - n) / 6.0
+    correction = u / F.exp(y / 2.0)
+    above = erfc(F.abs(x) / math.sqrt(2.0)) / 2
+    above = F.when(x < 0, 1 - above).otherwise(above)
+    below = erfc(F.abs(x) / math.sqrt(2.0)) / 2
+    below = F.when(x > 0, 1 - below).otherwise(below)
+    series = F.when(upper, above + correction).otherwise(below - correction)
+    series = F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))
+    exact = F.lit(None).cast("double")
+    for items in range(3, EXACT_ITEMS + 1):
+        tails = F.array(*[F.lit(v) for v in _exact_tails(items)])
+        exact = F.when(n == items, F.get(tails, (s / 2).cast("int"))).otherwise(exact)
+    exact = F.when(upper, exact).otherwise(1 - exact)
+    tail = F.when(n <= EXACT_ITEMS, exact).otherwise(series)
+    none, most = s <= 0, s > size * (size * size - 1) / 3.0
+    return F.when(none, F.when(upper, 1.0).otherwise(0.0)).when(most, F.when(upper, 0.0).otherwise(1.0)).otherwise(tail)
+
+
+def spearman_p_value(rho: Column | str, n: Column | str, ties: Column | str) -> Column:
+    """Two-sided p-value of a rank correlation of n items, by the published rules.
+
+    Without ties up to EXACT_ITEMS items are counted out and up to SERIES_ITEMS take the Edgeworth series; with ties or more
+    items it is Student's t. NULL below three items or without a correlation.
+    """
+    rho, n, ties = (F.col(c) if isinstance(c, str) else c for c in (rho, n, ties))
+    size = n.cast("double")
+    square = rho * rho * (size - 2) / F.greatest(1 - rho * rho, F.lit(1e-300))
+    student = F.when(F.abs(rho) >= 1, 0.0).otherwise(student_p_value(square, n - 2))
+    middle = (size * size * size - size) / 6.0
     s = middle * (1.0 - rho)
-    if s > middle:
-        tail = _rank_difference_tail(round(s - 1.0), n, upper=True)
-    else:
-        tail = _rank_difference_tail(round(s) + 2.0, n, upper=False)
-    return min(1.0, 2.0 * tail)
-
-
-def _excess(observed: float, expected: float) -> float:
-    return observed * math.log(observed / expected) if observed else 0.0
-
-
-def _deviance(beta: float, a: float, b: float, a0: float, b0: float) -> float:
-    """Likelihood-ratio deviance of log odds ratio ``beta`` with the intercept profiled out."""
-    n, n0, s, r = a + b, a0 + b0, a + a0, math.exp(beta)
-    quad, lin = r * (n + n0 - s), n0 + n * r - s * (1.0 + r)
-    root = math.sqrt(lin * lin + 4.0 * quad * s)
-    odds0 = 2.0 * s / (lin + root) if lin > 0 else (root - lin) / (2.0 * quad)
-    p0, p1 = odds0 / (1.0 + odds0), odds0 * r / (1.0 + odds0 * r)
-    return 2.0 * (
-        _excess(a0, n0 * p0) + _excess(b0, n0 * (1 - p0)) + _excess(a, n * p1) + _excess(b, n * (1 - p1))
-    )
-
-
-def _intercept_deviance(alpha: float, a0: float, b0: float) -> float:
-    n0, p0 = a0 + b0, 1.0 / (1.0 + math.exp(-alpha))
-    return 2.0 * (_excess(a0, n0 * p0) + _excess(b0, n0 * (1 - p0)))
-
-
-def _limits(deviance, centre: float, step: float) -> tuple[float, float]:
-    found = []
-    for sign in (-1.0, 1.0):
-        inside, outside = 0.0, step
-        while deviance(centre + sign * outside) < CHI2_1_95:
-            inside, outside = outside, 2.0 * outside
-        for _ in range(200):
-            middle = (inside + outside) / 2.0
-            if middle in (inside, outside):
-                break
-            if deviance(centre + sign * middle) < CHI2_1_95:
-                inside = middle
-            else:
-                outside = middle
-        found.append(centre + sign * (inside + outside) / 2.0)
-    return found[0], found[1]
-
-
-def profile_interval(a: float, b: float, a0: float, b0: float, intercept: bool) -> tuple[float, float]:
-    """95 % profile-likelihood limits of an odds ratio (or of the baseline odds)."""
-    cells = (a0, b0) if intercept else (a, b, a0, b0)
-    if min(cells) <= 0:
-        return math.nan, math.nan
-    step = 2.0 * math.sqrt(sum(1.0 / c for c in cells))
-    if intercept:
-        low, high = _limits(lambda v: _intercept_deviance(v, a0, b0), math.log(a0 / b0), step)
-    else:
-        low, high = _limits(lambda v: _deviance(v, a, b, a0, b0), math.log(a * b0 / (b * a0)), step)
-    return math.exp(low), math.exp(high)
-
-
-@pandas_udf(DOUBLE)
-def normal_p_value(z: pd.Series) -> pd.Series:
-    return z.map(two_sided_normal, na_action="ignore").astype(float)
-
-
-@pandas_udf(DOUBLE)
-def chi_square_p_value(statistic: pd.Series, df: pd.Series) -> pd.Series:
-    values = [None if x != x or k != k or k <= 0 else chi_square_tail(x, k) for x, k in zip(statistic, df)]
-    return pd.Series(values, dtype=float)
-
-
-@pandas_udf(DOUBLE)
-def spearman_p_value(rho: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series([spearman_p(r, int(k), bool(t)) for r, k, t in zip(rho, n, ties)], dtype=float)
-
-
-@pandas_udf(LIMITS)
-def profile_limits(
-    a: pd.Series, b: pd.Series, a0: pd.Series, b0: pd.Series, intercept: pd.Series
-) -> pd.DataFrame:
-    rows = [profile_interval(*map(float, cells), bool(flag)) for *cells, flag in zip(a, b, a0, b0, intercept)]
-    return pd.DataFrame(rows, columns=["conf_low", "conf_high"], dtype=float)
+    upper = s > middle
+    tail = _rank_difference_tail(F.when(upper, F.bround(s - 1)).otherwise(F.bround(s) + 2), n, upper)
+    ranked = F.least(F.lit(1.0), 2 * tail)
+    known = rho.isNotNull() & ~F.isnan(rho) & (n >= 3)
+    return F.when(known, F.when(ties | (n > SERIES_ITEMS), student).otherwise(ranked))
+
+
+def _excess(observed: Column, expected: Column) -> Column:
+    return observed * F.ln(F.try_divide(observed, expected))
+
+
+def _limit(deviance, centre: Column, step: Column, sign: int) -> Column:
+    """Where the deviance crosses its 95 % point on one side of the centre: bracketed by doubling, then bisected.
+
+    A hundred halvings of the bracket reach the resolution of a double from any start.
+    """
+    inside = lambda distance: deviance(centre + sign * distance) < CHI2_1_95
+    outer = F.aggregate(F.sequence(F.lit(1), F.lit(60)), step, lambda o, _: F.when(inside(o), 2 * o).otherwise(o))
+
+    def halve(ends: Column, _: Column) -> Column:
+        middle = (ends["low"] + ends["high"]) / 2
+        near = inside(middle)
+        return F.struct(
+            F.when(near, middle).otherwise(ends["low"]).alias("low"), F.when(near, ends["high"]).otherwise(middle).alias("high")
+        )
+
+    start = F.struct(F.lit(0.0).alias("low"), outer.alias("high"))
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, halve)
+    return F.exp(centre + sign * (ends["low"] + ends["high"]) / 2)
+
+
+def profile_limits(a: Column, b: Column, a0: Column, b0: Column, intercept: Column) -> Column:
+    """95 % profile-likelihood limits of an odds ratio (of the baseline odds, for the intercept), as a struct.
+
+    The deviance has the intercept profiled out. NULL where a cell is empty.
+    """
+
+    def ratio_deviance(beta: Column) -> Column:
+        n, n0, s, r = a + b, a0 + b0, a + a0, F.exp(beta)
+        quad, lin = r * (n + n0 - s), n0 + n * r - s * (1.0 + r)
+        root = F.sqrt(lin * lin + 4.0 * quad * s)
+        odds = F.when(lin > 0, F.try_divide(2.0 * s, lin + root)).otherwise(F.try_divide(root - lin, 2.0 * quad))
+        p0, p1 = odds / (1.0 + odds), odds * r / (1.0 + odds * r)
+        return 2.0 * (
+            _excess(a0, n0 * p0) + _excess(b0, n0 * (1 - p0)) + _excess(a, n * p1) + _excess(b, n * (1 - p1))
+        )
+
+    def odds_deviance(alpha: Column) -> Column:
+        n0, p0 = a0 + b0, 1.0 / (1.0 + F.exp(-alpha))
+        return 2.0 * (_excess(a0, n0 * p0) + _excess(b0, n0 * (1 - p0)))
+
+    def inverse(*cells: Column) -> Column:
+        total = F.lit(0.0)
+        for cell in cells:
+            total = total + F.try_divide(F.lit(1.0), cell)
+        return 2.0 * F.sqrt(total)
+
+    base = F.ln(F.try_divide(a0, b0))
+    ratio = F.ln(F.try_divide(a, b)) - base
+    limits = []
+    for sign in (-1, 1):
+        own = _limit(odds_deviance, base, inverse(a0, b0), sign)
+        other = _limit(ratio_deviance, ratio, inverse(a, b, a0, b0), sign)
+        limits.append(F.when(intercept, own).otherwise(other))
+    full = F.when(intercept, (a0 > 0) & (b0 > 0)).otherwise((a > 0) & (b > 0) & (a0 > 0) & (b0 > 0))
+    return F.struct(F.when(full, limits[0]).alias("conf_low"), F.when(full, limits[1]).alias("conf_high"))

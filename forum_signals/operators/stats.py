@@ -68,7 +68,7 @@ def homogeneity_test(contingency: DataFrame, by: str | None = None) -> DataFrame
         F.lit("chi_square").alias("test"),
         "statistic",
         "df",
-        chi_square_p_value("statistic", F.col("df").cast("double")).alias("p_value"),
+        chi_square_p_value("statistic", "df").alias("p_value"),
         _strength(F.col("statistic"), F.col("_n"), F.col("df") + 1, F.lit(2)).alias("cramers_v"),
     )
 
@@ -79,7 +79,7 @@ def profile_test(contingency_by_category: DataFrame, track: str = "tags") -> Dat
     row_total = F.sum("n").over(Window.partitionBy("topic"))
     column_total = F.sum("n").over(Window.partitionBy("category"))
     total = F.sum("n").over(Window.partitionBy())
-    cells = cells.withColumn("_expected", row_total * column_total / total)
+    cells = cells.withColumn("_expected", row_total.cast("double") * column_total / total)
     summed = cells.withColumn("_chi2", _cell(F.col("n"), F.col("_expected"))).agg(
         F.sum("_chi2").alias("chi2"),
         F.sum("n").alias("_n"),
@@ -95,7 +95,7 @@ def profile_test(contingency_by_category: DataFrame, track: str = "tags") -> Dat
             F.lit(track).alias("track"),
             "chi2",
             "df",
-            chi_square_p_value("chi2", F.col("df").cast("double")).alias("p_value"),
+            chi_square_p_value("chi2", "df").alias("p_value"),
             _strength(F.col("chi2"), F.col("_n"), F.col("n_topics"), F.col("n_cats")).alias("cramers_v"),
             "n_topics",
             "n_cats",
@@ -189,7 +189,7 @@ def odds_ratios(contingency: DataFrame) -> DataFrame:
     a0, b0 = F.col("base_miscomm"), F.col("base_no_miscomm")
     intercept = F.col("topic") == F.col("base_topic")
     inverse = F.try_divide(F.lit(1.0), a0) + F.try_divide(F.lit(1.0), b0)
-    ratio = F.when(intercept, F.try_divide(a0, b0)).otherwise(F.try_divide(a * b0, b * a0))
+    ratio = F.when(intercept, F.try_divide(a0, b0)).otherwise(F.try_divide(a, b) * F.try_divide(b0, a0))
     error = F.when(intercept, F.sqrt(inverse)).otherwise(
         F.sqrt(F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b) + inverse)
     )
@@ -208,7 +208,7 @@ def logistic(contingency: DataFrame) -> DataFrame:
     fitted = (
         odds_ratios(contingency)
         .withColumn("p_value", normal_p_value("statistic"))
-        .withColumn("_limits", profile_limits(*cells, "intercept"))
+        .withColumn("_limits", profile_limits(*cells, F.col("intercept")))
         .select("*", "_limits.*")
     )
     return (

@@ -1,7 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql.functions import lit as F_lit
 
+import plain_special as plain
 from forum_signals.functions import special
 from forum_signals.operators import stats
 
@@ -48,7 +50,7 @@ def test_odds_ratios(contingency):
             continue
         a, b = next((c[1], c[2]) for c in CELLS if "topic" + c[0] == row.term)
         for limit in (row.conf_low, row.conf_high):
-            deviance = special._deviance(math.log(limit), a, b, CELLS[0][1], CELLS[0][2])
+            deviance = plain._deviance(math.log(limit), a, b, CELLS[0][1], CELLS[0][2])
             assert deviance == pytest.approx(special.CHI2_1_95, abs=1e-6)
 
 
@@ -87,17 +89,65 @@ def test_adjustment(spark):
         assert [r.p_adj for r in adjusted.orderBy("i").collect()] == pytest.approx(expected)
 
 
-def test_special_functions():
-    assert special.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-12)
-    assert special.chi_square_tail(0.5, 4) == pytest.approx(math.exp(-0.25) * 1.25, rel=1e-12)
-    assert special.chi_square_tail(1000.0, 2) == pytest.approx(math.exp(-500), rel=1e-10)
-    assert special.beta_ratio(2, 3, 0.4) == pytest.approx(0.5248, rel=1e-12)
-    assert special.beta_ratio(9.0, 0.5, 0.3) == pytest.approx(1 - special.beta_ratio(0.5, 9.0, 0.7), rel=1e-12)
+def test_plain_functions():
+    assert plain.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-12)
+    assert plain.chi_square_tail(0.5, 4) == pytest.approx(math.exp(-0.25) * 1.25, rel=1e-12)
+    assert plain.chi_square_tail(1000.0, 2) == pytest.approx(math.exp(-500), rel=1e-10)
+    assert plain.beta_ratio(2, 3, 0.4) == pytest.approx(0.5248, rel=1e-12)
     # exact permutation tail: three items, S=0 only for the identity
-    assert special.spearman_p(1.0, 3, False) == pytest.approx(2 / 6)
-    assert special.spearman_p(-1.0, 4, False) == pytest.approx(2 / 24)
-    assert special.spearman_p(0.5, 20, True) == pytest.approx(0.024786, rel=1e-3)
-    assert math.isnan(special.profile_interval(0, 5, 3, 4, False)[0])
+    assert plain.spearman_p(1.0, 3, False) == pytest.approx(2 / 6)
+    assert plain.spearman_p(-1.0, 4, False) == pytest.approx(2 / 24)
+    assert plain.spearman_p(0.5, 20, True) == pytest.approx(0.024786, rel=1e-3)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normal_and_chi_square_columns(spark):
+    z = [0.0, 0.1, 1.0, 1.96, 2.1, 2.2, 5.0, 12.0, 30.0, 37.0, -3.0]
+    rows = spark.createDataFrame([(v,) for v in z], "z double").select("z", special.normal_p_value("z").alias("p"))
+    assert "Python" not in plan_of(rows)
+    for r in rows.collect():
+        assert r.p == pytest.approx(plain.two_sided_normal(r.z), rel=1e-12)
+    cases = [(x, k) for k in (1, 2, 3, 4, 7, 12, 39, 199, 200, 2388) for x in (0.01, 0.5, k * 0.5, float(k), k * 1.5, k * 3.0 + 20, 900.0)]
+    rows = spark.createDataFrame(cases, "x double, k int").select("*", special.chi_square_p_value("x", "k").alias("p"))
+    for r in rows.collect():
+        assert r.p == pytest.approx(plain.chi_square_tail(r.x, r.k), rel=1e-10, abs=1e-300), r
+    edge = spark.createDataFrame([(None, 3), (0.0, 3), (2.0, 0)], "x double, k int").select(special.chi_square_p_value("x", "k").alias("p"))
+    assert [r.p for r in edge.collect()] == [None, 1.0, None]
+
+
+def test_rank_correlation_column(spark):
+    cases = [(rho, n, ties) for n in (3, 4, 8, 9, 10, 50, 200, 1290, 1291, 5000) for rho in (-1.0, -0.6, -0.05, 0.0, 0.2, 0.5, 0.9) for ties in (False, True)]
+    rows = spark.createDataFrame(cases, "rho double, n int, ties boolean").select("*", special.spearman_p_value("rho", "n", "ties").alias("p"))
+    assert "Python" not in plan_of(rows)
+    for r in rows.collect():
+        assert r.p == pytest.approx(plain.spearman_p(r.rho, r.n, r.ties), rel=1e-9, abs=1e-290), r
+
+
+def test_profile_limit_columns(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(5, 7, 100, 300), (1, 1, 2, 2), (339435, 2142948, 287850, 1598244), (3, 10**6, 10**5, 10**9), (0, 5, 3, 4)]
+    df = spark.createDataFrame([(*map(float, c), flag) for c in cases for flag in (True, False)], "a double, b double, a0 double, b0 double, i boolean")
+    limits = df.select("*", special.profile_limits(*map(F.col, ("a", "b", "a0", "b0")), F.col("i")).alias("l"))
+    for r in limits.collect():
+        expected = plain.profile_interval(r.a, r.b, r.a0, r.b0, r.i)
+        if math.isnan(expected[0]):
+            assert tuple(r.l) == (None, None)
+        else:
+            assert tuple(r.l) == pytest.approx(expected, rel=1e-8)
+
+
+def test_counts_of_a_very_large_forum(spark):
+    """Products of such counts do not fit a long."""
+    cells = [("a", 10**10, 9 * 10**10, 10**11), ("b", 3 * 10**10, 4 * 10**10, 7 * 10**10)]
+    df = spark.createDataFrame(cells, "topic string, n_miscomm long, n_no_miscomm long, n_total long")
+    odds = {r.term: r for r in stats.logistic(df).collect()}
+    assert odds["topicb"].odds_ratio == pytest.approx(3 / 4 * 9)
+    long = df.withColumn("category", F_lit("x")).unionByName(df.withColumn("category", F_lit("y")))
+    assert stats.profile_test(long).collect()[0].chi2 == pytest.approx(0, abs=1e-6)
 
 
 def test_rank_correlation_with_ties(spark):
