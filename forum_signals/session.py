@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,14 +28,9 @@ def local_session(cores: str | int = "*", app: str = "forum-signals", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in its configuration.
 
-    A local session that names none (tests, one machine) gets a temporary folder.
+    Where none is named, a folder of the warehouse serves, which all executors reach as well.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="forum-signals-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return folder.rstrip("/")
 
 

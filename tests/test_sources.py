@@ -41,6 +41,68 @@ def test_rows_of_a_dump_file(spark, dump_dir, reader):
     assert reader(spark, path, POSTS).dtypes == [(f.name, f.dataType.simpleString()) for f in POSTS.schema]
 
 
+ROOTED = "<?xml version='1.0'?>\n<!-- made by hand -->\n<comments>\n%s\n</comments>\n"
+
+
+def write(folder, text):
+    path = folder / "Comments.xml"
+    path.write_text(text, newline="")
+    return str(path)
+
+
+def test_every_layout_of_a_row_is_read(spark, tmp_path):
+    rows = [
+        '<row Id="1" />', '<row\tId="2"/>', '<row\n  Id="3"\n/>', '<row\r\n\tId="4"></row>', '<row    Id="5" >\n</row >', "<row/>", "<row />",
+        '<row Text="&lt;row Id=&quot;9&quot; />" Id="6"/>', "<rowset Id='9'/>", "<rows/>", "<!-- a note -->", '<row Id="7"/><row Id="8"/>',
+        "<row Text='> /> \"' Id='10'/>",
+    ]
+    path = write(tmp_path, ROOTED % "\n".join(rows))
+    expected = [None, None, 1, 2, 3, 4, 5, 6, 7, 8, 10]
+    for reader in (dump.read_dump_rows, dump.read_dump_rows_whole):
+        got = reader(spark, path, COMMENTS).select("Id", "Text").collect()
+        assert sorted((r.Id for r in got), key=lambda v: (v is not None, v)) == expected
+        assert {r.Id: r.Text for r in got}[6] == '<row Id="9" />'
+    assert dump.read_dump_rows(spark, path, COMMENTS).count() == len(expected)
+
+
+@pytest.mark.parametrize("size", ["1k", "7k"])
+def test_no_row_is_lost_at_the_edges_of_splits(spark, tmp_path, size):
+    layouts = ('<row Id="{}" Text="{}" />\n', '<row\tId="{}" Text="{}"/>', '<row\n Id="{}"\n Text="{}"></row>')
+    body = "".join(layouts[i % 3].format(i, "x" * (i % 97)) for i in range(3000))
+    path = write(tmp_path, ROOTED % body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        ids = dump.read_dump_rows(spark, path, COMMENTS).select("Id").collect()
+        assert sorted(r.Id for r in ids) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        ROOTED % '<row Id="1"/>\n<!-- <row Id="9" /> -->',
+        ROOTED % '<row Id="1"/>\n<![CDATA[ <row Id="9" /> ]]>',
+        '<comments>\n<row Id="1"/>\n<row Id="2" Text="cut',
+        '<comments>\n<row Id="1"/>\n<row Id="2" Text="cut"',
+        '<comments>\n<row Id="1"/>\n<row',
+        '<comments>\n<row Id="1"/>\n',
+        '  <row Id="1"/>\n<row Id="2',
+    ],
+)
+def test_broken_or_hidden_rows_fail_the_read(spark, tmp_path, text):
+    with pytest.raises(Exception, match="cut off|does not end|spans a row"):
+        dump.read_dump_rows(spark, write(tmp_path, text), COMMENTS).count()
+
+
+def test_rows_in_comments_are_no_rows(spark, tmp_path):
+    path = write(tmp_path, ROOTED % '<row Id="1"/>\n<!-- <row Id="9" /> -->')
+    assert [r.Id for r in dump.read_dump_rows_whole(spark, path, COMMENTS).collect()] == [1]
+
+
 def test_only_wanted_files_and_missing_one_is_skipped(spark, dump_dir, caplog):
     found = dump.read_dump(spark, dump_dir)
     assert sorted(found) == ["comments", "posts"]
