@@ -87,5 +87,5 @@ def default_tasks(spark: SparkSession) -> int:
 
 def limit_threads() -> None:
     """One thread per task for the numeric libraries; Spark already runs one task per core."""
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS", "RAYON_NUM_THREADS"):
         os.environ.setdefault(name, "1")

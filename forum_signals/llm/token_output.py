@@ -8,9 +8,9 @@ ranges of document ids: their statistics do not overlap, and a range of document
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from forum_signals.llm.common import arrow_bytes, default_tasks, record_batch, slices
+from forum_signals.llm.common import arrow_bytes, default_tasks, limit_threads, record_batch, slices
 
 STRIPE_BYTES = 16_777_216
 ROW_INDEX = 1_000
-REMEMBERED = 250_000
+#: Distinct words a Python worker remembers, over all its tasks; forgotten all at once beyond that.
+REMEMBERED = 1_000_000
 
 _FILE = (
     T.StructType().add("id", "long").add("run", "integer").add("at", "long").add("n_tokens", "long")
@@ -35,22 +36,64 @@ _DIGEST = (
 )
 
 
+#: Words of these characters only are normalised here instead of in the library: printable ASCII and the Latin letters
+#: that have one code point, one lower case and no accent to compose.
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Fixed value: the tokenizer file's pattern, restricted to those characters in lower case.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Words encoded in one call.
+CALL_WORDS = 2_000
+
+
 class Words(dict):
-    """Blank-separated word -> ids. Such words are encoded independently of each other, so each is asked for once."""
+    """Blank-separated word -> its ids as bytes. Such words are encoded independently of each other, so each is asked for once.
+
+    The library's merges do the work. Most of its time goes to normalising and splitting, which for plain words
+    comes to lower case and a pattern; other words go through the whole library.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.library = Tokenizer.from_file(path)
-
-    def encode(self, text: bytes | None, end_id: int) -> np.ndarray:
-        words = (text or b"").split()
+        self.merges = Tokenizer(self.library.model)
+        self.mark = _byte_symbol(0)
+        (self.mark_id,) = self.merges.encode([self.mark], is_pretokenized=True, add_special_tokens=False).ids
+        names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(names) or "(?!)")
+        letters = [chr(c) for c in range(0xC0, 0x100)]  # the mark is above these and stays
+        self.shown = str.maketrans({c: "".join(map(_byte_symbol, c.encode())) for c in letters})
+
+    def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
+        """The ids of each text and then ``end``, as little-endian 32-bit integers."""
+        words = [(text or b"").split() for text in texts]
         if len(self) > REMEMBERED:
             self.clear()
-        unseen = list({word for word in words if word not in self})
-        if unseen:
-            found = self.library.encode_batch([word.decode("utf-8") for word in unseen], add_special_tokens=False)
-            self.update(zip(unseen, (encoding.ids for encoding in found)))
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), (end_id,)), dtype=np.int32)
+        unseen = list(set().union(*words).difference(self))
+        for at in range(0, len(unseen), CALL_WORDS):
+            self._ask(unseen[at : at + CALL_WORDS])
+        return [b"".join(map(self.__getitem__, own)) + end for own in words]
+
+    def _ask(self, raw: list[bytes]) -> None:
+        texts = [word.decode("utf-8") for word in raw]
+        plain = [PLAIN.fullmatch(t) is not None and self.special.search(t) is None for t in texts]
+        other = [(r, t) for r, t, p in zip(raw, texts, plain) if not p]
+        for (r, _), found in zip(other, self.library.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+            self[r] = np.array(found.ids, dtype="<i4").tobytes()
+        known = [(r, PIECES.findall(t.lower())) for r, t, p in zip(raw, texts, plain) if p]
+        if not known:
+            return
+        # a zero byte, which no plain word holds, is put after each word to tell where its ids end
+        pieces = [p if p.isascii() else p.translate(self.shown) for _, own in known for p in (*own, self.mark)]
+        ids = np.array(self.merges.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<i4")
+        ends = np.flatnonzero(ids == self.mark_id).tolist()
+        for (r, _), first, last in zip(known, [0, *(e + 1 for e in ends)], ends, strict=False):
+            self[r] = ids[first:last].tobytes()
+
+
+def _byte_symbol(byte: int) -> str:
+    """The character that byte-level vocabularies write for a byte above 127: itself, or the next free one above 255."""
+    hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    return chr(256 + hidden.index(byte)) if byte in hidden else chr(byte)
 
 
 _words: dict[str, Words] = {}
@@ -71,16 +114,17 @@ def write_tokens(
     ordered = keyed.repartitionByRange(files or default_tasks(spark), "id", "tie").sortWithinPartitions("id", "tie")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, at = TaskContext.get().partitionId(), 0
+        limit_threads()
+        run, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<i4").tobytes()
         if tokenizer not in _words:
             _words[tokenizer] = Words(tokenizer)
         words = _words[tokenizer]
         for part in slices(batches, text=1):
-            ids = [words.encode(text, end_id) for text in arrow_bytes(part.column(1))]
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            ids = words.encode(arrow_bytes(part.column(1)), end)
+            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate(ids)))
+            flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
             yield record_batch(_FILE, [part.column(0), [run] * len(ids), starts, sizes, flat.cast(pa.list_(pa.field("element", pa.int32())))])
 
     options = {
