@@ -11,19 +11,24 @@ from forum_signals.functions.text import tokenize
 from forum_signals.operators.sampling import all_draws, repeated_samples, sample_titles, with_draws
 from forum_signals.operators.topics import supported_tags, top_tags
 from forum_signals.settings import AnalysisSettings
+from forum_signals.sources.tables import write_table
 
 
-def score_titles(titles: DataFrame, norms: DataFrame, group: Sequence[str]) -> DataFrame:
-    """``n_words_matched`` and the mean norm of all matched tokens, per group.
+def matched_tokens(titles: DataFrame, norms: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``token, n, score`` per group: how often each token that has a norm occurs in ``title``.
 
     Tokens are counted per group before they meet the norms, so a frequent word is one row.
     Whether the norms are broadcast is left to Spark, which measures them.
     """
     tokens = titles.select(*group, F.explode(tokenize(F.col("title"))).alias("token"))
     counted = tokens.groupBy(*group, "token").agg(F.count("*").alias("n"))
-    matched = counted.join(norms, "token", "inner")
+    return counted.join(norms, "token", "inner")
+
+
+def score_titles(titles: DataFrame, norms: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``n_words_matched`` and the mean norm of all matched tokens, per group."""
     return (
-        matched.groupBy(*group)
+        matched_tokens(titles, norms, group).groupBy(*group)
         .agg(F.sum("n").alias("n_words_matched"), F.sum(F.col("n") * F.col("score")).alias("_sum"))
         .withColumn("concreteness_score", F.col("_sum") / F.col("n_words_matched"))
         .drop("_sum")
@@ -31,11 +36,14 @@ def score_titles(titles: DataFrame, norms: DataFrame, group: Sequence[str]) -> D
 
 
 def concreteness_per_topic(
-    question_tags: DataFrame, questions: DataFrame, norms: DataFrame, settings: AnalysisSettings
+    question_tags: DataFrame, questions: DataFrame, norms: DataFrame, settings: AnalysisSettings, folder: str
 ) -> DataFrame:
-    """``topic, n_sampled, n_words_matched, concreteness_score`` for every supported tag."""
-    topics = supported_tags(question_tags, settings.min_questions)
-    sample = sample_titles(question_tags, questions, topics, settings.sample_size, settings.seed, settings.top_n)
+    """``topic, n_sampled, n_words_matched, concreteness_score`` for every supported tag.
+
+    The tags are counted once, and the counts and the samples are kept below ``folder``.
+    """
+    topics = write_table(supported_tags(question_tags, settings.min_questions), f"{folder}/topics")
+    sample = sample_titles(question_tags, questions, topics, settings.sample_size, settings.seed, folder)
     sizes = sample.groupBy("tag").agg(F.count("*").alias("n_sampled"))
     scores = score_titles(sample, norms, ["tag"])
     return (
@@ -60,12 +68,15 @@ def score_range(scores: DataFrame) -> DataFrame:
 
 
 def sample_stability(
-    question_tags: DataFrame, questions: DataFrame, norms: DataFrame, settings: AnalysisSettings
+    question_tags: DataFrame, questions: DataFrame, norms: DataFrame, settings: AnalysisSettings, folder: str
 ) -> DataFrame:
-    """Scores of repeated samples: ``tag, sample_size, run, n_words_matched, concreteness_score``."""
+    """Scores of repeated samples: ``tag, sample_size, run, n_words_matched, concreteness_score``.
+
+    The tags are counted once, and the counts and the samples are kept below ``folder``.
+    """
     sizes, runs = settings.stability_sizes, settings.stability_runs
-    tags = top_tags(question_tags, settings.stability_tags, settings.min_questions)
-    sample = repeated_samples(question_tags, questions, tags, sizes, runs, settings.seed, settings.stability_tags)
+    tags = write_table(top_tags(question_tags, settings.stability_tags, settings.min_questions), f"{folder}/topics")
+    sample = repeated_samples(question_tags, questions, tags, sizes, runs, settings.seed, folder)
     group = ["tag", "sample_size", "run"]
     scores = score_titles(sample, norms, group)
     return (

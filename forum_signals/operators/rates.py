@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forum_signals.functions.lexicon import CATEGORY_PREFIX
+from forum_signals.functions.lexicon import CATEGORY_PREFIX, PHRASES
 from forum_signals.functions.matching import HAS_MISCOMM, category_columns, flag_columns
 from forum_signals.operators.model import ANSWER
 
@@ -109,3 +109,9 @@ def global_rate_per_category(question_flags: DataFrame) -> DataFrame:
         "total_miscomm",
         F.try_divide("total_miscomm", "total_questions").alias("global_miscomm_rate"),
     )
+
+
+def by_category_order(rows: DataFrame, *then: Column | str) -> DataFrame:
+    """Category by category in the lexicon's order, then as given. For reports, whose rows are few."""
+    order = F.array_position(F.array(*[F.lit(name) for name in PHRASES]), F.col("category"))
+    return rows.orderBy(order, *then)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forum_signals.functions.text import parse_tags
-from forum_signals.operators.bounded import broadcast_if_bounded
 
 
 def explode_tags(questions: DataFrame) -> DataFrame:
@@ -25,8 +24,8 @@ def top_tags(question_tags: DataFrame, n: int, min_questions: int = 0) -> DataFr
 
 
 def keep_top_tags(question_tags: DataFrame, n: int) -> DataFrame:
-    """Rows of the n most frequent tags. The kept list has at most n rows."""
-    top = broadcast_if_bounded(top_tags(question_tags, n).select("tag"), n)
+    """Rows of the n most frequent tags. The list is bounded by its limit, from which Spark decides whether to broadcast it."""
+    top = top_tags(question_tags, n).select("tag")
     return question_tags.join(top, "tag", "left_semi").select("question_id", "tag")
 
 
@@ -35,5 +34,5 @@ def distinct_tag_count(question_tags: DataFrame) -> DataFrame:
 
 
 def supported_tags(question_tags: DataFrame, min_questions: int) -> DataFrame:
-    """Tags with at least ``min_questions`` rows, by name."""
-    return tag_counts(question_tags).where(F.col("n_questions") >= min_questions).orderBy("tag")
+    """Tags with at least ``min_questions`` rows, in no order."""
+    return tag_counts(question_tags).where(F.col("n_questions") >= min_questions)

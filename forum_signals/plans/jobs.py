@@ -59,6 +59,10 @@ class Workspace:
         # Posts are laid out by type: a scan of answers then skips the bodies of questions.
         return write_table(df, self.path(name), SCHEMAS.get(name), "PostTypeId" if name == "posts" else None)
 
+    def scratch(self, name: str) -> str:
+        """A folder for intermediate tables of one job; a rerun overwrites it."""
+        return f"{self.folder.rstrip('/')}/scratch/{name}"
+
     def report(self, name: str, df: DataFrame, columns: dict[str, str] | None = None) -> None:
         write_report(df, f"{self.folder.rstrip('/')}/results/{name}.csv", columns)
 
@@ -132,9 +136,19 @@ def count_topics(work: Workspace) -> DataFrame:
 def report_rates(work: Workspace, counts: DataFrame) -> None:
     question_flags = work.table("question_miscomm")
     work.report("global_summary", rates.global_summary(question_flags, work.posts, work.comments, work.tags))
-    work.report("global_summary_by_category", rates.global_rate_per_category(question_flags))
+    report_global_categories(work, question_flags)
+    report_topic_rates(work, counts)
+
+
+def report_global_categories(work: Workspace, question_flags: DataFrame) -> None:
+    by_category = rates.global_rate_per_category(question_flags)
+    work.report("global_summary_by_category", rates.by_category_order(by_category))
+
+
+def report_topic_rates(work: Workspace, counts: DataFrame) -> None:
     work.report("track_a_tags", rates.rate_per_topic(counts))
-    work.report("track_a_tags_by_category", rates.rate_per_topic_category(counts))
+    by_category = rates.rate_per_topic_category(counts)
+    work.report("track_a_tags_by_category", rates.by_category_order(by_category, "topic"))
 
 
 def report_contingency(work: Workspace, counts: DataFrame) -> None:
@@ -145,7 +159,9 @@ def report_contingency(work: Workspace, counts: DataFrame) -> None:
 
 def report_concreteness(work: Workspace, norms: DataFrame) -> DataFrame:
     """Concreteness per topic; returns the range of the scores."""
-    scores = concreteness.concreteness_per_topic(work.table("question_tags"), work.questions, norms, work.settings)
+    scores = concreteness.concreteness_per_topic(
+        work.table("question_tags"), work.questions, norms, work.settings, work.scratch("concreteness")
+    )
     scores = work.save("topic_abstractness_tags", scores)
     work.report("topic_abstractness_tags", scores.orderBy("topic"))
     return concreteness.score_range(scores)
@@ -153,7 +169,9 @@ def report_concreteness(work: Workspace, norms: DataFrame) -> DataFrame:
 
 def report_stability(work: Workspace, norms: DataFrame) -> DataFrame:
     """Scores of repeated samples; returns mean and deviation per tag and size."""
-    runs = concreteness.sample_stability(work.table("question_tags"), work.questions, norms, work.settings)
+    runs = concreteness.sample_stability(
+        work.table("question_tags"), work.questions, norms, work.settings, work.scratch("stability")
+    )
     runs = work.save("sample_stability", runs)
     work.report("sample_stability", runs.orderBy("tag", "sample_size", "run"))
     return concreteness.stability_summary(runs)

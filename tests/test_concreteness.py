@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import statistics
@@ -11,6 +12,7 @@ from forum_signals.settings import AnalysisSettings
 
 NORMS = {"apple": 5.0, "idea": 1.5, "red": 4.0, "of": 1.25}
 SIZES, RUNS, SEED = (3, 5, 40), 4, "q"
+folders = itertools.count()
 SETTINGS = AnalysisSettings(
     top_n=10, min_questions=5, sample_size=7, stability_sizes=SIZES, stability_runs=RUNS, stability_tags=3, seed=SEED
 )
@@ -53,9 +55,9 @@ def brute_score(titles):
     return len(scores), (sum(scores) / len(scores) if scores else None)
 
 
-def test_sample_and_scores_against_brute_force(data):
+def test_sample_and_scores_against_brute_force(data, tmp_path):
     titles, pairs, questions, tags, norms = data
-    sample = sampling.sample_titles(tags, questions, topics.tag_counts(tags), 7, SEED, 10)
+    sample = sampling.sample_titles(tags, questions, topics.tag_counts(tags), 7, SEED, str(tmp_path))
     got = {}
     for row in sample.collect():
         got.setdefault(row.tag, set()).add(row.question_id)
@@ -63,7 +65,7 @@ def test_sample_and_scores_against_brute_force(data):
     for tag in ("hot", "small", "few"):
         assert got[tag] == set(brute_sample(titles, pairs, tag, 7, SEED)), tag
     assert "none" not in got
-    scores = {r.topic: r for r in concreteness.concreteness_per_topic(tags, questions, norms, SETTINGS).collect()}
+    scores = {r.topic: r for r in concreteness.concreteness_per_topic(tags, questions, norms, SETTINGS, str(tmp_path / "c")).collect()}
     assert set(scores) == {"hot", "small", "few", "none"}
     for tag in ("hot", "small", "few"):
         chosen = brute_sample(titles, pairs, tag, 7, SEED)
@@ -73,9 +75,9 @@ def test_sample_and_scores_against_brute_force(data):
     assert tuple(scores["none"])[1:] == (0, 0, None)
 
 
-def test_stability_against_brute_force(data):
+def test_stability_against_brute_force(data, tmp_path):
     titles, pairs, questions, tags, norms = data
-    runs = concreteness.sample_stability(tags, questions, norms, SETTINGS)
+    runs = concreteness.sample_stability(tags, questions, norms, SETTINGS, str(tmp_path / "c"))
     rows = runs.collect()
     assert len(rows) == 3 * len(SIZES) * RUNS and {r.tag for r in rows} == {"hot", "few", "small"}
     for r in rows:
@@ -89,11 +91,11 @@ def test_stability_against_brute_force(data):
     assert summary["hot", 5].std == pytest.approx(statistics.stdev(draws))
 
 
-def test_unlucky_draws_are_drawn_again(data):
-    """With no chance to enter a draw at first, every draw must come from the second round."""
+def test_unlucky_draws_are_drawn_again(data, tmp_path):
+    """With no chance to enter a draw at first, every draw must come from a later try."""
     titles, pairs, questions, tags, _ = data
     inflated = topics.tag_counts(tags).where("tag IN ('hot', 'small')").withColumn("n_questions", F.lit(10**12))
-    sample = sampling.repeated_samples(tags, questions, inflated, SIZES, RUNS, SEED, 2)
+    sample = sampling.repeated_samples(tags, questions, inflated, SIZES, RUNS, SEED, str(tmp_path))
     got = {}
     for r in sample.collect():
         got.setdefault((r.tag, r.sample_size, r.run), []).append(r.title)
@@ -103,7 +105,7 @@ def test_unlucky_draws_are_drawn_again(data):
     assert len(got) == 2 * len(SIZES) * RUNS
 
 
-def test_large_tag_with_mostly_missing_titles(spark):
+def test_large_tag_with_mostly_missing_titles(spark, tmp_path):
     """More pairs than enter a draw, and too few titles among those that do."""
     questions = spark.range(20_000).select(
         F.col("id").alias("question_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("t"), "id")).alias("title")
@@ -111,20 +113,23 @@ def test_large_tag_with_mostly_missing_titles(spark):
     tags = questions.select("question_id", F.lit("big").alias("tag"))
     titles = {q: f"t{q}" if q % 100 == 0 else None for q in range(20_000)}
     pairs = [(q, "big") for q in range(20_000)]
-    sample = sampling.sample_titles(tags, questions, topics.tag_counts(tags), 10, SEED, 1)
+    sample = sampling.sample_titles(tags, questions, topics.tag_counts(tags), 10, SEED, str(tmp_path / str(next(folders))))
     assert {r.question_id for r in sample.collect()} == set(brute_sample(titles, pairs, "big", 10, SEED))
-    full = sampling.sample_titles(tags, questions.fillna("x", ["title"]), topics.tag_counts(tags), 10, SEED, 1)
+    full = sampling.sample_titles(tags, questions.fillna("x", ["title"]), topics.tag_counts(tags), 10, SEED, str(tmp_path / str(next(folders))))
     filled = {q: t or "x" for q, t in titles.items()}
     assert {r.question_id for r in full.collect()} == set(brute_sample(filled, pairs, "big", 10, SEED))
 
 
-def test_first_rows_are_cut_before_the_shuffle(spark):
-    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
-    kept = sampling.first_rows(rows, ["g"], ["v"], 5)
-    assert {(r.g, r.v) for r in kept.collect()} == {(v % 3, v) for v in range(15)}
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 2 and "_salt" in plan
-
+@pytest.mark.parametrize("n", [50, 1280, 5000])
+def test_few_pairs_enter_a_draw_whatever_its_size(spark, n):
+    """About margin(n) pairs of a large tag become rows for a draw, and no window limit is relied on."""
+    pairs = spark.range(60_000).select(F.col("id").alias("question_id"), F.lit("big").alias("tag"))
+    tries = sampling._first_tries(topics.tag_counts(pairs), [(n, 1), (n, 2)])
+    entered = sampling.entering(pairs, tries, lambda size, run, tag, question: sampling.draw_key("s", size, run, tag, question))
+    counts = [r["count"] for r in entered.groupBy("run").count().collect()]
+    assert len(counts) == 2 and all(n <= c <= sampling.margin(sampling.margin(n)) for c in counts)
+    plan = entered._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and "Window" not in plan
 
 
 def test_score_range(spark):

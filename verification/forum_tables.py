@@ -1,6 +1,7 @@
 """A forum derived from the given tables, over whole tables and whole texts.
 
-orders      -> questions (title: opening turn of a conversation; tags: segment, status, nation)
+orders      -> questions (title: opening user turn of a conversation, whose other turns are comments; tags: segment,
+               status, nation)
 lineitem    -> short answers with markup, an encoded tag and a code block that must not match
 documents   -> long answers
 pages       -> answers of raw HTML, some without a parent, some with an unknown parent
@@ -20,11 +21,11 @@ from forum_signals.operators.model import questions as question_view
 from forum_signals.plans.forum import Forum
 from forum_signals.sources.norms import clean_norms
 from forum_signals.sources.schemas import COMMENTS, POSTS, TAGS, enforce
-from pyspark.sql import Window
 from verification.phrases import SPLICED, TEST_SETTINGS
 
 # Identifier ranges of the derived posts.
-LINE, WIKI, DOCUMENT, PAGE, ELSEWHERE = (k * 10**12 for k in (1, 2, 4, 5, 9))
+TURN, WIKI, DOCUMENT, PAGE, ELSEWHERE = (k * 10**12 for k in (1, 2, 4, 5, 9))
+LINE = 10**18
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,22 +88,27 @@ def _reply(**columns: Column) -> list[Column]:
     return [{**blank, **columns}[f.name].alias(f.name) for f in POSTS.schema]
 
 
+def line_key() -> Column:
+    """Order and line number as one number; several lines of the table can share it."""
+    return F.col("l_orderkey") * 10 + F.col("l_linenumber")
+
+
+def line_id() -> Column:
+    return LINE + line_key() * 10**9 + F.col("l_partkey") * 10**4 + F.col("l_suppkey")
+
+
 def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = (
-        load(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(F.min("l_partkey").alias("p_partkey"), F.min("l_shipdate").alias("shipped"), F.min("l_quantity").alias("q"))
-        .join(load(spark, sf_dir, "part"), "p_partkey")
-    )
+    """Every line of the table is an answer to its order's question."""
+    lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     body = F.concat(
         F.lit("<p>"), "p_name", F.lit(" &amp; "), "p_type", F.lit(" List&lt;which one&gt; "),
-        phrase(key("a", "l_orderkey", "l_linenumber", "p_partkey")),
+        phrase(key("a", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
         F.lit("</p><pre><code>how do i</code></pre>"),
     )
     return lines.select(
         *_reply(
-            Id=LINE + F.col("l_orderkey") * 10 + F.col("l_linenumber"), PostTypeId=F.lit(2),
-            ParentId=F.col("l_orderkey") * 10, Body=body, CreationDate=iso(F.col("shipped")), Score=F.floor("q"),
+            Id=line_id(), PostTypeId=F.lit(2), ParentId=F.col("l_orderkey") * 10, Body=body,
+            CreationDate=iso(F.col("l_shipdate")), Score=F.floor("l_quantity"),
         )
     )
 
@@ -150,9 +156,11 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     event_target = (
         F.when(kind.isin("view", "signup"), F.col("event_id") * 10)
         .when(kind == "error", WIKI + F.col("user_id"))
-        .otherwise(LINE + F.col("event_id") * 10 + 1 + F.col("user_id") % 7)
+        .otherwise(F.coalesce("first_line", LINE + F.col("line")))
     )
-    from_events = load(spark, sf_dir, "events").select(
+    lines = load(spark, sf_dir, "lineitem").groupBy(line_key().alias("line")).agg(F.min(line_id()).alias("first_line"))
+    events = load(spark, sf_dir, "events").withColumn("line", F.col("event_id") * 10 + 1 + F.col("user_id") % 7)
+    from_events = events.join(lines, "line", "left").select(
         F.col("event_id").alias("Id"),
         event_target.alias("PostId"),
         F.concat_ws(" ", "event_type", "props", phrase(key("c", "event_id"))).alias("Text"),
@@ -165,7 +173,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(WIKI + F.col("conv_id"))
     )
     from_turns = load(spark, sf_dir, "conversations").select(
-        (LINE + F.col("conv_id") * 1000 + F.col("turn")).alias("Id"),
+        (TURN + F.col("conv_id") * 1000 + F.col("turn")).alias("Id"),
         turn_target.alias("PostId"),
         F.concat_ws(" ", "text", phrase(key("t", "conv_id", "turn"))).alias("Text"),
         F.lit(None).cast("string").alias("CreationDate"),
@@ -177,7 +185,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tag_counts(explode_tags(question_view(question_posts(spark, sf_dir))))
     numbered = counts.select(
-        F.row_number().over(Window.orderBy("tag")).alias("Id"),
+        (hash_number(F.col("tag")) % 1_000_000_007).alias("Id"),
         F.col("tag").alias("TagName"),
         F.col("n_questions").alias("Count"),
     )
@@ -185,9 +193,8 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``Word, Conc, position``: each word of the English documents twice, some unrated."""
-    english = load(spark, sf_dir, "documents").where(F.col("lang") == "en")
-    words = english.select(F.explode(tokenize(F.col("text"))).alias("w")).distinct()
+    """``Word, Conc, position``: each word of the documents twice, some unrated."""
+    words = load(spark, sf_dir, "documents").select(F.explode(tokenize(F.col("text"))).alias("w")).distinct()
     bucket = hash_number(F.col("w"))
     first = words.select(F.upper("w").alias("Word"), (1 + bucket % 401 / 100).alias("Conc"), F.lit(1).alias("position"))
     second = words.select(

@@ -1,7 +1,9 @@
-"""DuckDB SQL giving the result each registered query must have, written independently of it.
+"""DuckDB SQL giving the result each registered query must have.
 
 The text expressions use the plain lexicon form (one bounded alternative per phrase); the
-derived forum is built by SQL from the same given tables.
+derived forum is built by SQL from the same given tables. The fixed values (the phrases, the
+gap's length, the class of blanks and which phrases have slots) are taken from the package, so
+this side cannot notice if one of them is wrong or lost; sentences typed by hand in the tests do.
 """
 
 from __future__ import annotations
@@ -82,7 +84,8 @@ def comma(parts) -> str:
 
 BLANK_REPLY = "NULL::VARCHAR AS Title, NULL::VARCHAR AS Tags"
 COUNTS = "0::INTEGER AS AnswerCount, 0::INTEGER AS ViewCount"
-KEY_LINE = "'a:' || l_orderkey || ':' || l_linenumber || ':' || p_partkey"
+KEY_LINE = "'a:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey"
+LINE_ID = "1000000000000000000 + (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey"
 
 CTES: dict[str, str] = {
     "f_openings": "SELECT conv_id AS opening, text AS Title FROM conversations WHERE turn = 0 AND role = 'user'",
@@ -95,17 +98,15 @@ CTES: dict[str, str] = {
                c_nationkey::INTEGER AS AnswerCount, floor(o_totalprice)::INTEGER AS ViewCount
         FROM orders JOIN customer ON o_custkey = c_custkey
         LEFT JOIN f_openings ON opening = o_orderkey % (SELECT max(conv_id) + 1 FROM conversations)""",
-    "f_lines": """
-        SELECT l_orderkey, l_linenumber, min(l_partkey) AS p_partkey, min(l_shipdate) AS shipped, min(l_quantity) AS q
-        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "f_first_lines": f"SELECT l_orderkey * 10 + l_linenumber AS line, min({LINE_ID}) AS first_line FROM lineitem GROUP BY 1",
     "f_posts": f"""
         SELECT * FROM f_question_posts
         UNION ALL BY NAME
-        SELECT 1000000000000 + l_orderkey * 10 + l_linenumber AS Id, 2::TINYINT AS PostTypeId,
+        SELECT {LINE_ID} AS Id, 2::TINYINT AS PostTypeId,
                l_orderkey * 10 AS ParentId, '<p>' || p_name || ' &amp; ' || p_type || ' List&lt;which one&gt; '
                || {phrase(KEY_LINE)} || '</p><pre><code>how do i</code></pre>' AS Body, {BLANK_REPLY},
-               {iso('shipped')} AS CreationDate, floor(q)::INTEGER AS Score, {COUNTS}
-        FROM f_lines JOIN part USING (p_partkey)
+               {iso('l_shipdate')} AS CreationDate, floor(l_quantity)::INTEGER AS Score, {COUNTS}
+        FROM lineitem JOIN part ON l_partkey = p_partkey
         UNION ALL BY NAME
         SELECT 4000000000000 + doc_id AS Id, 2::TINYINT AS PostTypeId, doc_id * 10 AS ParentId,
                '<div>' || text || ' ' || {phrase("'d:' || doc_id")} || '</div>' AS Body, {BLANK_REPLY},
@@ -126,10 +127,10 @@ CTES: dict[str, str] = {
         SELECT event_id AS Id,
                CASE WHEN event_type IN ('view', 'signup') THEN event_id * 10
                     WHEN event_type = 'error' THEN 2000000000000 + user_id
-                    ELSE 1000000000000 + event_id * 10 + 1 + user_id % 7 END AS PostId,
+                    ELSE coalesce(first_line, 1000000000000000000 + event_id * 10 + 1 + user_id % 7) END AS PostId,
                concat_ws(' ', event_type, props, {phrase("'c:' || event_id")}) AS Text,
                {iso('ts')} AS CreationDate, floor(value)::INTEGER AS Score
-        FROM events
+        FROM events LEFT JOIN f_first_lines ON line = event_id * 10 + 1 + user_id % 7
         UNION ALL
         SELECT 1000000000000 + conv_id * 1000 + turn,
                CASE WHEN role = 'user' THEN conv_id * 10 WHEN role = 'assistant' THEN 4000000000000 + conv_id
@@ -167,8 +168,8 @@ CTES: dict[str, str] = {
         SELECT question_id, unnest(regexp_extract_all(raw_tags, '<([^>]+)>', 1)) AS tag FROM f_questions""",
     "f_top": f"SELECT tag, count(*) AS n_questions FROM f_all_tags GROUP BY tag ORDER BY 2 DESC, 1 LIMIT {S.top_n}",
     "f_tags": "SELECT question_id, tag FROM f_all_tags WHERE tag IN (SELECT tag FROM f_top)",
-    "f_named_tags": """
-        SELECT (row_number() OVER (ORDER BY tag))::INTEGER AS Id, tag AS TagName, count(*)::INTEGER AS "Count"
+    "f_named_tags": f"""
+        SELECT ({hash_number('tag')} % 1000000007)::INTEGER AS Id, tag AS TagName, count(*)::INTEGER AS "Count"
         FROM f_all_tags GROUP BY tag""",
     "f_tagged": "SELECT * FROM f_tags JOIN f_miscomm USING (question_id)",
     "f_counts": f"""
@@ -189,7 +190,7 @@ CTES: dict[str, str] = {
         for n in PHRASES
     ),
     "f_words": """
-        SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'""",
+        SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents""",
     "f_norms": f"""
         SELECT w AS token, CASE WHEN {hash_number('w')} % 5 <> 0
                THEN 1 + ({hash_number('w')} // 7) % 401 / 100 ELSE 1 + {hash_number('w')} % 401 / 100 END AS score
@@ -350,6 +351,25 @@ def body_digest(fn) -> str:
     return f"SELECT answer_id, length(t)::INTEGER AS n, md5(t) AS digest FROM (SELECT answer_id, {fn} AS t FROM f_answers)"
 
 
+def place(order: str) -> str:
+    return f"(row_number() OVER (ORDER BY {order}))::INTEGER AS place"
+
+
+def row_digest(*columns: str) -> str:
+    shown = comma(f"coalesce({c}::VARCHAR, '~')" for c in columns)
+    return f"md5(concat_ws('|', {shown})) AS digest"
+
+
+def log_tail(x: str, df: str) -> str:
+    """log10 of the upper chi-square tail: the finite sum for whole and half numbers, scaled by its largest term."""
+    h, odd = f"({x} / 2.0)", f"({df} % 2)"
+    terms = f"list_transform(range(0, ({df}) // 2), lambda n: (n + {odd} / 2.0) * ln({h}) - lgamma(n + 1 + {odd} / 2.0))"
+    # erfc of the root, by its continued fraction, belongs to odd numbers
+    fraction = f"list_reduce(list_concat([sqrt({h})], list_transform(range(200, 0, -1), lambda k: k::DOUBLE)), lambda acc, k: sqrt({h}) + k / 2 / acc)"
+    logs = f"list_concat({terms}, CASE WHEN {odd} = 1 THEN [-0.5 * ln(pi()) - ln({fraction})] ELSE [] END)"
+    return f"(list_max({logs}) + ln(list_sum(list_transform({logs}, lambda t: exp(t - list_max({logs}))))) - {h}) / ln(10)"
+
+
 RATE = "n_total AS n_questions, n_miscomm, round(n_miscomm / n_total, 9) AS miscomm_rate"
 CELLS = "n_miscomm, n_no_miscomm, n_total"
 CORRELATION_P = f"""
@@ -394,7 +414,7 @@ ORACLE: dict[str, str] = {
     "a9_named_views": """
         SELECT q.question_id, count(a.answer_id) AS n_answers, max(a.score) AS best_score FROM f_questions q
         LEFT JOIN f_answers a ON a.question_id = q.question_id GROUP BY q.question_id""",
-    "a10_csv_report": f"SELECT topic, {RATE} FROM f_contingency",
+    "a10_csv_report": f"SELECT topic, {RATE}, {place('n_miscomm / n_total DESC, topic')} FROM f_contingency",
     "a11_word_norms": "SELECT token, round(score, 9) AS score FROM f_norms",
     "a12_discover_categories": "SELECT 'cat_' || category AS column_name, total_miscomm AS n_flagged FROM f_global_category",
     "a13_row_counts": " UNION ALL ".join(
@@ -452,9 +472,13 @@ ORACLE: dict[str, str] = {
         ORDER BY 2 DESC, 1 LIMIT {S.stability_tags}""",
     "e3_title_sample": "SELECT tag, question_id, md5(title) AS digest FROM f_sample",
     "e4_repeated_samples": f"SELECT tag, sample_size, run, n_words_matched, {r9('concreteness_score')} FROM f_stability",
-    "e5_ordered_outputs": """
-        SELECT topic, (row_number() OVER (ORDER BY n_miscomm / n_total DESC, topic))::INTEGER AS rate_place,
-               (row_number() OVER (ORDER BY n_total DESC, topic))::INTEGER AS size_place FROM f_contingency""",
+    "e5_ordered_outputs": f"""
+        SELECT 'rates' AS report, topic, NULL AS category, {place('n_miscomm / n_total DESC, topic')} FROM f_contingency
+        UNION ALL SELECT 'sizes', topic, NULL, {place('n_total DESC, topic')} FROM f_contingency
+        UNION ALL SELECT 'rates_by_category', topic, category,
+            {place(f"list_position({list(PHRASES)}, category), topic")} FROM f_by_category
+        UNION ALL SELECT 'categories', NULL, category, {place(f"list_position({list(PHRASES)}, category)")}
+            FROM f_global_category""",
     "f1_union_flags": """
         SELECT question_id, count(*) AS n_texts, count(*) FILTER (has_miscomm) AS n_flagged FROM f_texts GROUP BY question_id""",
     "f2_stack_categories": "SELECT topic, category, n_miscomm FROM f_by_category",
@@ -511,20 +535,32 @@ ORACLE: dict[str, str] = {
     "h10_rank_correlation": "SELECT 'tags' AS track, round(rho, 9) AS rho, n AS n_topics FROM h_rho",
     "h11_rank_correlation_p": CORRELATION_P,
     "h12_chi_square_tail": f"""
-        SELECT category, df, round(p_value, 9) AS p_value FROM h_tests WHERE category <> 'overall'
-        UNION ALL SELECT 'all', df, round({chi_tail('chi2', 'df')}, 9)
-        FROM (SELECT *, ((n_topics - 1) * (n_cats - 1))::INTEGER AS df FROM h_profile)""",
+        SELECT category, df, round({log_tail('statistic', 'df')}, 6) AS log10_p FROM h_tests WHERE category <> 'overall'
+        UNION ALL SELECT 'all', df, round({log_tail('chi2', 'df')}, 6)
+        FROM (SELECT *, ((n_topics - 1) * (n_cats - 1))::INTEGER AS df FROM h_profile)
+        UNION ALL SELECT 'times ' || k, df, round({log_tail('statistic * k', 'df')}, 6)
+        FROM h_tests, (SELECT unnest([10, 100, 1000]) AS k) WHERE category = 'overall'""",
     "h13_pairwise_by_category": f"""
         SELECT category, topic, {CELLS}, round(p, 9) AS estimate, round(z, 9) AS z, round(p_value, 9) AS p_value,
                round(p - p0 - half, 9) AS ci_lower, round(p - p0 + half, 9) AS ci_upper, round(p_adj, 9) AS p_adj,
                significant, direction FROM h_pairwise WHERE category <> 'overall'""",
 }
-ORACLE["k1_ingest"] = ORACLE["a5_pick_dump_files"]
-ORACLE["k2_model"] = """
-    SELECT 'questions' AS table_name, count(*) AS n_rows FROM f_questions
-    UNION ALL SELECT 'answers', count(*) FROM f_answers UNION ALL SELECT 'comments_enriched', count(*) FROM f_enriched"""
+POST_COLUMNS = ("PostTypeId", "ParentId", "Body", "Title", "Tags", "CreationDate", "Score", "AnswerCount", "ViewCount")
+ORACLE["k1_ingest"] = f"""
+    SELECT 'posts' AS table_name, Id, {row_digest(*POST_COLUMNS)} FROM f_posts
+    UNION ALL SELECT 'comments', Id, {row_digest('PostId', 'Text', 'CreationDate', 'Score')} FROM f_comments
+    UNION ALL SELECT 'tags', Id::BIGINT, {row_digest('TagName', '"Count"')} FROM f_named_tags"""
+ORACLE["k2_model"] = f"""
+    SELECT 'questions' AS table_name, question_id AS id,
+           {row_digest('title', 'raw_tags', 'body', 'created_at', 'score', 'answer_count', 'view_count')} FROM f_questions
+    UNION ALL SELECT 'answers', answer_id, {row_digest('question_id', 'body', 'created_at', 'score')} FROM f_answers
+    UNION ALL SELECT 'comments_enriched', comment_id,
+           {row_digest('post_id', 'question_id', 'text', 'created_at', 'score')} FROM f_enriched"""
 ORACLE["k3_detect"] = ORACLE["d1_question_flags"]
-ORACLE["k4_topics"] = ORACLE["d3_tag_counts"]
+ORACLE["k4_topics"] = f"""
+    SELECT 'question_tags' AS source, question_id, tag, NULL AS n_questions, NULL AS place FROM f_tags
+    UNION ALL SELECT 'tag_counts', NULL, tag, n_questions, {place('n_questions DESC, tag')}
+    FROM (SELECT tag, count(*) AS n_questions FROM f_tags GROUP BY tag)"""
 ORACLE["k5_rates"] = f"""
     SELECT 'track_a_tags' AS report, * FROM ({ORACLE['d5_rate_per_tag']})
     UNION ALL BY NAME SELECT 'track_a_tags_by_category' AS report, * FROM ({ORACLE['d6_rate_per_tag_category']})
@@ -533,12 +569,20 @@ ORACLE["k5_rates"] = f"""
 ORACLE["k6_contingency"] = f"""
     SELECT 'contingency_tags' AS report, * FROM ({ORACLE['d9_contingency']})
     UNION ALL BY NAME SELECT 'contingency_tags_by_category' AS report, * FROM ({ORACLE['d10_contingency_by_category']})"""
-ORACLE["k7_concreteness"] = ORACLE["d13_score_range"]
-ORACLE["k8_stability"] = ORACLE["d12_stability_summary"]
+ORACLE["k7_concreteness"] = f"SELECT *, {place('topic')} FROM ({ORACLE['d11_concreteness_per_tag']})"
+ORACLE["k8_stability"] = f"SELECT *, {place('tag, sample_size, run')} FROM ({ORACLE['e4_repeated_samples']})"
 ORACLE["k9_statistics"] = f"""
     SELECT 'stats_tags_descriptive' AS report, * FROM ({ORACLE['h1_descriptive']})
     UNION ALL BY NAME SELECT 'stats_tags_global_test' AS report, * FROM ({ORACLE['h2_global_test']})
     UNION ALL BY NAME SELECT 'stats_tags_by_category_global_test' AS report, * FROM ({ORACLE['h3_test_per_category']})
+    UNION ALL BY NAME SELECT 'stats_tags_profile_test' AS report, * FROM ({ORACLE['h4_profile_test']})
+    UNION ALL BY NAME SELECT 'stats_tags_pairwise' AS report, topic, {CELLS}, round(p, 9) AS estimate,
+        round(p_value, 9) AS p_value, round(p - p0 - half, 9) AS ci_lower, round(p - p0 + half, 9) AS ci_upper,
+        round(p_adj, 9) AS p_adj, significant, direction FROM h_pairwise WHERE category = 'overall'
+    UNION ALL BY NAME SELECT 'stats_tags_pairwise_by_category' AS report, * EXCLUDE (z)
+        FROM ({ORACLE['h13_pairwise_by_category']})
+    UNION ALL BY NAME SELECT 'stats_tags_logistic' AS report, * FROM ({ORACLE['h8_odds_ratios']})
+        JOIN ({ORACLE['h9_profile_limits']}) USING (term)
     UNION ALL BY NAME SELECT 'stats_tags_abstractness' AS report, * FROM ({ORACLE['h11_rank_correlation_p']})"""
 
 ORACLE = {name: sql(final) for name, final in ORACLE.items()}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forum_signals.functions import matching, text
+from forum_signals.functions import matching, special, text
 from forum_signals.functions.casts import safe_int
 from forum_signals.functions.lexicon import CATEGORY_PREFIX, PHRASES
 from forum_signals.operators import concreteness, flags, model, rates, sampling, stats, topics
@@ -43,6 +44,20 @@ def digest(column: Column | str) -> Column:
     return F.md5(column).alias("digest")
 
 
+def row_digest(*columns: str) -> Column:
+    """One digest of several columns, nulls told apart from texts."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])).alias("digest")
+
+
+def placed(report: DataFrame) -> DataFrame:
+    """A report as read back, with the position of each line in its (single) file."""
+    return report.withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return placed(spark.read.option("header", "true").schema(schema).csv(path))
+
+
 # A. Sources, sinks, tables
 
 
@@ -126,8 +141,7 @@ def a9_named_views(spark, sf_dir):
 def a10_csv_report(spark, sf_dir):
     path = scratch_path(spark, "report")
     write_report(rates.rate_per_topic(forum(spark, sf_dir).topic_counts), path)
-    schema = "topic string, n_questions bigint, n_miscomm bigint, miscomm_rate double"
-    return rounded(spark.read.option("header", "true").schema(schema).csv(path))
+    return rounded(read_report(spark, path, "topic string, n_questions bigint, n_miscomm bigint, miscomm_rate double"))
 
 
 @query
@@ -223,15 +237,12 @@ def c3_tags_with_flags(spark, sf_dir):
 @query
 def c4_tags_with_titles(spark, sf_dir):
     t = forum(spark, sf_dir)
-    pairs = t.question_tags.join(sampling.titled(t.questions).select("question_id", "title"), "question_id")
-    return pairs.select("question_id", "tag", digest("title"))
+    return sampling.tags_with_titles(t.question_tags, t.questions).select("question_id", "tag", digest("title"))
 
 
 @query
 def c5_token_norms(spark, sf_dir):
-    titles = forum(spark, sf_dir).questions.select(F.explode(text.tokenize(F.col("title"))).alias("token"))
-    counted = titles.groupBy("token").agg(F.count("*").alias("n"))
-    return rounded(counted.join(norms(spark, sf_dir), "token"))
+    return rounded(concreteness.matched_tokens(forum(spark, sf_dir).questions, norms(spark, sf_dir), []))
 
 
 # D. Aggregations
@@ -290,12 +301,14 @@ def d10_contingency_by_category(spark, sf_dir):
 
 def _concreteness(spark, sf_dir):
     t = forum(spark, sf_dir)
-    return concreteness.concreteness_per_topic(t.question_tags, t.questions, norms(spark, sf_dir), S)
+    return concreteness.concreteness_per_topic(
+        t.question_tags, t.questions, norms(spark, sf_dir), S, scratch_path(spark, "concreteness")
+    )
 
 
 def _stability(spark, sf_dir):
     t = forum(spark, sf_dir)
-    return concreteness.sample_stability(t.question_tags, t.questions, norms(spark, sf_dir), S)
+    return concreteness.sample_stability(t.question_tags, t.questions, norms(spark, sf_dir), S, scratch_path(spark, "stability"))
 
 
 @query
@@ -330,7 +343,8 @@ def e2_top_supported_tags(spark, sf_dir):
 def e3_title_sample(spark, sf_dir):
     t = forum(spark, sf_dir)
     tags = topics.tag_counts(t.question_tags)
-    sample = sampling.sample_titles(t.question_tags, t.questions, tags, S.sample_size, S.seed, S.top_n)
+    folder = scratch_path(spark, "sample")
+    sample = sampling.sample_titles(t.question_tags, t.questions, tags, S.sample_size, S.seed, folder)
     return sample.select("tag", "question_id", digest("title"))
 
 
@@ -341,11 +355,26 @@ def e4_repeated_samples(spark, sf_dir):
 
 @query
 def e5_ordered_outputs(spark, sf_dir):
-    counts = forum(spark, sf_dir).topic_counts
-    by_rate = rates.rate_per_topic(counts).select("topic", "miscomm_rate", "n_questions")
-    place = F.row_number().over(Window.orderBy(F.desc("miscomm_rate"), "topic"))
-    size_place = F.row_number().over(Window.orderBy(F.desc("n_questions"), "topic"))
-    return by_rate.select("topic", place.alias("rate_place"), size_place.alias("size_place"))
+    """The lines of reports in the order in which their files have them."""
+    t, work = forum(spark, sf_dir).stored(), jobs.Workspace(spark, scratch_path(spark, "job"), S)
+    counts = write_table(t.topic_counts, scratch_path(spark, "counts"))
+    rate, cells = "n_questions bigint, n_miscomm bigint, miscomm_rate double", "n_miscomm bigint, n_no_miscomm bigint, n_total bigint"
+    jobs.report_topic_rates(work, counts)
+    jobs.report_contingency(work, counts)
+    jobs.report_global_categories(work, t.question_miscomm)
+    reports = {
+        "rates": ("track_a_tags", f"topic string, {rate}"),
+        "sizes": ("contingency_tags", f"topic string, {cells}"),
+        "rates_by_category": ("track_a_tags_by_category", f"topic string, category string, {rate}"),
+        "categories": ("global_summary_by_category", "category string, total_questions bigint"),
+    }
+    merged = None
+    for name, (file, schema) in reports.items():
+        one = placed(work.load_report(file, schema))
+        shown = [F.col(c) if c in one.columns else F.lit(None).cast("string").alias(c) for c in ("topic", "category")]
+        one = one.select(F.lit(name).alias("report"), *shown, "place")
+        merged = one if merged is None else merged.unionByName(one)
+    return merged
 
 
 # F. Set operations
@@ -541,10 +570,18 @@ def h11_rank_correlation_p(spark, sf_dir):
 
 @query
 def h12_chi_square_tail(spark, sf_dir):
-    cells = write_table(_by_category(spark, sf_dir), scratch_path(spark, "cells"))
-    tests = stats.homogeneity_test(cells, "category").select("category", "df", "p_value")
-    profile = stats.profile_test(cells).select(F.lit("all").alias("category"), "df", "p_value")
-    return rounded(tests.unionByName(profile))
+    """log10 of tail probabilities, also of statistics far beyond what the tables give."""
+    t = forum(spark, sf_dir).stored()
+    counts = write_table(t.topic_counts, scratch_path(spark, "counts"))
+    cells = rates.contingency_per_topic_category(counts)
+    tests = stats.homogeneity_test(cells, "category").select("category", "df", "statistic")
+    profile = stats.profile_test(cells).select(F.lit("all").alias("category"), "df", F.col("chi2").alias("statistic"))
+    overall = stats.homogeneity_test(rates.contingency_per_topic(counts))
+    larger = overall.select("df", "statistic", F.explode(F.array(*map(F.lit, (10, 100, 1000)))).alias("k")).select(
+        F.concat(F.lit("times "), "k").alias("category"), "df", F.col("statistic") * F.col("k")
+    )
+    tail = special.chi_square_log_p("statistic", "df") / math.log(10)
+    return rounded(tests.union(profile).union(larger).select("category", "df", tail.alias("log10_p")), 6)
 
 
 @query
@@ -562,12 +599,25 @@ def h13_pairwise_by_category(spark, sf_dir):
 @query
 def k1_ingest(spark, sf_dir):
     work = jobs.Workspace(spark, scratch_path(spark, "job"), S)
-    return row_counts(jobs.ingest(work, dump_folder(spark, sf_dir)))
+    jobs.ingest(work, dump_folder(spark, sf_dir))
+    merged = None
+    for name in ("posts", "comments", "tags"):
+        table = work.table(name)
+        others = [c for c in table.columns if c != "Id"]
+        one = table.select(F.lit(name).alias("table_name"), F.col("Id").cast("bigint").alias("Id"), row_digest(*others))
+        merged = one if merged is None else merged.unionByName(one)
+    return merged
 
 
 @query
 def k2_model(spark, sf_dir):
-    return jobs.build_model(fresh_workspace(spark, sf_dir))
+    jobs.build_model(fresh_workspace(spark, sf_dir))
+    merged = None
+    for name in ("questions", "answers", "comments_enriched"):
+        view = spark.table(name)
+        one = view.select(F.lit(name).alias("table_name"), F.col(view.columns[0]).alias("id"), row_digest(*view.columns[1:]))
+        merged = one if merged is None else merged.unionByName(one)
+    return merged
 
 
 @query
@@ -579,7 +629,9 @@ def k3_detect(spark, sf_dir):
 def k4_topics(spark, sf_dir):
     work = fresh_workspace(spark, sf_dir)
     jobs.assign_topics(work)
-    return work.load_report("tag_counts", "tag string, n_questions bigint")
+    report = placed(work.load_report("tag_counts", "tag string, n_questions bigint"))
+    pairs = work.table("question_tags").select(F.lit("question_tags").alias("source"), "question_id", "tag")
+    return pairs.unionByName(report.withColumn("source", F.lit("tag_counts")), allowMissingColumns=True)
 
 
 def _counted(spark, sf_dir):
@@ -633,14 +685,24 @@ def k6_contingency(spark, sf_dir):
 def k7_concreteness(spark, sf_dir):
     work = fresh_workspace(spark, sf_dir)
     jobs.assign_topics(work)
-    return rounded(jobs.report_concreteness(work, norms(spark, sf_dir)))
+    jobs.report_concreteness(work, norms(spark, sf_dir))
+    schema = "topic string, n_sampled bigint, n_words_matched bigint, concreteness_score double"
+    return rounded(placed(work.load_report("topic_abstractness_tags", schema)))
 
 
 @query
 def k8_stability(spark, sf_dir):
     work = fresh_workspace(spark, sf_dir)
     jobs.assign_topics(work)
-    return rounded(jobs.report_stability(work, norms(spark, sf_dir)))
+    jobs.report_stability(work, norms(spark, sf_dir))
+    schema = "tag string, sample_size int, run int, n_words_matched bigint, concreteness_score double"
+    return rounded(placed(work.load_report("sample_stability", schema)))
+
+
+PAIRS = (
+    "topic string, n_miscomm bigint, n_no_miscomm bigint, n_total bigint, p_value double, estimate double, ci_lower double, "
+    "ci_upper double, p_adj double, significant boolean, direction string"
+)
 
 
 @query
@@ -654,8 +716,13 @@ def k9_statistics(spark, sf_dir):
         "stats_tags_global_test": "test string, statistic double, df int, p_value double, cramers_v double",
         "stats_tags_by_category_global_test": "category string, test string, statistic double, df int, "
         "p_value double, cramers_v double",
+        "stats_tags_profile_test": "track string, chi2 double, df int, p_value double, cramers_v double, n_topics int, n_cats int",
+        "stats_tags_pairwise": PAIRS,
+        "stats_tags_pairwise_by_category": f"category string, {PAIRS}",
+        "stats_tags_logistic": "term string, odds_ratio double, std_error double, statistic double, p_value double, "
+        "conf_low double, conf_high double, p_adj double",
         "stats_tags_abstractness": "track string, rho double, p_value double, n_topics int",
     }
-    return rounded(_stack(work, reports))
+    return rounded(_stack(work, reports).withColumns({c: F.round(c, 8) for c in ("conf_low", "conf_high")}))
 
 
