@@ -11,6 +11,7 @@ word boundaries. Two slots may appear in a fragment:
 
 from __future__ import annotations
 
+# Fixed value: the published bound of a gap.
 MAX_GAP = 80
 
 # The published categories and phrases, in published order.

@@ -21,6 +21,27 @@ def test_entities_like_the_standard_library(spark):
     assert column_of(spark, text.unescape_entities, [None]) == [""]
 
 
+def test_all_named_entities_and_random_texts(spark):
+    import random
+    from html.entities import html5
+
+    rng = random.Random(8)
+    names = sorted(html5)
+    values = [f"a&{n}b" for n in names] + [f"&{n};" for n in names] + [f"&{n[:-1]}" for n in names]
+    values += [f"&#{n}{e}" for n in (*range(0, 300), 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 10**30) for e in (";", "", "x")]
+    values += [f"&#{x}{n:x};" for n in (0, 0x41, 0x80, 0x9F, 0xFFFF, 0x1F600, 0x110000) for x in ("x", "X", "x000")]
+    pieces = ["&", "&amp", ";", "lt", "copy", "notin", "not", "#", "#x", "41", "1F600", " ", "<", "\n", "é", "a", "&eacute", "&NotEqualTilde;", "0", "x" * 40]
+    values += ["".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(6000)]
+    got = column_of(spark, text.unescape_entities, values)
+    different = [(v, g, unescape(v)) for v, g in zip(values, got) if g != unescape(v)]
+    assert different == []
+
+
+def test_entities_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("&copy;",)], "v string").select(text.html_to_text(F.col("v")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("html", "prose"),
     [
