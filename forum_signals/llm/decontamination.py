@@ -4,8 +4,8 @@ The index covers the test items: postings per term in item order, cut into block
 impact. Impacts are BM25 weights divided by the item's score against itself, so a score of 1 means that all of an item
 was found and one threshold fits items of any length. Every document is read as passages that overlap by half and
 are twice as long as the longest item: whatever item it holds lies whole in one of them. Each passage is a
-query; all items at or above the threshold are retrieved. Passages whose terms cannot add up to the threshold are ruled
-out at once, by sums over all positions; the rest go through block-max WAND. What is retrieved is then verified: shingles of
+query; all items at or above the threshold are retrieved. Passages in which no item can reach the threshold, even if all
+its common terms were there, are ruled out at once by sums over all positions; the rest go through block-max WAND. What is retrieved is then verified: shingles of
 the item's question and of its answer must both occur in the passage.
 
 Items are indexed INDEX_ITEMS at a time (a bounded broadcast); a larger benchmark takes more passes over the documents.
@@ -35,6 +35,8 @@ RETRIEVE = 0.5
 #: Share of the question's and of the answer's shingles that a leak must contain.
 OVERLAP = 0.5
 SHINGLE = 5
+#: A term is selective if at most this many items, or a hundredth of them, have it.
+SELECTIVE = 8
 #: Punctuation that does not count at the ends of words.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -87,6 +89,9 @@ class Index:
     questions: list[list[int]]
     answers: list[list[int]]
     passage: int  # words in a passage
+    selective: np.ndarray  # whether few items have the term
+    granted: np.ndarray  # per item the impact of all its other terms
+    open: bool  # whether those alone can reach the threshold
 
     def blocks(self, term: int) -> dict[int, float]:
         """Block number -> largest impact of the term in it."""
@@ -97,7 +102,7 @@ class Index:
         return out
 
 
-def build_index(rows: list[tuple[object, str | None]]) -> Index | None:
+def build_index(rows: list[tuple[object, str | None]], threshold: float = RETRIEVE) -> Index | None:
     """The index of (item id, text) rows; None if no item has a word. Items without words cannot leak and are left out."""
     parts = [(item, *question_and_answer(text)) for item, text in rows]
     parts = sorted(((i, q, a) for i, q, a in parts if q or a), key=lambda p: (p[0] is None, str(p[0]).zfill(20), p[1], p[2]))
@@ -119,10 +124,14 @@ def build_index(rows: list[tuple[object, str | None]]) -> Index | None:
     sizes = np.array([len(p) for p in postings])
     flat = [x for p in postings for x in p]
     coded = lambda words: [number[w] for w in words]
+    first, items, impacts = np.concatenate([[0], np.cumsum(sizes)]), np.array([i for i, _ in flat]), np.array([x for _, x in flat])
+    selective = sizes <= max(SELECTIVE, len(bags) // 100)
+    common = ~np.repeat(selective, sizes)
+    granted = np.bincount(items[common], weights=impacts[common], minlength=len(bags))
     return Index(
-        pa.array(names, type=pa.large_string()), np.concatenate([[0], np.cumsum(sizes)]),
-        np.array([i for i, _ in flat]), np.array([x for _, x in flat]), np.array([max(x for _, x in p) for p in postings]),
+        pa.array(names, type=pa.large_string()), first, items, impacts, np.array([max(x for _, x in p) for p in postings]),
         [p[0] for p in parts], [coded(p[1]) for p in parts], [coded(p[2]) for p in parts], 2 * max(lengths),
+        selective, granted, bool((granted >= threshold).any()),
     )
 
 
@@ -197,11 +206,18 @@ def leaks_in(texts: pa.Array, index: Index, retriever: Retriever, overlap: float
     terms = terms[real]
     starts = np.searchsorted(row_of, np.arange(len(offsets)))
     size, step = index.passage, index.passage // 2
-    weight = np.concatenate([[0.0], np.cumsum(np.where(terms >= 0, index.best[terms], 0.0))])
-    begin = np.concatenate([np.arange(a, max(a + 1, b - size + step), step) for a, b in zip(starts[:-1], starts[1:])] or [np.zeros(0)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(starts) - 1), [len(range(a, max(a + 1, b - size + step), step)) for a, b in zip(starts[:-1], starts[1:])])
+    lengths = np.diff(starts)
+    halves, passages = -(-lengths // step), np.maximum(1, -(-(lengths - size) // step) + 1)
+    owner = np.repeat(np.arange(len(lengths)), passages)
+    first = np.cumsum(passages) - passages
+    begin = starts[owner] + (np.arange(len(owner)) - first[owner]) * step
     end = np.minimum(begin + size, starts[owner + 1])
-    possible = np.flatnonzero(weight[end] - weight[begin] >= retriever.threshold)
+    possible = _possible(terms, row_of, starts, halves, passages, first, step, index, retriever.threshold)
+    possible = _once_each(possible, terms, begin, end, index, retriever.threshold)
+    if index.open:
+        # items of common words alone: any passage whose terms add up may hold one
+        weight = np.concatenate([[0.0], np.cumsum(np.where(terms >= 0, index.best[terms], 0.0))])
+        possible = np.union1d(possible, np.flatnonzero(weight[end] - weight[begin] >= retriever.threshold))
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     for p in possible.tolist():
         passage = terms[begin[p] : end[p]]
@@ -223,17 +239,63 @@ def leaks_in(texts: pa.Array, index: Index, retriever: Retriever, overlap: float
         yield row, item, *found
 
 
-def index_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int = INDEX_ITEMS) -> Iterator[Index]:
+def _possible(
+    terms: np.ndarray, row_of: np.ndarray, starts: np.ndarray, halves: np.ndarray, passages: np.ndarray, first: np.ndarray,
+    step: int, index: Index, threshold: float,
+) -> np.ndarray:
+    """The passages in which some item's selective terms, with all its common ones granted, add up to the threshold.
+
+    An upper bound for every item, so no match is lost: impacts are added up per half passage and item, repeats included.
+    """
+    at = np.flatnonzero((terms >= 0) & index.selective[terms])
+    n_items = len(index.item_ids)
+    per = np.diff(index.first)[terms[at]]
+    posting = np.repeat(index.first[terms[at]] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+    row = np.repeat(row_of[at], per)
+    half = np.repeat((at - starts[row_of[at]]) // step, per)
+    items, impacts = index.items[posting], index.impacts[posting]
+    keys, sums = [], []
+    for place in (half, half - 1):  # a half belongs to the passage it begins and to the one before
+        inside = (place >= 0) & (place < passages[row])
+        keys.append((first[row[inside]] + place[inside]) * n_items + items[inside])
+        sums.append(impacts[inside])
+    return _reaching(np.concatenate(keys), np.concatenate(sums), index, threshold)
+
+
+def _reaching(keys: np.ndarray, impacts: np.ndarray, index: Index, threshold: float) -> np.ndarray:
+    """The passages of (passage x items + item) keys whose impacts and granted terms reach the threshold for an item."""
+    n_items = len(index.item_ids)
+    pairs, which = np.unique(keys, return_inverse=True)
+    bound = np.bincount(which, weights=impacts, minlength=len(pairs)) + index.granted[pairs % n_items]
+    return np.unique(pairs[bound >= threshold] // n_items)
+
+
+def _once_each(
+    possible: np.ndarray, terms: np.ndarray, begin: np.ndarray, end: np.ndarray, index: Index, threshold: float
+) -> np.ndarray:
+    """The same bound for the passages left, with each term counted once."""
+    sizes = end[possible] - begin[possible]
+    at = np.repeat(begin[possible] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    passage = np.repeat(possible, sizes)
+    use = (terms[at] >= 0) & index.selective[terms[at]]
+    different = np.unique(passage[use] * len(index.best) + terms[at[use]])
+    passage, term = different // len(index.best), different % len(index.best)
+    per = np.diff(index.first)[term]
+    posting = np.repeat(index.first[term] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+    return _reaching(np.repeat(passage, per) * len(index.item_ids) + index.items[posting], index.impacts[posting], index, threshold)
+
+
+def index_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int = INDEX_ITEMS, threshold: float = RETRIEVE) -> Iterator[Index]:
     """Indexes of at most ``size`` items each, in item order; the driver holds one of them at a time."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
     block: list[tuple[object, str | None]] = []
     for row in items.orderBy("item", "text").toLocalIterator():
         block.append((row["item"], row["text"]))
         if len(block) == size:
-            if index := build_index(block):
+            if index := build_index(block, threshold):
                 yield index
             block = []
-    if index := build_index(block):
+    if index := build_index(block, threshold):
         yield index
 
 
@@ -253,7 +315,7 @@ def find_leaks(
         + [T.StructField(name, T.DoubleType()) for name in ("score", "question_overlap", "answer_overlap")]
     )
     found = None
-    for index in index_blocks(benchmark, item_col, item_text_col):
+    for index in index_blocks(benchmark, item_col, item_text_col, threshold=retrieve):
         part = chosen.mapInArrow(_finder(docs, index, retrieve, overlap, schema), schema)
         found = part if found is None else found.union(part)
     if found is None:
