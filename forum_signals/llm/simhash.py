@@ -11,6 +11,7 @@ Components of these links are then the components of the full link graph. Equal
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -165,8 +166,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Two texts are near duplicates if the Jaccard similarity of their ``width``-word shingles (lower-cased, split at ASCII blanks;
     fewer words: the whole sequence) is at least ``similarity``; groups are connected by such pairs. Candidates
     are fingerprints within two bits, found by multi-index hashing, and, because a similarity of 0.8 already flips about ten of 64
-    bits, texts that share a quarter of the words of either in equal passages. Candidates are never all pairs: every row
-    is paired with the least row of a fingerprint or passage only, and each pair is verified on all shingles.
+    bits, texts of about one size that share an eighth of their words in equal passages. Candidates are never all pairs: a row
+    is paired with one row of its fingerprint and two of each passage and size, and each pair is verified on all shingles.
 
     Null, empty and blank texts have no shingles and are equal to each other. Null ids come last; of rows with one id
     the first stays. Columns are those of ``docs``, with any names; an empty table gives an empty table.
@@ -175,7 +176,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     longs = T.ArrayType(T.LongType())
     schema = (
         T.StructType([whole.schema["doc"], whole.schema["id"]]).add("seq", "long").add("fp", "long").add("n_words", "long")
-        .add("passages", longs).add("sizes", longs)
+        .add("n_shingles", "long").add("passages", longs).add("sizes", longs)
     )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +185,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             hashes, offsets = _word_hashes(arrow_bytes(part.column(2)))
             each = [hashes[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
             cut = [passages(h) for h in each]
-            fps = np.array([_majority(_rolled(h, width)) for h in each], dtype=np.uint64).view(np.int64)
+            rolled = [_rolled(h, width) for h in each]
+            fps = np.array([_majority(r) for r in rolled], dtype=np.uint64).view(np.int64)
             seqs = [seq + i for i in range(len(each))]
-            yield record_batch(schema, [*part.columns[:2], seqs, fps, [len(h) for h in each], [c[0] for c in cut], [c[1] for c in cut]])
+            yield record_batch(schema, [*part.columns[:2], seqs, fps, [len(h) for h in each], [len(np.unique(r)) for r in rolled], [c[0] for c in cut], [c[1] for c in cut]])
             seq += len(each)
 
     rows = stored(whole.mapInArrow(scored, schema), "simhash-rows")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "seq")
-    pairs = stored(_candidates(rows, rank), "simhash-pairs")
+    pairs = stored(_candidates(rows, rank, similarity), "simhash-pairs")
     shingles = _shingles(rows, pairs, text_col, width)
     left, right = (shingles.select(F.col("seq").alias(name), F.col("shingles").alias(f"{name}_set")) for name in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -212,18 +214,29 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _candidates(rows: DataFrame, rank: Column) -> DataFrame:
-    """Pairs (a, b) of seq to verify: at most one per row and fingerprint, link of fingerprints, and passage."""
+def _candidates(rows: DataFrame, rank: Column, similarity: float) -> DataFrame:
+    """Pairs (a, b) of seq to verify: at most one per row and fingerprint or link of fingerprints, two per passage and size class.
+
+    Each row meets the first and the last row of a passage's size class, so a pair is missed only if every passage it
+    shares, in both classes, also belongs to rows before and after both that are like neither.
+    """
     by_print = rows.groupBy("fp").agg(F.min(rank).alias("least"))
     equal = rows.select("fp", "seq").join(by_print, "fp").select("seq", F.col("least.seq").alias("b")).where("seq != b")
     first = by_print.select("fp", F.col("least.seq").alias("seq"))
     linked = links(rows).join(first.select(F.col("fp").alias("a"), "seq"), "a").join(first.select(F.col("fp").alias("b"), F.col("seq").alias("other")), "b")
-    spread = rows.select("id", "seq", "n_words", F.explode(F.arrays_zip("passages", "sizes")).alias("p"))
-    spread = spread.select("id", "seq", "n_words", F.col("p.passages").alias("passage"), F.col("p.sizes").alias("size"))
-    least = spread.groupBy("passage").agg(F.min(rank).alias("least"), F.min("n_words").alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = spread.select("seq", "n_words", "passage", "size").join(least.select("passage", F.col("least.seq").alias("b")), "passage")
-    shared = shared.where("seq != b").groupBy("seq", "b").agg(F.sum("size").alias("common"), F.first("n_words").alias("n_words"))
-    alike = shared.where("4 * common >= n_words")
+    # passages that several rows have; rows of about one number of shingles meet in at least one of two overlapping classes
+    spread = rows.select("seq", "n_words", "n_shingles", F.explode(F.arrays_zip("passages", "sizes")).alias("p"))
+    spread = spread.select("seq", "n_words", "n_shingles", F.col("p.passages").alias("passage"), F.col("p.sizes").alias("size"))
+    several = spread.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage")
+    some = stored(spread.join(several, "passage"), "simhash-passages")
+    width = F.ln("n_shingles") / (-2 * math.log(similarity))
+    classes = F.array(F.floor(width) * 2, F.floor(width + 0.5) * 2 + 1)
+    keyed = some.select("seq", "n_words", "passage", "size", F.explode(classes).alias("class"))
+    ends = keyed.groupBy("passage", "class").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).where("low < high")
+    met = keyed.join(ends, ["passage", "class"]).withColumn("b", F.explode(F.array("low", "high")))
+    shared = met.where("seq != b")
+    shared = shared.groupBy("seq", "b", "class").agg(F.sum("size").alias("common"), F.first("n_words").alias("n_words"))
+    alike = shared.where("8 * common >= n_words")
     return equal.union(linked.select("seq", "other")).union(alike.select("seq", "b")).toDF("a", "b").distinct()
 
 
