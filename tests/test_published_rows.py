@@ -1,0 +1,87 @@
+"""The statistics against rows of the published tables, typed in."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from forum_signals.functions import special
+from forum_signals.operators import stats
+
+# Published counts (topic, flagged, not flagged).
+COUNTS = (
+    ("javascript", 339435, 2142948), ("python", 293149, 1877464), ("c#", 255915, 1348178), ("git", 22201, 129297),
+    ("algorithm", 28133, 92519), ("cordova", 4835, 53394), ("jsp", 6603, 44173), ("hadoop", 4128, 38625),
+)
+# All questions, flagged questions, rate.
+OVERALL = (23698887, 3072958, 0.1296667645193633)
+# Topic -> p-value, rate, limits of the difference, direction.
+PAIRWISE = {
+    "algorithm": (0, 0.2331747505221629, 0.10111815925207798, 0.10589781275352125, "above_baseline"),
+    "cordova": (1.4015663677825226e-245, 0.08303422693159766, -0.04887783011071757, -0.04438724506481369, "below_baseline"),
+    "python": (7.08211715345025e-113, 0.13505355399603705, 0.004912420926987037, 0.005861158026360481, "above_baseline"),
+    "hadoop": (3.345402186520503e-92, 0.09655462774542137, -0.03591504251902767, -0.030309231028856177, "below_baseline"),
+    "git": (1.484843680127591e-84, 0.1465431886889596, 0.01509048278646335, 0.01866236555272927, "above_baseline"),
+    "jsp": (0.8016132545726301, 0.13004175200882306, -0.0025537002615437575, 0.0033036752404633006, "not_significant"),
+}
+# Term -> odds ratio, standard error, limits.
+LOGISTIC = {
+    "(Intercept)": (0.15839628418632826, 0.0018473161660414242, 0.1578235568063961, 0.15897058406548065),
+    "topicalgorithm": (1.919729890262391, 0.007054545081020622, 1.8933412078582956, 1.9464292807025403),
+    "topiccordova": (0.5716881591603274, 0.015125703701018392, 0.5549157804006233, 0.5888271150343682),
+    "topicgit": (1.0840245040391299, 0.007495895679799653, 1.0681906060770903, 1.100043883656238),
+    "topichadoop": (0.6747241343291126, 0.01647574056003443, 0.6531900729999879, 0.6967770819774947),
+    "topicpython": (0.9857614043168356, 0.0027122435106318754, 0.9805347357483524, 0.9910154332825933),
+}
+# Statistic, degrees of freedom, p-value of the tests per category, the profile and the global test.
+CHI_SQUARE = (
+    (1468.2722993639413, 199, 3.4557484208320286e-192), (1608.2492016104602, 199, 1.0777034203888405e-218),
+    (585.864618180444, 199, 9.18204086948209e-40), (130575.28332309975, 199, 0.0), (120834.5895544391, 2388, 0.0),
+    (166229.42246370256, 199, 0.0),
+)
+# Limits of the rate of the descriptive table.
+DESCRIPTIVE = {"python": (0.13459886704628382, 0.13550824094579028), "hadoop": (0.09375493565929559, 0.09935431983154715)}
+
+
+@pytest.fixture(scope="module")
+def contingency(spark):
+    rows = [(t, a, b, a + b) for t, a, b in COUNTS]
+    return spark.createDataFrame(rows, "topic string, n_miscomm long, n_no_miscomm long, n_total long")
+
+
+def test_pairwise(spark, contingency):
+    overall = spark.createDataFrame([OVERALL], "total_questions long, total_miscomm long, global_miscomm_rate double")
+    rows = {r.topic: r for r in stats.pairwise(contingency, overall, 0.05).collect()}
+    for topic, (p, rate, low, high, direction) in PAIRWISE.items():
+        row = rows[topic]
+        assert row.p_value == pytest.approx(p, rel=1e-9, abs=1e-300)
+        assert (row.estimate, row.ci_lower, row.ci_upper) == pytest.approx((rate, low, high), rel=1e-12)
+        assert row.direction == direction
+
+
+def test_logistic(contingency):
+    rows = {r.term: r for r in stats.logistic(contingency).collect()}
+    for term, (ratio, error, low, high) in LOGISTIC.items():
+        row = rows[term]
+        assert row.odds_ratio == pytest.approx(ratio, rel=1e-6)
+        assert row.std_error == pytest.approx(error, abs=1e-5)
+        assert (row.conf_low, row.conf_high) == pytest.approx((low, high), abs=1e-6)
+
+
+def test_descriptive(contingency):
+    rows = {r.topic: r for r in stats.descriptive(contingency).collect()}
+    for topic, limits in DESCRIPTIVE.items():
+        assert (rows[topic].ci_lower, rows[topic].ci_upper) == pytest.approx(limits, rel=1e-12)
+
+
+def test_chi_square_tails(spark):
+    df = spark.createDataFrame(CHI_SQUARE, "x double, k int, p double")
+    for row in df.select("*", special.chi_square_p_value("x", "k").alias("ours"), special.chi_square_log_p("x", "k").alias("log")).collect():
+        assert row.ours == pytest.approx(row.p, rel=1e-11)
+        assert row.log < -700 if row.p == 0 else row.log == pytest.approx(math.log(row.p), rel=1e-12)
+
+
+def test_rank_correlation(spark):
+    # The published correlation, its p-value and number of topics.
+    row = spark.range(1).select(special.spearman_p_value(F.lit(-0.44942623565589146), F.lit(200), F.lit(False)).alias("p")).first()
+    assert row.p == pytest.approx(3.3498335065152043e-11, rel=1e-11)
