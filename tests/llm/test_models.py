@@ -122,7 +122,7 @@ def test_training_helps_on_held_out_texts(spark):
     ids = [own.ids(lm_scoring.words_of(t.encode())) for t in held]
     before = lm_scoring.score_ids(ids, lm.Model.initial(), counts, vocabulary).sum()
     after = lm_scoring.score_ids(ids, trained, counts, vocabulary).sum()
-    assert after > 0.98 * before and after > before
+    assert after > before
 
 
 def test_quality_on_held_out_documents(spark):
