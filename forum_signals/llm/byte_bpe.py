@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,33 +45,50 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        tokens = [self.bytes_of.get(rank) for rank in range(max(self.bytes_of) + 1)]
+        self.tokens = pa.array(tokens, type=pa.large_binary())
         self.remembered = _Remembered(self.library)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
         if len(self.remembered) > REMEMBERED:
             self.remembered.clear()
-        return list(chain.from_iterable(map(self.remembered.__getitem__, self.pattern.findall(text))))
+        return b"".join(map(self.remembered.__getitem__, self.pattern.findall(text)))
 
     def boundaries(self, text: str) -> np.ndarray:
         """Where the pre-tokens of ``text`` start."""
         return np.fromiter((m.start() for m in self.pattern.finditer(text)), dtype=np.int64)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
 
 class _Remembered(dict):
-    """Pre-token -> ids, asked from the library once each."""
+    """Pre-token -> ids as bytes, asked from the library once each."""
 
     def __init__(self, library: tiktoken.Encoding):
         super().__init__()
         self.library = library
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self[piece] = self.library.encode_ordinary(piece)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = np.array(self.library.encode_ordinary(piece), dtype="<i4").tobytes()
         return ids
 
 
+def id_lists(ids: list[bytes]) -> pa.ListArray:
+    """One list of ids per row, from their bytes."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+    return pa.ListArray.from_arrays(ends, flat).cast(pa.list_(pa.field("element", pa.int32())))
+
+
+def joined(lists: pa.ListArray, pieces: pa.Array) -> list[bytes | None]:
+    """Per row the concatenated ``pieces`` of its numbers: they are laid end to end at once and cut at the rows' ends."""
+    ends = lists.offsets.to_numpy()
+    laid = pieces.take(lists.values.slice(ends[0], ends[-1] - ends[0]))
+    places = np.frombuffer(laid.buffers()[1], dtype=np.int64)[: len(laid) + 1] if len(laid) else np.zeros(1, dtype=np.int64)
+    data = memoryview(laid.buffers()[2]) if len(laid) else memoryview(b"")
+    cuts = places[ends - ends[0]].tolist()
+    return [bytes(data[a:b]) if valid else None for a, b, valid in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -96,8 +112,8 @@ def encode(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for part in slices(batches, text=1):
-            ids = [np.array(own.encode(text or ""), dtype=np.int32) for text in part.column(1).to_pylist()]
-            yield record_batch(schema, [part.column(0), ids])
+            ids = [own.encode(text or "") for text in part.column(1).to_pylist()]
+            yield record_batch(schema, [part.column(0), id_lists(ids)])
 
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
     short = whole.where(~is_long).mapInArrow(encoded, schema)
@@ -147,8 +163,8 @@ def _encode_chunks(long: DataFrame, path: str, pattern: str, chunk: int, overlap
         own = codec(path, pattern)
         for part in slices(batches, text=2):
             seq, k, pieces, begin, end = (column.to_pylist() for column in part.columns)
-            ids = [np.array(own.encode(p[b or 0 : e]), dtype=np.int32) for p, b, e in zip(pieces, begin, end)]
-            yield record_batch(out, [seq, k, ids])
+            ids = [own.encode(p[b or 0 : e]) for p, b, e in zip(pieces, begin, end)]
+            yield record_batch(out, [seq, k, id_lists(ids)])
 
     return stored(owned.mapInArrow(encoded, out), "bpe-pieces")
 
@@ -161,7 +177,6 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for part in slices(batches):
-            texts = [None if ids is None else own.decode(ids) for ids in part.column(position).to_pylist()]
-            yield record_batch(schema, [*part.columns, texts])
+            yield record_batch(schema, [*part.columns, joined(part.column(position), own.tokens)])
 
     return encoded.mapInArrow(decoded, schema)

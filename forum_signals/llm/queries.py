@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from forum_signals.llm.common import id_bucket, record_batch, slices, table
 from forum_signals.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+#: Ids of its vocabulary.
+VOCABULARY = 50_256
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 SHARDS = 8
@@ -46,10 +49,11 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
     schema = T.StructType().add("doc_id", "long").add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimals = pa.array([f"{i} ".encode() for i in range(VOCABULARY)], type=pa.large_binary())
         for part in slices(batches, text=2):
-            ids, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
-            shas = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
-            yield record_batch(schema, [part.column(0), [len(x) for x in ids], shas, [hashlib.sha256(x).hexdigest() for x in texts]])
+            shas = [hashlib.sha256(x[:-1]).hexdigest() for x in byte_bpe.joined(part.column(1), decimals)]
+            sizes = np.diff(part.column(1).offsets.to_numpy())
+            yield record_batch(schema, [part.column(0), sizes, shas, [hashlib.sha256(x).hexdigest() for x in part.column(2).to_pylist()]])
 
     return decoded.select("doc_id", "ids", "decoded").mapInArrow(digested, schema)
 
