@@ -25,9 +25,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -65,18 +67,25 @@ _KEPT = (
 class Words:
     """The words of some texts, their hashes, and the windows, anchors and segments over them."""
 
-    def __init__(self, texts: list[bytes | None], window: int, seed: int):
-        self.lists = [(t or b"").split() for t in texts]
-        self.counts = np.array([len(x) for x in self.lists], dtype=np.int64)
+    def __init__(self, column: pa.Array, window: int, seed: int):
+        self.column = column
+        lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+        words, offsets = lists.flatten(), lists.offsets.to_numpy()
+        self.counts = np.diff(offsets)
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        if not real.all():  # blanks at the ends of a text give empty pieces
+            rows = np.searchsorted(offsets, np.flatnonzero(~real), side="right") - 1
+            self.counts = self.counts - np.bincount(rows, minlength=len(self.counts))
+            words = words.filter(pa.array(real))
         self.ends = np.cumsum(self.counts)
         self.starts = self.ends - self.counts
-        self.window, n = window, int(self.counts.sum())
-        codes = pa.array([w for x in self.lists for w in x], type=pa.binary()).dictionary_encode()
+        self.window, n = window, len(words)
+        codes = words.dictionary_encode()
         digest = xxhash.xxh64_intdigest
-        distinct = np.fromiter((digest(w) for w in codes.dictionary.to_pylist()), dtype=np.uint64, count=len(codes.dictionary))
+        distinct = np.fromiter(map(digest, codes.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(codes.dictionary))
         self.hashes = distinct[codes.indices.to_numpy(zero_copy_only=False)] if n else np.zeros(0, np.uint64)
         self.total = max(0, n - window + 1)
-        self.doc_of = np.repeat(np.arange(len(texts)), self.counts)
+        self.doc_of = np.repeat(np.arange(len(column)), self.counts)
         row = self.doc_of[: self.total]
         self.valid = np.arange(self.total) + window <= self.ends[row]
         none = np.zeros(0, dtype=np.int64)
@@ -84,12 +93,12 @@ class Words:
         if not self.total:
             return
         seeds = _mixed(_rolled(self.hashes, seed))
-        least, place = seeds[: self.total].copy(), np.zeros(self.total, dtype=np.int64)
+        # the place within the window takes the lowest four bits: one minimum finds hash and (leftmost) place
+        seeds &= ~np.uint64(15)
+        least = seeds[: self.total].copy()
         for i in range(1, window - seed + 1):
-            smaller = seeds[i : i + self.total] < least
-            least[smaller] = seeds[i : i + self.total][smaller]
-            place[smaller] = i
-        place += np.arange(self.total)
+            np.minimum(least, seeds[i : i + self.total] | np.uint64(i), out=least)
+        place = (least & np.uint64(15)).astype(np.int64) + np.arange(self.total)
         fresh = np.ones(self.total, dtype=bool)
         fresh[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
         at = np.flatnonzero(fresh & self.valid)
@@ -111,6 +120,11 @@ class Words:
         last = self.first + self.windows + self.window - 1
         return _mixed((sums[last] - sums[self.first]) * inverse[self.first])
 
+    @cached_property
+    def lists(self) -> list[list[bytes]]:
+        """The words of each text, for the steps that write them out."""
+        return [(text or b"").split() for text in arrow_bytes(self.column)]
+
     def span(self, first: int, length: int) -> bytes:
         row = int(self.doc_of[first])
         at = first - int(self.starts[row])
@@ -173,7 +187,7 @@ def _requests(blocks: DataFrame, owners: int, window: int, seed: int) -> DataFra
         held: list[np.ndarray] = []
         of, row = None, 0
         for part in slices(batches, text=2):
-            found = Words(arrow_bytes(part.column(2)), window, seed)
+            found = Words(part.column(2), window, seed)
             block = np.array(part.column(0).to_pylist(), dtype=np.int64)[found.row]
             for one in np.unique(block).tolist():
                 if of is not None and one != of:
@@ -254,7 +268,7 @@ def _entries(blocks: DataFrame, answers: DataFrame, shards: int, window: int, se
         found: dict[tuple[int, int], list] = {}
         for part in slices(texts.combine_chunks().to_batches(), text=2) if len(shared) else ():
             owns = np.array([NULL_ID if i is None else i for i in part.column(1).to_pylist()], dtype=np.int64)
-            own = Words(arrow_bytes(part.column(2)), window, seed)
+            own = Words(part.column(2), window, seed)
             at = np.minimum(np.searchsorted(shared, own.anchor), len(shared) - 1)
             hit = shared[at] == own.anchor
             hot = hit & marks[at]
@@ -362,7 +376,7 @@ def _removed(blocks: DataFrame, matches: DataFrame, window: int, seed: int) -> D
         for part in slices(texts.combine_chunks().to_batches(), text=2):
             ids = part.column(1).to_pylist()
             owns = np.array([NULL_ID if i is None else i for i in ids], dtype=np.int64)
-            own = Words(arrow_bytes(part.column(2)), window, seed)
+            own = Words(part.column(2), window, seed)
             gone = np.zeros(0, dtype=np.int64)
             if len(known) and own.total:
                 wanted = own.window_hashes()
@@ -396,7 +410,7 @@ def repeated_spans(
 ) -> DataFrame:
     """One row per input row: the id column, n_words, n_removed, kept_sha256, removed (first and last word of each interval).
 
-    Words are split at ASCII blanks and otherwise taken as they are. A null id counts as the largest; rows of
+    ``window`` less ``seed`` may be at most 15. Words are split at ASCII blanks and otherwise taken as they are. A null id counts as the largest; rows of
     one id never count against each other. Null and empty texts have no words; texts shorter than a window keep all. Repeated
     rows give repeated rows. Extra columns are ignored, an empty table gives an empty table. Memory in a task follows a
     block, an owner's anchors or a shard; a longer text is a block of its own.
