@@ -58,7 +58,7 @@ def plain_score(model, counts, ids, place):
     e = np.array([model.embed[c] + model.place[p - first + lm.CONTEXT] for p, c in seen], dtype=np.float64)
     weight = np.exp((e[-1] @ model.query) @ (e @ model.key).T / math.sqrt(lm.WIDTH))
     o = weight / weight.sum() @ (e @ model.value)
-    u = np.tanh((e[-1] + o @ model.mix) @ model.layer + model.bias)
+    u = np.maximum((e[-1] + o @ model.mix) @ model.layer + model.bias, 0)
     g, m = divmod(ids[place], lm.GROUP)
     logits = u @ model.group + counts.group[before[place]], u @ model.member[g] + counts.member[before[place], g]
     return sum(x[i] - math.log(np.exp(x).sum()) for x, i in zip(logits, (g, m)))
@@ -92,7 +92,7 @@ def test_model_gradient():
     rng = np.random.default_rng(4)
     model, counts = random_model(5)
     seen, targets = rng.integers(0, lm.CLASSES, (3, lm.LENGTH)), rng.integers(0, lm.CLASSES, (3, lm.STRIDE))
-    seen[0, :20] = lm.OUTSIDE
+    seen[0, : lm.CONTEXT] = lm.OUTSIDE
     counted = rng.random((3, lm.STRIDE)) < 0.8
     loss = lambda: -model.log_probabilities(seen, targets, counts)[counted].astype(np.float64).mean()
     for part, gradient in zip(model.parts(), model.gradient(seen, targets, counted, counts)):
@@ -119,7 +119,7 @@ def test_training_helps_on_held_out_texts(spark):
     trained, counts = lm_scoring.train_model(corpus, task_windows=300)  # several copies, averaged
     held = [r.text for r in texts.where(id_bucket(F.col("id"), 10) == 0).collect()]
     own = lm_scoring.subwords(*BPE)
-    ids = [own.ids(lm_scoring.words_of(t.encode())) for t in held]
+    ids = own.ids([lm_scoring.words_of(t.encode()) for t in held])
     before = lm_scoring.score_ids(ids, lm.Model.initial(), counts, vocabulary).sum()
     after = lm_scoring.score_ids(ids, trained, counts, vocabulary).sum()
     assert after > before
