@@ -220,7 +220,8 @@ def _candidates(rows: DataFrame, rank: Column, similarity: float) -> DataFrame:
     Each row meets the first and the last row of a passage's size class, so a pair is missed only if every passage it
     shares, in both classes, also belongs to rows before and after both that are like neither.
     """
-    by_print = rows.groupBy("fp").agg(F.min(rank).alias("least"))
+    # groups are stored before they are joined back: Spark can then split the join of a hot one
+    by_print = stored(rows.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-prints")
     equal = rows.select("fp", "seq").join(by_print, "fp").select("seq", F.col("least.seq").alias("b")).where("seq != b")
     first = by_print.select("fp", F.col("least.seq").alias("seq"))
     linked = links(rows).join(first.select(F.col("fp").alias("a"), "seq"), "a").join(first.select(F.col("fp").alias("b"), F.col("seq").alias("other")), "b")
@@ -228,12 +229,12 @@ def _candidates(rows: DataFrame, rank: Column, similarity: float) -> DataFrame:
     spread = rows.select("seq", "n_words", "n_shingles", F.explode(F.arrays_zip("passages", "sizes")).alias("p"))
     spread = spread.select("seq", "n_words", "n_shingles", F.col("p.passages").alias("passage"), F.col("p.sizes").alias("size"))
     several = spread.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage")
-    some = stored(spread.join(several, "passage"), "simhash-passages")
+    some = stored(spread.join(stored(several, "simhash-several"), "passage"), "simhash-passages")
     width = F.ln("n_shingles") / (-2 * math.log(similarity))
     classes = F.array(F.floor(width) * 2, F.floor(width + 0.5) * 2 + 1)
     keyed = some.select("seq", "n_words", "passage", "size", F.explode(classes).alias("class"))
     ends = keyed.groupBy("passage", "class").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).where("low < high")
-    met = keyed.join(ends, ["passage", "class"]).withColumn("b", F.explode(F.array("low", "high")))
+    met = keyed.join(stored(ends, "simhash-ends"), ["passage", "class"]).withColumn("b", F.explode(F.array("low", "high")))
     shared = met.where("seq != b")
     shared = shared.groupBy("seq", "b", "class").agg(F.sum("size").alias("common"), F.first("n_words").alias("n_words"))
     alike = shared.where("8 * common >= n_words")
