@@ -29,9 +29,8 @@ from forum_signals.llm.components import connected_components
 SEED = 42
 #: Shingles whose bits are added up at a time, so that a very long text needs no more memory than this.
 SHINGLE_BLOCK = 65_536
-#: Words on either side among which a passage of ``keep_one`` ends at the least hash.
-PASSAGE = 6
-_MOST = np.uint64((1 << 64) - 1)
+#: Prefixes in which a shingle is before it counts as frequent and comes last in the order of shingles.
+FREQUENT = 50
 
 
 def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -143,63 +142,47 @@ def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     return rolled
 
 
-def passages(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of words) of the passages of a text: cut after each word with the least hash among the PASSAGE words
-    before and after it, so that an edit moves no cut further away."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    padded = np.concatenate([np.full(PASSAGE, _MOST), hashes, np.full(PASSAGE, _MOST)])
-    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * PASSAGE + 1).min(1)
-    ends = np.union1d(np.flatnonzero(hashes == least) + 1, [n])
-    starts = np.concatenate([[0], ends[:-1]])
-    place = np.arange(n) - np.repeat(starts, ends - starts)
-    mixed = (hashes ^ place.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0x94D049BB133111EB)
-    return np.add.reduceat(mixed, starts).view(np.int64), ends - starts
+def prefix_length(n_shingles: int, similarity: float) -> int:
+    """How many first shingles, in any one order of all shingles, two sets of this similarity cannot both lack of the other."""
+    return n_shingles - math.ceil(similarity * n_shingles - 1e-9) + 1
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of every group the row with the smallest id stays.
 
     Two texts are near duplicates if the Jaccard similarity of their ``width``-word shingles (lower-cased, split at ASCII blanks;
-    fewer words: the whole sequence) is at least ``similarity``; groups are connected by such pairs. Candidates
-    are fingerprints within two bits, found by multi-index hashing, and, because a similarity of 0.8 already flips about ten of 64
-    bits, texts of about one size that share an eighth of their words in equal passages. Candidates are never all pairs: a row
-    is paired with one row of its fingerprint and two of each passage and size, and each pair is verified on all shingles.
+    fewer words: the whole sequence) is at least ``similarity``; groups are connected by such pairs. A first round links what is
+    cheap to find: fingerprints within two bits, and the first row of every shingle. The second round is an exact prefix filter
+    over the rows that are not connected yet, so no pair is lost. Each candidate is verified on all shingles.
 
     Null, empty and blank texts have no shingles and are equal to each other. Null ids come last; of rows with one id
     the first stays. Columns are those of ``docs``, with any names; an empty table gives an empty table.
     """
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    longs = T.ArrayType(T.LongType())
     schema = (
-        T.StructType([whole.schema["doc"], whole.schema["id"]]).add("seq", "long").add("fp", "long").add("n_words", "long")
-        .add("n_shingles", "long").add("passages", longs).add("sizes", longs)
+        T.StructType([whole.schema["doc"], whole.schema["id"]]).add("seq", "long").add("fp", "long").add("n", "long")
+        .add("keys", T.ArrayType(T.LongType()))
     )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 40
         for part in slices(batches, text=2):
             hashes, offsets = _word_hashes(arrow_bytes(part.column(2)))
-            each = [hashes[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
-            cut = [passages(h) for h in each]
-            rolled = [_rolled(h, width) for h in each]
+            rolled = [_rolled(hashes[x:y], width) for x, y in zip(offsets[:-1], offsets[1:])]
             fps = np.array([_majority(r) for r in rolled], dtype=np.uint64).view(np.int64)
-            seqs = [seq + i for i in range(len(each))]
-            yield record_batch(schema, [*part.columns[:2], seqs, fps, [len(h) for h in each], [len(np.unique(r)) for r in rolled], [c[0] for c in cut], [c[1] for c in cut]])
-            seq += len(each)
+            sets = [np.unique(r.view(np.int64)) for r in rolled]
+            keys = [x[: prefix_length(len(x), similarity)] if len(x) else [0] for x in sets]
+            yield record_batch(schema, [*part.columns[:2], [seq + i for i in range(len(sets))], fps, [len(x) for x in sets], keys])
+            seq += len(sets)
 
     rows = stored(whole.mapInArrow(scored, schema), "simhash-rows")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "seq")
-    pairs = stored(_candidates(rows, rank, similarity), "simhash-pairs")
-    shingles = _shingles(rows, pairs, text_col, width)
-    left, right = (shingles.select(F.col("seq").alias(name), F.col("shingles").alias(f"{name}_set")) for name in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    near = (common >= similarity * (F.size("a_set") + F.size("b_set") - common)) | ((F.size("a_set") == 0) & (F.size("b_set") == 0))
-    groups = connected_components(both.where(near).select("a", "b"), "simhash-near")
+    prefixes = _prefixes(rows, text_col, width, similarity)
+    shared = _shared(prefixes)
+    linked = _verified(rows, _print_pairs(rows, rank).union(_first_pairs(shared, similarity)).distinct(), text_col, width, similarity)
+    parts = connected_components(linked, "simhash-linked").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = _verified(rows, _prefix_pairs(shared, prefixes, parts, similarity), text_col, width, similarity)
+    groups = connected_components(parts.union(found), "simhash-near")
     ranked = groups.join(rows.select(F.col("seq").alias("node"), rank.alias("rank")), "node")
     best = ranked.groupBy("component").agg(F.min("rank").alias("best"))
     gone = ranked.join(best, "component").where("rank != best").select(F.col("node").alias("seq"))
@@ -214,36 +197,100 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _candidates(rows: DataFrame, rank: Column, similarity: float) -> DataFrame:
-    """Pairs (a, b) of seq to verify: at most one per row and fingerprint or link of fingerprints, two per passage and size class.
-
-    Each row meets the first and the last row of a passage's size class, so a pair is missed only if every passage it
-    shares, in both classes, also belongs to rows before and after both that are like neither.
-    """
+def _print_pairs(rows: DataFrame, rank: Column) -> DataFrame:
+    """Pairs (a, b) of seq: at most one per row and fingerprint or link of fingerprints."""
     # groups are stored before they are joined back: Spark can then split the join of a hot one
     by_print = stored(rows.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-prints")
     equal = rows.select("fp", "seq").join(by_print, "fp").select("seq", F.col("least.seq").alias("b")).where("seq != b")
     first = by_print.select("fp", F.col("least.seq").alias("seq"))
     linked = links(rows).join(first.select(F.col("fp").alias("a"), "seq"), "a").join(first.select(F.col("fp").alias("b"), F.col("seq").alias("other")), "b")
-    # passages that several rows have; rows of about one number of shingles meet in at least one of two overlapping classes
-    spread = rows.select("seq", "n_words", "n_shingles", F.explode(F.arrays_zip("passages", "sizes")).alias("p"))
-    spread = spread.select("seq", "n_words", "n_shingles", F.col("p.passages").alias("passage"), F.col("p.sizes").alias("size"))
-    several = spread.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("passage")
-    some = stored(spread.join(stored(several, "simhash-several"), "passage"), "simhash-passages")
-    width = F.ln("n_shingles") / (-2 * math.log(similarity))
-    classes = F.array(F.floor(width) * 2, F.floor(width + 0.5) * 2 + 1)
-    keyed = some.select("seq", "n_words", "passage", "size", F.explode(classes).alias("class"))
-    ends = keyed.groupBy("passage", "class").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).where("low < high")
-    met = keyed.join(stored(ends, "simhash-ends"), ["passage", "class"]).withColumn("b", F.explode(F.array("low", "high")))
-    shared = met.where("seq != b")
-    shared = shared.groupBy("seq", "b", "class").agg(F.sum("size").alias("common"), F.first("n_words").alias("n_words"))
-    alike = shared.where("8 * common >= n_words")
-    return equal.union(linked.select("seq", "other")).union(alike.select("seq", "b")).toDF("a", "b").distinct()
-
-
-def _shingles(rows: DataFrame, pairs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(seq, shingles) of the rows that are in a pair: the distinct shingle hashes."""
-    wanted = pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct()
+    return equal.union(linked.select("seq", "other")).toDF("a", "b")
+
+
+def _prefixes(rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(seq, n, prefix): of each row the first ``prefix_length(n)`` shingles as (times, key), from rare to frequent.
+
+    Shingles that are in more than FREQUENT prefixes by hash alone come last, by how often that is; all others have ``times`` 0 and
+    go by hash. A row whose prefix by hash has none of them keeps it; only of the others all shingles are put in order.
+    """
+    by_hash = rows.select("seq", "n", "keys")
+    spread = by_hash.select("seq", F.explode("keys").alias("key"))
+    frequent = spread.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > FREQUENT)
+    frequent = stored(frequent, "simhash-frequent")
+    plain = F.transform("keys", lambda k: F.struct(F.lit(0).cast("long").alias("times"), k.alias("key")))
+    if frequent.isEmpty():
+        return by_hash.select("seq", "n", plain.alias("prefix"))
+    moved = stored(spread.join(frequent, "key").select("seq").distinct(), "simhash-moved")
+    every = _shingles(rows, moved, text_col, width).select("seq", F.explode_outer("shingles").alias("key"))
+    ordered = every.join(frequent, "key", "left").groupBy("seq").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0).cast("long")).alias("times"), F.coalesce("key", F.lit(0).cast("long")).alias("key")))).alias("set")
+    )
+    ordered = ordered.join(by_hash.select("seq", "n", F.size("keys").alias("held")), "seq")
+    ordered = ordered.select("seq", "n", F.slice("set", F.lit(1), F.col("held")).alias("prefix"))
+    kept = by_hash.join(moved, "seq", "left_anti").select("seq", "n", plain.alias("prefix"))
+    return stored(kept.union(ordered), "simhash-prefixes")
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(key, seq, n, place) of the shingles that are in the prefixes of several rows; places count from 1."""
+    spread = prefixes.select("seq", "n", F.posexplode("prefix").alias("place", "at"))
+    spread = spread.select(F.col("at.key").alias("key"), "seq", "n", (F.col("place") + 1).alias("place"))
+    several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    return stored(spread.join(stored(several, "simhash-several"), "key"), "simhash-shared")
+
+
+def _first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of seq: each row and the first row of a shingle and size class that has an eighth of its prefix.
+
+    They are there to connect large groups by few pairs; ``_prefix_pairs`` finds whatever they leave out.
+    """
+    kind = F.floor(F.ln(F.greatest("n", F.lit(1))) / (-2 * math.log(similarity)))
+    keyed = shared.withColumn("class", kind)
+    firsts = keyed.groupBy("key", "class").agg(F.min("seq").alias("b"), F.max("seq").alias("high")).where("b < high").drop("high")
+    met = keyed.join(stored(firsts, "simhash-firsts"), ["key", "class"]).where("seq != b")
+    met = met.groupBy("seq", "b").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
+    return met.where(8 * F.col("common") >= (1 - similarity) * F.col("n")).select(F.col("seq").alias("a"), "b")
+
+
+def _prefix_pairs(shared: DataFrame, prefixes: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of seq of different ``parts`` (a: row, b: its part) that can be similar enough by their prefixes.
+
+    Similar rows share a shingle of their prefixes. Up to the end of the prefix that ends first all common shingles are
+    known; after it there are at most as many as either row has left. Rows of one part never meet each other.
+    """
+    keyed = shared.join(parts.select(F.col("a").alias("seq"), F.col("b").alias("part")), "seq", "left")
+    keyed = stored(keyed.withColumn("part", F.coalesce("part", "seq")), "simhash-keyed")
+    mixed = keyed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    keyed = stored(keyed.join(stored(mixed, "simhash-mixed"), "key"), "simhash-open")
+    of_key = stored(keyed.select("key", "part").distinct(), "simhash-parts")
+    met = of_key.join(of_key.select("key", F.col("part").alias("other")), "key").where("part < other")
+    left = keyed.select("key", "part", F.col("seq").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
+    right = keyed.select("key", F.col("part").alias("other"), F.col("seq").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
+    least = similarity * F.greatest("n_a", "n_b") - 1e-6
+    both = left.join(stored(met, "simhash-met"), ["key", "part"]).join(right, ["key", "other"]).where(F.least("n_a", "n_b") >= least)
+    both = both.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"))
+    ends = prefixes.select("seq", F.size("prefix").alias("held"), F.element_at("prefix", -1).alias("end"))
+    for name in ("a", "b"):
+        both = both.join(ends.select(F.col("seq").alias(name), F.col("held").alias(f"held_{name}"), F.col("end").alias(f"end_{name}")), name)
+    left_a = F.col("n_a") - F.when(F.col("end_a") <= F.col("end_b"), F.col("held_a")).otherwise(F.col("place_a"))
+    left_b = F.col("n_b") - F.when(F.col("end_b") <= F.col("end_a"), F.col("held_b")).otherwise(F.col("place_b"))
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return both.where(F.col("common") + F.least(left_a, left_b) >= needed).select("a", "b")
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar enough, stored."""
+    pairs = stored(pairs, "simhash-pairs")
+    shingles = _shingles(rows, pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct(), text_col, width)
+    left, right = (shingles.select(F.col("seq").alias(name), F.col("shingles").alias(f"{name}_set")) for name in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    near = (common >= similarity * (F.size("a_set") + F.size("b_set") - common)) | ((F.size("a_set") == 0) & (F.size("b_set") == 0))
+    return stored(both.where(near).select("a", "b"), "simhash-verified")
+
+
+def _shingles(rows: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(seq, shingles) of the rows whose seq is ``wanted``: the distinct shingle hashes."""
     texts = rows.select("seq", F.col(f"doc.`{text_col}`").cast("string").alias("text")).join(wanted, "seq", "left_semi")
     schema = T.StructType().add("seq", "long").add("shingles", T.ArrayType(T.LongType()))
 

@@ -105,6 +105,29 @@ def test_near_copies_stage(docs):
     assert sorted(map(str, (None if none else n for none, n in best.values()))) == sorted(str(r.doc_id) for r in kept.collect())
 
 
+def kept_of(spark, texts):
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    return sorted(r.doc_id for r in kept.collect())
+
+
+def kept_by_brute(texts):
+    root = near_copies([{"text": t} for t in texts])
+    return sorted({r: i for i, r in reversed(list(enumerate(root)))}.values())
+
+
+def test_near_copies_within_a_template(spark):
+    """Most words belong to a template of other texts of the same size before and after the copies, which are like neither."""
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = prose(250)
+    texts = [" ".join([*template, *prose(50)]) for _ in range(70)]
+    for own in [prose(45) for _ in range(30)]:
+        texts += [" ".join([*template, *own, *prose(5)]) for _ in range(2)]
+    texts += [" ".join([*template, *prose(60)]) for _ in range(70)]
+    expected = kept_by_brute(texts)
+    assert len(expected) == 170 and kept_of(spark, texts) == expected
+
+
 @pytest.mark.parametrize(("hot", "shard_words", "block_bytes"), [(1_000, 400_000, 24_000_000), (2, 300, 3_000)])
 def test_substring_dedup(docs, hot, shard_words, block_bytes):
     """Also with many small blocks and shards, and nearly every anchor hot."""
