@@ -128,6 +128,21 @@ def test_near_copies_within_a_template(spark):
     assert len(expected) == 170 and kept_of(spark, texts) == expected
 
 
+@pytest.mark.parametrize("frequent", [50, 1])
+def test_near_copies_of_short_texts(spark, monkeypatch, frequent):
+    """Texts of 13 to 50 words with an edit at either end; also with every shared shingle frequent."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    rng = random.Random(9)
+    texts = []
+    for n in range(13, 51):
+        for edit in (lambda w: ["x", *w], lambda w: [*w, "x"], lambda w: ["x", *w[1:]], lambda w: [*w[:-1], "x"]):
+            for _ in range(3):
+                words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+                texts += [" ".join(words), " ".join(edit(words))]
+    expected = kept_by_brute(texts)
+    assert len(expected) == len(texts) // 2 and kept_of(spark, texts) == expected
+
+
 @pytest.mark.parametrize(("hot", "shard_words", "block_bytes"), [(1_000, 400_000, 24_000_000), (2, 300, 3_000)])
 def test_substring_dedup(docs, hot, shard_words, block_bytes):
     """Also with many small blocks and shards, and nearly every anchor hot."""
