@@ -5,12 +5,13 @@ neighbouring character classes; a small network turns it into an embedding h, gi
 softmax(w . (tanh(V h) * sigmoid(U h))) within its document, and scores the weighted passage embedding. Only
 documents have labels, so what a bad passage looks like is learned through the attention.
 
-The network is fitted in numpy on the driver, on a bounded sample of labelled rows (FIT_ROWS rows and FIT_BYTES bytes of
-text at most, in the order of a hash of the id); scoring runs in the tasks that read the texts, without a shuffle.
+The network is fitted in numpy on the driver, on a bounded sample of labelled rows (FIT_ROWS rows in the order of a hash of
+the id, and about FIT_BYTES bytes of their text, longer texts by a sample of their passages); scoring runs in the tasks that read the texts, without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from forum_signals.llm.common import arrow_bytes, id_bucket, limit_threads, reco
 
 FIT_ROWS = 4_000
 FIT_BYTES = 16_000_000
+#: Rows of either label that the sample holds at least, if there are so many.
+FIT_LEAST = 64
 FOLDS = 5
 THRESHOLD = 0.3
 PASSAGE_BYTES = 256
@@ -157,46 +160,76 @@ def fit(x: np.ndarray, starts: np.ndarray, labels: np.ndarray, epochs: int = EPO
     return net
 
 
+def _choose(rows: list, max_rows: int) -> list:
+    """The first ``max_rows`` rows, but of either label FIT_LEAST (at most half of all) if there are so many."""
+    least = min(FIT_LEAST, max_rows // 2)
+    rows = sorted(rows, key=lambda r: (r["place"], r["id"], r["hash"], r["label"]))
+    first = [r for x in (0, 1) for r in [r for r in rows if r["label"] == x][:least]]
+    places = {id(r) for r in first}
+    rest = [r for r in rows if id(r) not in places]
+    return first + rest[: max_rows - len(first)]
+
+
+def _share(sizes: list[int], max_bytes: int) -> int:
+    """The greatest number of bytes up to which every text may count so that all together hold ``max_bytes`` at most."""
+    left = max_bytes
+    for at, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - at) > left:
+            return max(1, left // (len(sizes) - at))
+        left -= size
+    return max(sizes, default=0)
+
+
+def _spread(bag: np.ndarray, size: int, share: int) -> np.ndarray:
+    """Of a text of ``size`` bytes as many passages, at even distances, as hold about ``share`` bytes; at least one."""
+    if size <= share:
+        return bag
+    n = max(1, len(bag) * share // size)
+    return bag[np.arange(n) * len(bag) // n]
+
+
 def fit_documents(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES, folds: int = FOLDS,
 ) -> Network:
     """A network fitted on labelled rows whose crc32(id) modulo ``folds`` is not 0.
 
-    The sample is bounded: at most ``max_rows`` rows in the order of a hash of the id, of those as many as hold
-    ``max_bytes`` bytes together (always one). Null ids and labels other than 0 and 1 are left out; repeated ids count as
+    The sample is bounded: at most ``max_rows`` rows in the order of a hash of the id, FIT_LEAST of either label among them
+    if there are so many, and about ``max_bytes`` bytes: if their texts hold more, all of them count up to one share of
+    bytes, and a longer text gives passages at even distances (always one). Null ids and labels other than 0 and 1 are left out; repeated ids count as
     repeated rows. No labels at all give a network that scores every document 0.5.
     """
     limit_threads()
-    order = [F.xxhash64("id"), F.col("id"), F.col("hash"), F.col("label")]
-    picked = (
-        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
-        .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (id_bucket(F.col("id"), folds) != 0))
-        .orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    )
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where(
+        F.col("id").isNotNull() & F.col("label").isin(0, 1) & (id_bucket(F.col("id"), folds) != 0)
+    )
+    first = lambda rows, *more: [rows.where(F.col("label") == x).orderBy(F.xxhash64("id"), "id", *more, "label").limit(max_rows) for x in (0, 1)]
+    picked = DataFrame.union(*first(known))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
-    joined = texts.join(F.broadcast(picked), "id")  # at most max_rows narrow rows
-    sizes = joined.select("id", "hash", "label", F.octet_length("text").cast("long").alias("n")).orderBy(*order).limit(max_rows)
-    chosen, held = [], 0
-    for row in sizes.collect():
-        held += row["n"]
-        if chosen and held > max_bytes:
-            break
-        chosen.append((row["id"], row["hash"]))
+    joined = texts.join(F.broadcast(picked), "id")  # at most max_rows narrow rows of either label
+    sizes = joined.select("id", "hash", "label", F.octet_length("text").cast("long").alias("n"), F.xxhash64("id").alias("place"))
+    chosen = _choose([r for part in first(sizes, "hash") for r in part.collect()], max_rows)
+    share = _share([r["n"] for r in chosen], max_bytes)
     if not chosen:
         return fit(np.zeros((0, N_FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32))
-    wanted = docs.sparkSession.createDataFrame(list(dict.fromkeys(chosen)), T.StructType([texts.schema["id"], T.StructField("hash", T.LongType())]))
-    sample = joined.join(F.broadcast(wanted), ["id", "hash"]).select("id", "hash", "label", "text")
+    times = Counter((r["id"], r["hash"], r["label"]) for r in chosen)
+    keys = T.StructType([texts.schema["id"], T.StructField("hash", T.LongType()), sizes.schema["label"]])
+    sample = joined.join(F.broadcast(docs.sparkSession.createDataFrame(list(times), keys)), keys.names).select(*keys.names, "text")
     schema = T.StructType([*sample.schema.fields[:3], T.StructField("features", T.BinaryType())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text=3):
-            x, starts = encode_passages(arrow_bytes(part.column(3)))
-            bags = [bag.tobytes() for bag in np.split(x, starts[1:])]
+            raw = arrow_bytes(part.column(3))
+            x, starts = encode_passages(raw)
+            bags = [_spread(bag, len(text or b""), share).tobytes() for bag, text in zip(np.split(x, starts[1:]), raw)]
             yield record_batch(schema, [*part.columns[:3], bags])
 
-    rows = sorted(sample.mapInArrow(encoded, schema).collect(), key=lambda r: (r["id"], r["hash"], r["label"]))[: len(chosen)]
+    rows = []
+    for row in sorted(sample.mapInArrow(encoded, schema).collect(), key=lambda r: (r["id"], r["hash"], r["label"])):
+        times[row["id"], row["hash"], row["label"]] -= 1
+        if times[row["id"], row["hash"], row["label"]] >= 0:
+            rows.append(row)
     bags = [np.frombuffer(r["features"], dtype=np.float32).reshape(-1, N_FEATURES) for r in rows]
     counts = np.array([len(b) for b in bags])
     return fit(np.concatenate(bags), np.cumsum(counts) - counts, np.array([r["label"] for r in rows], dtype=np.float32))

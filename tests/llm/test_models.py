@@ -149,6 +149,23 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.score_documents(docs.limit(0), net, ["doc_id"]).count() == 0
 
 
+def test_quality_sample_of_skewed_texts(spark):
+    """One very long text first in hash order leaves no other out, and a label that comes late in it still takes part."""
+    from forum_signals.llm.common import id_bucket
+    from pyspark.sql import functions as F
+
+    good, bad = "A plain line of words, as people write them.\n", "$$ ## 000 ||| @@ 999 %%% !!\n"
+    ids = [r.id for r in spark.range(400).where(id_bucket(F.col("id"), 5) != 0).orderBy(F.xxhash64("id")).collect()]
+    rows = [(n, (good if at % 2 else bad) * (20_000 if at == 0 else 3), at % 2) for at, n in enumerate(ids)]
+    late = [(n, (bad if at > len(ids) - 20 else good) * 3, int(at <= len(ids) - 20)) for at, n in enumerate(ids)]
+    for table, options in ((rows, {"max_bytes": 60_000}), (late, {"max_rows": 100})):
+        docs = spark.createDataFrame([r[:2] for r in table], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in table], "doc_id long, quality int")
+        net = quality.fit_documents(docs, labels, **options)
+        found = {r.row.doc_id: r.score for r in quality.score_documents(docs, net, ["doc_id"]).collect()}
+        assert all((found[n] >= 0.3) == bool(label) for n, _, label in table)
+
+
 def test_passages():
     texts = [None, b"", b"ab\ncd", b"x" * 600, b"\n", b"last"]
     features, starts = quality.encode_passages(texts)
