@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from forum_signals.llm import attention_lm as lm
 from forum_signals.llm import lm_scoring, quality, queries
@@ -106,6 +107,17 @@ def test_model_gradient():
         assert (up - down) / 2e-2 == pytest.approx(np.linalg.norm(gradient), rel=0.05, abs=2e-4)
 
 
+def test_every_place_of_the_training_texts_is_trained_on(spark, docs):
+    texts = docs.select("text", F.col("doc_id").alias("id"))
+    counts = lm_scoring.count_subwords(lm_scoring.count_words(texts), *BPE)
+    corpus = lm_scoring.read_corpus(texts, lm_scoring.Vocabulary(counts), *BPE, lm_scoring.TRAIN_EVERY)
+    targets = [np.frombuffer(r.window, dtype=np.int16)[lm.LENGTH :] for r in corpus.where("window IS NOT NULL").collect()]
+    own = lm_scoring.subwords(*BPE)
+    ids = own.ids([lm_scoring.words_of((r.text or "").encode()) for r in texts.collect()])
+    assert sum((x >= 0).sum() for x in targets) == sum(map(len, ids))
+    assert lm.CONTEXT >= 16
+
+
 def test_training_helps_on_held_out_texts(spark):
     from forum_signals.llm.common import id_bucket, table
     from pyspark.sql import functions as F
