@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm import byte_bpe, decontamination, exact_dedup, lm_scoring, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from forum_signals.llm import byte_bpe, decontamination, exact_dedup, lm_scoring, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
 from forum_signals.llm.common import id_bucket, record_batch, slices, table
 from forum_signals.session import scratch_path
 
@@ -106,6 +106,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all rows by source; every row's leaf, or for tampered rows the changed one, is folded to the root."""
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def manifest_digest(docs: DataFrame, height: int = merkle.HEIGHT) -> DataFrame:
+    tampered = F.when(id_bucket(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    before = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select(
+        F.col("source").cast("string").alias("group"), F.col("doc_id").alias("id"),
+        merkle.leaf_digest(*before, F.col("text")).alias("leaf"), merkle.leaf_digest(*before, tampered).alias("claim"),
+    )
+    checked = merkle.check(merkle.build(leaves, height=height))
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -117,6 +134,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {}
