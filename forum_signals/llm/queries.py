@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm import byte_bpe, decontamination, exact_dedup, lm_scoring, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from forum_signals.llm import byte_bpe, collocations, decontamination, exact_dedup, lm_scoring, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
 from forum_signals.llm.common import id_bucket, record_batch, slices, table
 from forum_signals.session import scratch_path
 
@@ -106,6 +106,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all rows by source; every row's leaf, or for tampered rows the changed one, is folded to the root."""
     return manifest_digest(table(spark, sf_dir, "documents"))
@@ -134,6 +139,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 

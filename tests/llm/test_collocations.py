@@ -1,0 +1,108 @@
+"""Collocations against plain counting."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from forum_signals.llm import collocations
+
+COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def plain(rows, least=30, covered=80, top=2000):
+    found: dict = defaultdict(Counter)
+    for lang, text in rows:
+        counts = found["und" if lang is None else lang]
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            words = re.findall("[^\x20\x09]+", piece)
+            for n in range(1, 5):
+                counts.update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    out = []
+    for lang, counts in found.items():
+        total = sum(c for p, c in counts.items() if len(p) == 1)
+        candidates = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        hidden = set()
+        for p, a in candidates.items():
+            for i in range(len(p)):
+                for j in range(i + 2, len(p) + 1):
+                    if j - i < len(p) and p[i:j] in candidates and 100 * a >= covered * candidates[p[i:j]]:
+                        hidden.add(p[i:j])
+        scored = []
+        for p, a in candidates.items():
+            if p not in hidden:
+                score, _, l, r = min((2_000_000 * a // (counts[p[:k]] + counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), l, r))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, l, r, total, -score))
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, lang, text, "x") for i, (lang, text) in enumerate(rows)], "phrase long, lang string, text string, n string").repartition(5)
+
+
+def same(got, expected):
+    assert sorted(tuple(r) for r in got.select(*COLUMNS).collect()) == sorted(expected)
+
+
+def prose(seed, texts, length, words):
+    """Texts with words that follow one another often, so that phrases of every length are frequent."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(texts):
+        text, word = [], 0
+        for _ in range(rng.randint(1, length)):
+            word = rng.choice([word + 1, word + 1, word + 1, rng.randrange(words)]) % words
+            text.append(f"w{word}\x01" if word % 7 == 3 else f"W{word}" if rng.random() < 0.3 else f"w{word}")
+        out.append("".join(w + rng.choice([" "] * 12 + ["\t ", ". ", "\n", ",", "  "]) for w in text))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_like_plain_counting(spark, monkeypatch, small):
+    """With small sorts every stream is cut into many tasks, so runs and parts cross their edges."""
+    if small:
+        monkeypatch.setattr(collocations, "SORT_BYTES", 20_000)
+        monkeypatch.setattr(collocations, "SORT_ROWS", 40)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    rows = [("en", t) for t in prose(1, 150, 200, 60)] + [("de", t) for t in prose(2, 60, 150, 40)] + [(None, t) for t in prose(3, 60, 90, 20)]
+    rows += [("und", t) for t in prose(3, 5, 90, 20)]
+    try:
+        for least, top in ((30, 2000), (5, 40)):
+            same(collocations.collocations(frame(spark, rows), least=least, top=top), plain(rows, least=least, top=top))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
+def test_odd_rows(spark):
+    """Null and empty texts, only blanks, one very long text without a break, words outside ASCII, repeated rows."""
+    rows = [("en", None), (None, ""), ("", " \t \n"), ("en", "ÄB ß é  x " * 40), ("en", "a b " * 30), ("en", "a b " * 30), ("", "x y z." * 31), ("fr", "x\x0by " * 35)]
+    same(collocations.collocations(frame(spark, rows)), plain(rows))
+
+
+def test_parts_of_a_long_piece(monkeypatch):
+    """A piece that is split in parts gives the windows of the whole piece."""
+    text = " ".join(f"w{i % 13}" for i in range(400)).encode()
+    whole = sorted(w for part in collocations.text_windows(text) for w in part)
+    for size in (1, 5, 50, 333):
+        monkeypatch.setattr(collocations, "PIECE_BYTES", size)
+        monkeypatch.setattr(collocations, "HELD", size)
+        assert sorted(w for part in collocations.text_windows(text) for w in part) == whole
+    assert len(whole) == 400
+
+
+def test_large_counts(spark):
+    """Products beyond 64 bits stay exact, in the score as in the test of longer phrases."""
+    big = 9_000_000_000_000_000
+    phrases = [("en", "a", 1, big + 2), ("en", "b", 1, big + 1), ("en", "a b", 2, big)]
+    made = spark.createDataFrame(phrases, "lang string, phrase string, words int, n long")
+    rows = {r.phrase: r for r in collocations.lockstep(made, False).collect()}
+    assert rows["a b"].p1 == big + 2 and rows["a"].extended == big
+
+
+def test_empty_table(spark):
+    assert collocations.collocations(frame(spark, [("en", "x")]).limit(0)).collect() == []
