@@ -1,7 +1,7 @@
 """Phrase collocations from sorted count streams.
 
-1. ``windows``: every word position gives one record, the up to LONGEST words of its piece that start there. Equal records of a
-   slice of texts are one record with a count.
+1. ``windows``: every word position gives one record, the language and the up to LONGEST words of its piece that start there. Tasks
+   write them as sorted runs of about HELD records, in which equal ones are one record with a count.
 2. ``phrase_counts``: the records are sorted in prefix order over all tasks. There the occurrences of every phrase, of any length,
    stand in a row, so one scan sums them all: a phrase's count is the length of its run. Runs that touch the edge of a batch are
    sent on as partial sums; of the others, only phrases that occur often enough.
@@ -39,7 +39,7 @@ TOP = 2_000
 SCALE = 2_000_000
 NO_LANG = "und"
 #: Window records that are combined at a time, and bytes of a piece that are split into words at a time.
-HELD = 500_000
+HELD = 1_000_000
 PIECE_BYTES = 4_000_000
 #: Bytes of window records, and rows of phrases, that a task sorts.
 SORT_BYTES = 48_000_000
@@ -51,8 +51,10 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TABLE = bytes.maketrans(_BREAKS + _UPPER + b"\t", b"\n" * len(_BREAKS) + _UPPER.lower() + b" ")
 
-_WINDOW = T.StructType().add("lang", "string").add("window", "string").add("n", "long")
-_PHRASE = T.StructType().add("lang", "string").add("phrase", "string").add("words", "integer").add("n", "long")
+#: How characters that separate are written in the name of a language.
+_WRITTEN = (("%", "%25"), (" ", "%20"), ("\n", "%0A"))
+_WINDOW = T.StructType().add("record", "string").add("n", "long")
+_RUN = T.StructType().add("run", "string").add("words", "integer").add("n", "long")
 
 
 def _word_runs(text: bytes, longest: int) -> Iterator[tuple[list[bytes], bool]]:
@@ -83,69 +85,80 @@ def text_windows(text: bytes, longest: int = LONGEST) -> Iterator[list[bytes]]:
 
 
 def windows(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
-    """(lang, window, n): the combined windows of each slice of texts."""
+    """(record, n): language, a line end and the words of a window, counted within each sorted run.
+
+    Blanks and line ends of a language's name are written as %20 and %0A, so that records split without doubt.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        size = 0
         for part in slices(batches, text=1):
-            held: dict[str, list[bytes]] = {}
             for lang, text in zip(part.column(0).to_pylist(), arrow_bytes(part.column(1))):
-                mine = held.setdefault(lang, [])
                 for found in text_windows(text or b"", longest):
-                    mine += found
-                    if len(mine) > HELD:
-                        yield _combined(lang, mine)
-                        mine.clear()
-            for lang, mine in held.items():
-                if mine:
-                    yield _combined(lang, mine)
+                    held.setdefault(lang, []).extend(found)
+                    size += len(found)
+                    if size > HELD:
+                        yield from _run(held)
+                        held, size = {}, 0
+        yield from _run(held)
 
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG))
+    for plain, written in _WRITTEN:
+        lang = F.replace(lang, F.lit(plain), F.lit(written))
     return docs.select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(cut, _WINDOW)
 
 
-def _combined(lang: str, found: list[bytes]) -> pa.RecordBatch:
-    counted = pc.value_counts(pa.array(found, type=pa.binary()).cast(pa.string()))
-    return record_batch(_WINDOW, [[lang] * len(counted), counted.field(0), counted.field(1)])
+def _run(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    for lang in sorted(held):
+        counted = pc.value_counts(pa.array(held[lang], type=pa.binary()).cast(pa.string()))
+        counted = counted.take(pc.sort_indices(counted.field(0)))
+        yield record_batch(_WINDOW, [pc.binary_join_element_wise(f"{lang}\n", counted.field(0), ""), counted.field(1)])
+
+
+def _language(column: str) -> Column:
+    lang = F.substring_index(column, "\n", 1)
+    for plain, written in reversed(_WRITTEN):
+        lang = F.replace(lang, F.lit(written), F.lit(plain))
+    return lang
 
 
 def phrase_counts(records: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, words, n) of all phrases of up to ``longest`` words with at least ``least`` occurrences."""
-    n_bytes = records.agg(F.sum(F.octet_length("window") + 24)).first()[0] or 0
-    stream = records.repartitionByRange(size_tasks(n_bytes, SORT_BYTES), "lang", "window").sortWithinPartitions("lang", "window")
+    n_bytes = records.agg(F.sum(F.octet_length("record") + 16)).first()[0] or 0
+    stream = records.repartitionByRange(size_tasks(n_bytes, SORT_BYTES), "record").sortWithinPartitions("record")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield _runs(batch, least, longest)
 
-    partial = stream.mapInArrow(summed, _PHRASE)
-    return partial.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = stream.mapInArrow(summed, _RUN).groupBy("run", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return counted.select(_language("run").alias("lang"), F.substring_index("run", "\n", -1).alias("phrase"), "words", "n")
 
 
 def _runs(batch: pa.RecordBatch, least: int, longest: int) -> pa.RecordBatch:
     """The runs of equal first words in a batch of the sorted stream: those that are frequent, and those at its edges."""
     rows = batch.num_rows
-    lists = pc.split_pattern(batch.column(1), " ")
+    lists = pc.split_pattern(batch.column(0), " ")
     offsets = lists.offsets.to_numpy()
     codes = lists.flatten().dictionary_encode().indices.to_numpy()
     sizes = np.diff(offsets) - 1  # the blank at the end gives one empty word
-    langs = batch.column(0).dictionary_encode().indices.to_numpy()
-    sums = np.append(0, np.cumsum(batch.column(2).to_numpy()))
-    fresh = np.append(True, langs[1:] != langs[:-1])
-    out: list[list] = [[], [], [], []]
+    sums = np.append(0, np.cumsum(batch.column(1).to_numpy()))
+    fresh = np.arange(rows) == 0
+    out: list[list] = [[], [], []]
     for k in range(longest):
+        # the first word of a record has its language before it
         word = np.where(sizes > k, codes[np.minimum(offsets[:-1] + k, len(codes) - 1)], -1)
-        fresh = fresh | np.append(True, word[1:] != word[:-1])
+        fresh[1:] |= word[1:] != word[:-1]
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], rows)
         count = sums[last] - sums[first]
         kept = np.flatnonzero((sizes[first] > k) & ((count >= least) | (first == 0) | (last == rows)))
-        at = pa.array(first[kept])
-        out[0] += batch.column(0).take(at).to_pylist()
-        out[1] += [" ".join(w.split(" ", k + 1)[: k + 1]) for w in batch.column(1).take(at).to_pylist()]
-        out[2] += [k + 1] * len(kept)
-        out[3] += count[kept].tolist()
-    return record_batch(_PHRASE, out)
+        out[0] += [" ".join(w.split(" ", k + 1)[: k + 1]) for w in batch.column(0).take(pa.array(first[kept])).to_pylist()]
+        out[1] += [k + 1] * len(kept)
+        out[2] += count[kept].tolist()
+    return record_batch(_RUN, out)
 
 
 def lockstep(phrases: DataFrame, reverse: bool, longest: int = LONGEST) -> DataFrame:
@@ -229,7 +242,9 @@ def collocations(
     ``a`` counts the phrase, ``l`` and ``r`` the two parts of its lowest-scoring cut, ``n`` all words of the language. Equal
     scores go by ``a``, then by the phrase's bytes. Extra columns are ignored; an empty table gives an empty table.
     """
-    records = stored(windows(docs, lang_col, text_col, longest), "collocation-windows")
+    # sorted strings are stored as their differences
+    written = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
+    records = stored(windows(docs, lang_col, text_col, longest), "collocation-windows", **written)
     phrases = stored(phrase_counts(records, least, longest), "collocation-phrases")
     sides = []
     for reverse, name in ((False, "l"), (True, "r")):
@@ -250,5 +265,5 @@ def collocations(
     share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
     first = scored.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    totals = records.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = records.groupBy(_language("record").alias("lang")).agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

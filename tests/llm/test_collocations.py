@@ -80,7 +80,7 @@ def test_like_plain_counting(spark, monkeypatch, small):
 
 def test_odd_rows(spark):
     """Null and empty texts, only blanks, one very long text without a break, words outside ASCII, repeated rows."""
-    rows = [("en", None), (None, ""), ("", " \t \n"), ("en", "ÄB ß é  x " * 40), ("en", "a b " * 30), ("en", "a b " * 30), ("", "x y z." * 31), ("fr", "x\x0by " * 35)]
+    rows = [("en", None), (None, ""), ("", " \t \n"), ("en", "ÄB ß é  x " * 40), ("en", "a b " * 30), ("en", "a b " * 30), ("", "x y z." * 31), ("fr", "x\x0by " * 35), ("a b%20\n%", "q r " * 40)]
     same(collocations.collocations(frame(spark, rows)), plain(rows))
 
 
