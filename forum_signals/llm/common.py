@@ -37,8 +37,8 @@ def arrow_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(wide).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of at most SLICE_ROWS rows and about SLICE_BYTES of column ``text``.
+def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most SLICE_ROWS rows and about ``most`` bytes of column ``text``.
 
     A single longer text is a slice of its own.
     """
@@ -49,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterat
         sizes = [0] * rows if text is None else [x or 0 for x in _lengths(batch.column(text))]
         while start < rows:
             end, held = start, 0
-            while end < rows and end - start < SLICE_ROWS and (end == start or held + sizes[end] <= SLICE_BYTES):
+            while end < rows and end - start < SLICE_ROWS and (end == start or held + sizes[end] <= most):
                 held += sizes[end]
                 end += 1
             yield batch.slice(start, end - start)

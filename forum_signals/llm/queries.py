@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm import byte_bpe, collocations, decontamination, exact_dedup, lm_scoring, merkle, quality, sharding, simhash, substring_dedup, token_output, url_filter
+from forum_signals.llm import byte_bpe, collocations, decontamination, exact_dedup, lm_scoring, merkle, quality, sharding, simhash, substring_dedup, suffix_dedup, token_output, url_filter
 from forum_signals.llm.common import id_bucket, record_batch, slices, table
 from forum_signals.session import scratch_path
 
@@ -128,6 +128,11 @@ def manifest_digest(docs: DataFrame, height: int = merkle.HEIGHT) -> DataFrame:
     return checked.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text when the byte strings of earlier documents are removed."""
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -141,6 +146,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_collocations": op11_collocations,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {}
