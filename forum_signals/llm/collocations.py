@@ -124,7 +124,10 @@ def _language(column: str) -> Column:
 
 
 def phrase_counts(records: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, words, n) of all phrases of up to ``longest`` words with at least ``least`` occurrences."""
+    """(lang, phrase, words, n) of all phrases of up to ``longest`` words with at least ``least`` occurrences.
+
+    The empty phrase of no words stands for all word occurrences of its language.
+    """
     n_bytes = records.agg(F.sum(F.octet_length("record") + 16)).first()[0] or 0
     stream = records.repartitionByRange(size_tasks(n_bytes, SORT_BYTES), "record").sortWithinPartitions("record")
 
@@ -133,7 +136,7 @@ def phrase_counts(records: DataFrame, least: int = LEAST, longest: int = LONGEST
             if batch.num_rows:
                 yield _runs(batch, least, longest)
 
-    counted = stream.mapInArrow(summed, _RUN).groupBy("run", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = stream.mapInArrow(summed, _RUN).groupBy("run", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
     return counted.select(_language("run").alias("lang"), F.substring_index("run", "\n", -1).alias("phrase"), "words", "n")
 
 
@@ -145,8 +148,11 @@ def _runs(batch: pa.RecordBatch, least: int, longest: int) -> pa.RecordBatch:
     codes = lists.flatten().dictionary_encode().indices.to_numpy()
     sizes = np.diff(offsets) - 1  # the blank at the end gives one empty word
     sums = np.append(0, np.cumsum(batch.column(1).to_numpy()))
+    names = pc.list_element(pc.split_pattern(batch.column(0), "\n", max_splits=1), 0).dictionary_encode()
+    total = np.zeros(len(names.dictionary), dtype=np.int64)
+    np.add.at(total, names.indices.to_numpy(), np.diff(sums))
+    out: list[list] = [[f"{name}\n" for name in names.dictionary.to_pylist()], [0] * len(total), total.tolist()]
     fresh = np.arange(rows) == 0
-    out: list[list] = [[], [], []]
     for k in range(longest):
         # the first word of a record has its language before it
         word = np.where(sizes > k, codes[np.minimum(offsets[:-1] + k, len(codes) - 1)], -1)
@@ -245,7 +251,8 @@ def collocations(
     # sorted strings are stored as their differences
     written = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
     records = stored(windows(docs, lang_col, text_col, longest), "collocation-windows", **written)
-    phrases = stored(phrase_counts(records, least, longest), "collocation-phrases")
+    counted = stored(phrase_counts(records, least, longest), "collocation-phrases")
+    phrases = counted.where("words > 0")
     sides = []
     for reverse, name in ((False, "l"), (True, "r")):
         rows = _filled(stored(lockstep(phrases, reverse, longest), f"collocation-{name}"), phrases, reverse, longest)
@@ -265,5 +272,5 @@ def collocations(
     share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
     first = scored.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    totals = records.groupBy(_language("record").alias("lang")).agg(F.sum("n").alias("n"))
+    totals = counted.where("words = 0").select("lang", "n")
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
