@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,6 +117,7 @@ def student_p_value(t_squared: Column, df: Column) -> Column:
     return F.when(t_squared == 0, 1.0).when(x <= (a + 1) / (a + b + 2), direct).otherwise(other)
 
 
+@lru_cache
 def _exact_tails(n: int) -> list[float]:
     """P(S >= 0), P(S >= 2), ... for S, the sum of squared rank differences of n items in random order."""
     counts = {0: Counter({0: 1})}
@@ -151,7 +154,7 @@ def _rank_difference_tail(s: Column, n: Column, upper: Column) -> Column:
     series = F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))
     exact = F.lit(None).cast("double")
     for items in range(3, EXACT_ITEMS + 1):
-        tails = F.array(*[F.lit(v) for v in _exact_tails(items)])
+        tails = F.expr(f"array({', '.join(f'{v!r}D' for v in _exact_tails(items))})")
         exact = F.when(n == items, F.get(tails, (s / 2).cast("int"))).otherwise(exact)
     exact = F.when(upper, exact).otherwise(1 - exact)
     tail = F.when(n <= EXACT_ITEMS, exact).otherwise(series)
@@ -178,28 +181,54 @@ def spearman_p_value(rho: Column | str, n: Column | str, ties: Column | str) ->
     return F.when(known, F.when(ties | (n > SERIES_ITEMS), student).otherwise(ranked))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _excess(observed: Column, expected: Column) -> Column:
     return observed * F.ln(F.try_divide(observed, expected))
 
 
-def _limit(deviance, centre: Column, step: Column, sign: int) -> Column:
-    """Where the deviance crosses its 95 % point on one side of the centre: bracketed by doubling, then bisected.
+#: Steps a limit may take; each halves its bracket or follows the slope, and a settled limit takes none.
+LIMIT_STEPS = 120
+
 
-    A hundred halvings of the bracket reach the resolution of a double from any start.
+def _limit(deviance: Callable[[Column], Column], centre: Column, step: Column, sign: Column) -> Column:
+    """Where the deviance crosses its 95 % point on one side of the centre, as the log of the limit.
+
+    ``deviance`` gives (deviance, slope) at a point. The root of the deviance is close to a straight line, so Newton steps on
+    it settle within a few points; a step out of the bracket is replaced by doubling or halving.
     """
-    inside = lambda distance: deviance(centre + sign * distance) < CHI2_1_95
-    outer = F.aggregate(F.sequence(F.lit(1), F.lit(60)), step, lambda o, _: F.when(inside(o), 2 * o).otherwise(o))
-
-    def halve(ends: Column, _: Column) -> Column:
-        middle = (ends["low"] + ends["high"]) / 2
-        near = inside(middle)
-        return F.struct(
-            F.when(near, middle).otherwise(ends["low"]).alias("low"), F.when(near, ends["high"]).otherwise(middle).alias("high")
+    goal = math.sqrt(CHI2_1_95)
+
+    def moved(acc: Column, at: Column) -> Column:
+        inside = at["deviance"] < CHI2_1_95
+        ends = F.struct(
+            F.when(inside, acc["distance"]).otherwise(acc["low"]).alias("low"),
+            F.when(inside, acc["high"]).otherwise(acc["distance"]).alias("high"),
+            (acc["distance"] + (goal - at["root"]) * 2 * at["root"] / (sign * at["slope"])).alias("newton"),
+        )
+        return let(ends, lambda e: next_point(acc, e))
+
+    def next_point(acc: Column, e: Column) -> Column:
+        halved = F.when(e["high"] == math.inf, 2 * acc["distance"]).otherwise((e["low"] + e["high"]) / 2)
+        chosen = F.when((e["newton"] >= e["low"]) & (e["newton"] <= e["high"]), e["newton"]).otherwise(halved)
+        return let(chosen, lambda x: F.struct(
+            e["low"].alias("low"), e["high"].alias("high"), x.alias("distance"), (F.abs(x - acc["distance"]) <= 1e-15 * F.abs(x)).alias("settled"),
+        ))
+
+    def stepped(acc: Column, _: Column) -> Column:
+        at = let(
+            deviance(centre + sign * acc["distance"]),
+            lambda d: F.struct(d["deviance"].alias("deviance"), d["slope"].alias("slope"), F.sqrt(F.greatest(d["deviance"], F.lit(1e-300))).alias("root")),
         )
+        return F.when(acc["settled"], acc).otherwise(let(at, lambda x: moved(acc, x)))
 
-    start = F.struct(F.lit(0.0).alias("low"), outer.alias("high"))
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, halve)
-    return F.exp(centre + sign * (ends["low"] + ends["high"]) / 2)
+    start = F.struct(
+        F.lit(0.0).alias("low"), F.lit(math.inf).alias("high"), step.alias("distance"), F.lit(False).alias("settled")
+    )
+    return centre + sign * F.aggregate(F.sequence(F.lit(1), F.lit(LIMIT_STEPS)), start, stepped)["distance"]
 
 
 def profile_limits(a: Column, b: Column, a0: Column, b0: Column, intercept: Column) -> Column:
@@ -208,32 +237,44 @@ def profile_limits(a: Column, b: Column, a0: Column, b0: Column, intercept: Colu
     The deviance has the intercept profiled out. NULL where a cell is empty.
     """
 
-    def ratio_deviance(beta: Column) -> Column:
-        n, n0, s, r = a + b, a0 + b0, a + a0, F.exp(beta)
-        quad, lin = r * (n + n0 - s), n0 + n * r - s * (1.0 + r)
-        root = F.sqrt(lin * lin + 4.0 * quad * s)
-        odds = F.when(lin > 0, F.try_divide(2.0 * s, lin + root)).otherwise(F.try_divide(root - lin, 2.0 * quad))
-        p0, p1 = odds / (1.0 + odds), odds * r / (1.0 + odds * r)
-        return 2.0 * (
-            _excess(a0, n0 * p0) + _excess(b0, n0 * (1 - p0)) + _excess(a, n * p1) + _excess(b, n * (1 - p1))
+    def at_odds(c: Column, r: Column, odds: Column) -> Column:
+        """Deviance and slope where the baseline has ``odds`` and the row r times as much."""
+        rates = F.struct((odds / (1.0 + odds)).alias("p0"), (odds * r / (1.0 + odds * r)).alias("p1"))
+        return let(rates, lambda p: F.struct(
+            (2.0 * (
+                _excess(c["a0"], c["n0"] * p["p0"]) + _excess(c["b0"], c["n0"] * (1 - p["p0"]))
+                + F.when(c["intercept"], 0.0).otherwise(_excess(c["a"], c["n"] * p["p1"]) + _excess(c["b"], c["n"] * (1 - p["p1"])))
+            )).alias("deviance"),
+            (2.0 * F.when(c["intercept"], c["n0"] * p["p0"] - c["a0"]).otherwise(c["n"] * p["p1"] - c["a"])).alias("slope"),
+        ))
+
+    def profiled_odds(c: Column, r: Column) -> Column:
+        """The baseline's likeliest odds at an odds ratio."""
+        quadratic = F.struct((r * (c["n"] + c["n0"] - c["s"])).alias("quad"), (c["n0"] + c["n"] * r - c["s"] * (1.0 + r)).alias("lin"))
+        return let(quadratic, lambda q: let(
+            F.sqrt(q["lin"] * q["lin"] + 4.0 * q["quad"] * c["s"]),
+            lambda root: F.when(q["lin"] > 0, 2.0 * c["s"] / (q["lin"] + root)).otherwise((root - q["lin"]) / (2.0 * q["quad"])),
+        ))
+
+    def deviance(c: Column) -> Callable[[Column], Column]:
+        def at(x: Column) -> Column:
+            by_ratio = lambda r: let(F.when(c["intercept"], r).otherwise(profiled_odds(c, r)), lambda odds: at_odds(c, r, odds))
+            return let(F.exp(x), by_ratio)
+
+        return at
+
+    def limits(c: Column) -> Column:
+        spread = F.struct(
+            F.when(c["intercept"], F.ln(c["a0"] / c["b0"])).otherwise(F.ln(c["a"] / c["b"]) - F.ln(c["a0"] / c["b0"])).alias("centre"),
+            (math.sqrt(CHI2_1_95) * F.sqrt(1 / c["a0"] + 1 / c["b0"] + F.when(c["intercept"], 0.0).otherwise(1 / c["a"] + 1 / c["b"]))).alias("step"),
         )
-
-    def odds_deviance(alpha: Column) -> Column:
-        n0, p0 = a0 + b0, 1.0 / (1.0 + F.exp(-alpha))
-        return 2.0 * (_excess(a0, n0 * p0) + _excess(b0, n0 * (1 - p0)))
-
-    def inverse(*cells: Column) -> Column:
-        total = F.lit(0.0)
-        for cell in cells:
-            total = total + F.try_divide(F.lit(1.0), cell)
-        return 2.0 * F.sqrt(total)
-
-    base = F.ln(F.try_divide(a0, b0))
-    ratio = F.ln(F.try_divide(a, b)) - base
-    limits = []
-    for sign in (-1, 1):
-        own = _limit(odds_deviance, base, inverse(a0, b0), sign)
-        other = _limit(ratio_deviance, ratio, inverse(a, b, a0, b0), sign)
-        limits.append(F.when(intercept, own).otherwise(other))
-    full = F.when(intercept, (a0 > 0) & (b0 > 0)).otherwise((a > 0) & (b > 0) & (a0 > 0) & (b0 > 0))
-    return F.struct(F.when(full, limits[0]).alias("conf_low"), F.when(full, limits[1]).alias("conf_high"))
+        sides = F.array(F.lit(-1.0), F.lit(1.0))
+        return let(spread, lambda w: F.transform(sides, lambda sign: F.exp(_limit(deviance(c), w["centre"], w["step"], sign))))
+
+    cells = F.struct(
+        a.alias("a"), b.alias("b"), a0.alias("a0"), b0.alias("b0"), (a + b).alias("n"), (a0 + b0).alias("n0"), (a + a0).alias("s"),
+        intercept.alias("intercept"),
+    )
+    full = (a0 > 0) & (b0 > 0) & (intercept | ((a > 0) & (b > 0)))
+    found = F.when(full, let(cells, limits))
+    return let(found, lambda ends: F.struct(F.get(ends, F.lit(0)).alias("conf_low"), F.get(ends, F.lit(1)).alias("conf_high")))

@@ -1,7 +1,7 @@
 """Statistics over the contingency counts: intervals, tests, odds ratios, correlation.
 
-Inputs are the topic tables, bounded by top_n x categories rows, whatever the forum's size.
-The windows below therefore run over a few thousand rows at most.
+Totals and baselines are one-row aggregates. Ranks over all rows come from buckets in the order of the values: a window ranks
+the rows within a bucket, and one row tells how many stand in earlier ones. So no window takes all rows into one task.
 """
 
 from __future__ import annotations
@@ -49,8 +49,11 @@ def _strength(statistic: Column, total: Column, rows: Column, columns: Column) -
 def homogeneity_test(contingency: DataFrame, by: str | None = None) -> DataFrame:
     """Chi-square test that all topics share one rate, with Cramer's V; per ``by`` value if given."""
     keys = [by] if by else []
-    everyone = Window.partitionBy(*keys)
-    flagged = F.sum("n_miscomm").over(everyone) / F.sum("n_total").over(everyone)
+    if by:
+        everyone = Window.partitionBy(by)
+        flagged = F.sum("n_miscomm").over(everyone) / F.sum("n_total").over(everyone)
+    else:
+        flagged = contingency.agg(F.sum("n_miscomm") / F.sum("n_total")).scalar()
     cells = contingency.withColumn("_rate", flagged).withColumn(
         "_chi2",
         _cell(F.col("n_miscomm"), F.col("n_total") * F.col("_rate"))
@@ -78,7 +81,7 @@ def profile_test(contingency_by_category: DataFrame, track: str = "tags") -> Dat
     cells = contingency_by_category.select("topic", "category", F.col("n_miscomm").alias("n"))
     row_total = F.sum("n").over(Window.partitionBy("topic"))
     column_total = F.sum("n").over(Window.partitionBy("category"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = cells.agg(F.sum("n")).scalar()
     cells = cells.withColumn("_expected", row_total.cast("double") * column_total / total)
     summed = cells.withColumn("_chi2", _cell(F.col("n"), F.col("_expected"))).agg(
         F.sum("_chi2").alias("chi2"),
@@ -103,19 +106,56 @@ def profile_test(contingency_by_category: DataFrame, track: str = "tags") -> Dat
     )
 
 
+def _earlier_rows(rows: DataFrame, bucket: str) -> Column:
+    """How many rows are in lower buckets, as one map from bucket to number; a null bucket does not count."""
+    sizes = rows.groupBy(bucket).agg(F.count("*").alias("n"))
+    # null buckets are left out after the grouping: as a filter the condition would be planned with all that the bucket is made of
+    listed = sizes.agg(F.sort_array(F.collect_list(F.when(F.col(bucket).isNotNull(), F.struct(bucket, "n")))).alias("sizes"))
+
+    def earlier(size: Column, place: Column) -> Column:
+        lower = F.slice("sizes", F.lit(1), place)
+        return F.struct(size[bucket], F.aggregate(lower, F.lit(0).cast("long"), lambda total, x: total + x["n"]))
+
+    return listed.select(F.map_from_entries(F.transform("sizes", earlier))).scalar()
+
+
+def _p_bucket(p: Column) -> Column:
+    """A p-value's quarter of a power of two: at most 4,402 buckets in ascending order."""
+    return F.when(p > 0, F.greatest(F.lit(-4400), F.floor(F.log2(p) * 4).cast("int"))).when(p.isNotNull(), F.lit(-4401))
+
+
 def adjust_p_values(tests: DataFrame, p: str = "p_value", family: str | None = None) -> DataFrame:
-    """Benjamini-Hochberg ``p_adj`` within each family of tests."""
-    keys = [family] if family else []
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(p))
-    size = F.count(p).over(Window.partitionBy(*keys))
-    later = Window.partitionBy(*keys).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    scaled = F.least(F.lit(1.0), F.col(p) * size / F.col("_rank"))
-    return (
-        tests.withColumn("_rank", rank)
-        .withColumn("_scaled", scaled)
-        .withColumn("p_adj", F.min("_scaled").over(later))
-        .drop("_rank", "_scaled")
-    )
+    """Benjamini-Hochberg ``p_adj`` within each family of tests; a missing p-value is no test and stays missing."""
+    if family:
+        share = Window.partitionBy(family)
+        ranked = tests.withColumn("_rank", F.row_number().over(share.orderBy(F.asc_nulls_last(p))))
+        size = F.count(p).over(share)
+    else:
+        tests = tests.withColumn("_bucket", _p_bucket(F.col(p)))
+        share = Window.partitionBy("_bucket")
+        within = F.row_number().over(share.orderBy(p))
+        earlier = F.try_element_at(_earlier_rows(tests, "_bucket"), F.col("_bucket"))
+        ranked = tests.withColumn("_rank", F.when(F.col(p).isNotNull(), earlier + within))
+        size = tests.agg(F.count(p)).scalar()
+    scaled = ranked.withColumn("_scaled", F.least(F.lit(1.0), F.col(p) * size / F.col("_rank")))
+    scaled = scaled.withColumn("_scaled", F.when(F.col(p).isNotNull(), F.col("_scaled")))
+    later = share.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
+    adjusted = scaled.withColumn("p_adj", F.min("_scaled").over(later))
+    if not family:
+        adjusted = adjusted.withColumn("p_adj", F.least("p_adj", F.try_element_at(_later_minimum(scaled), F.col("_bucket"))))
+    return adjusted.drop("_rank", "_scaled", "_bucket")
+
+
+def _later_minimum(scaled: DataFrame) -> Column:
+    """The least ``_scaled`` in higher buckets, as one map from bucket to number."""
+    lows = scaled.groupBy("_bucket").agg(F.min("_scaled").alias("low"))
+    listed = lows.agg(F.sort_array(F.collect_list(F.when(F.col("_bucket").isNotNull(), F.struct("_bucket", "low")))).alias("lows"))
+
+    def later(low: Column, place: Column) -> Column:
+        higher = F.slice("lows", place + 2, F.greatest(F.size("lows") - place - 1, F.lit(0)))
+        return F.struct(low["_bucket"], F.array_min(F.transform(higher, lambda x: x["low"])))
+
+    return listed.select(F.map_from_entries(F.transform("lows", later))).scalar()
 
 
 def label_direction(tests: DataFrame, alpha: float) -> DataFrame:
@@ -178,12 +218,12 @@ def odds_ratios(contingency: DataFrame) -> DataFrame:
 
     The baseline is the largest topic; its own row is the intercept.
     """
-    largest_first = Window.orderBy(F.desc("n_total"), "topic")
-    based = contingency.select(
-        "*",
-        F.first("topic").over(largest_first).alias("base_topic"),
-        F.first("n_miscomm").over(largest_first).alias("base_miscomm"),
-        F.first("n_no_miscomm").over(largest_first).alias("base_no_miscomm"),
+    largest = F.min_by(F.struct("topic", "n_miscomm", "n_no_miscomm"), F.struct(-F.col("n_total"), F.col("topic")))
+    based = contingency.withColumn("_base", contingency.agg(largest).scalar()).select(
+        *contingency.columns,
+        F.col("_base.topic").alias("base_topic"),
+        F.col("_base.n_miscomm").alias("base_miscomm"),
+        F.col("_base.n_no_miscomm").alias("base_no_miscomm"),
     )
     a, b = F.col("n_miscomm"), F.col("n_no_miscomm")
     a0, b0 = F.col("base_miscomm"), F.col("base_no_miscomm")
@@ -205,22 +245,26 @@ def odds_ratios(contingency: DataFrame) -> DataFrame:
 def logistic(contingency: DataFrame) -> DataFrame:
     """Odds ratios with test, profile-likelihood limits and adjusted p-values."""
     cells = [F.col(c).cast("double") for c in ("n_miscomm", "n_no_miscomm", "base_miscomm", "base_no_miscomm")]
-    fitted = (
-        odds_ratios(contingency)
-        .withColumn("p_value", normal_p_value("statistic"))
-        .withColumn("_limits", profile_limits(*cells, F.col("intercept")))
-        .select("*", "_limits.*")
-    )
+    # the limits come last: what the adjustment asks of its rows is then planned without them
+    tests = adjust_p_values(odds_ratios(contingency).withColumn("p_value", normal_p_value("statistic")))
     return (
-        adjust_p_values(fitted)
+        tests.withColumn("_limits", profile_limits(*cells, F.col("intercept")))
+        .select("*", "_limits.*")
         .orderBy(F.desc("intercept"), "topic")
         .select("term", "odds_ratio", "std_error", "statistic", "p_value", "conf_low", "conf_high", "p_adj")
     )
 
 
-def _average_rank(column: str) -> Column:
+#: Buckets per unit of a score or a rate, which are ranked within their bucket.
+RANK_BUCKETS = 512
+
+
+def _average_rank(pairs: DataFrame, column: str) -> Column:
+    """The mean rank of equal values."""
+    bucket = f"_bucket_{column}"
     ties = F.count("*").over(Window.partitionBy(column))
-    return F.rank().over(Window.orderBy(column)) + (ties - 1) / 2.0
+    within = F.rank().over(Window.partitionBy(bucket).orderBy(column))
+    return F.element_at(_earlier_rows(pairs, bucket), F.col(bucket)) + within + (ties - 1) / 2.0
 
 
 def rank_correlation(scores: DataFrame, rates: DataFrame, track: str = "tags") -> DataFrame:
@@ -230,7 +274,9 @@ def rank_correlation(scores: DataFrame, rates: DataFrame, track: str = "tags") -
         .join(rates.select("topic", F.col("miscomm_rate").alias("y")), "topic", "inner")
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
-    ranked = pairs.select("x", "y", _average_rank("x").alias("_rx"), _average_rank("y").alias("_ry"))
+    for column in ("x", "y"):
+        pairs = pairs.withColumn(f"_bucket_{column}", F.floor(F.col(column) * RANK_BUCKETS))
+    ranked = pairs.select("x", "y", _average_rank(pairs, "x").alias("_rx"), _average_rank(pairs, "y").alias("_ry"))
     summary = ranked.agg(
         F.corr("_rx", "_ry").alias("rho"),
         F.count("*").cast("int").alias("n_topics"),

@@ -492,12 +492,17 @@ def g15_score_titles(spark, sf_dir):
 # H. Statistics
 
 
+def _counts(spark, sf_dir):
+    """The topic counts as the statistics job reads them: a written table."""
+    return write_table(forum(spark, sf_dir).topic_counts, scratch_path(spark, "counts"))
+
+
 def _contingency(spark, sf_dir):
-    return rates.contingency_per_topic(forum(spark, sf_dir).topic_counts)
+    return rates.contingency_per_topic(_counts(spark, sf_dir))
 
 
 def _by_category(spark, sf_dir):
-    return rates.contingency_per_topic_category(forum(spark, sf_dir).topic_counts)
+    return rates.contingency_per_topic_category(_counts(spark, sf_dir))
 
 
 def _pairwise(spark, sf_dir):
@@ -553,9 +558,8 @@ def h9_profile_limits(spark, sf_dir):
 
 
 def _correlation(spark, sf_dir):
-    return stats.rank_correlation(
-        _concreteness(spark, sf_dir), rates.rate_per_topic(forum(spark, sf_dir).topic_counts)
-    )
+    scores = write_table(_concreteness(spark, sf_dir), scratch_path(spark, "scores"))
+    return stats.rank_correlation(scores, rates.rate_per_topic(_counts(spark, sf_dir)))
 
 
 @query
