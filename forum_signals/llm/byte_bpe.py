@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm.common import record_batch, slices, stored
+from forum_signals.llm.common import column, every_column, record_batch, slices, stored
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -106,7 +106,7 @@ def encode(
     Each match of ``pattern`` is encoded separately by the ranks in ``path``, without special tokens. Null and empty texts
     have no ids. Rows are neither merged nor dropped; other columns may hold nulls and have any name. No text is cut.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    whole = docs.select(F.struct(*every_column(docs)).alias("row"), column(text_col).cast("string").alias("text"))
     schema = T.StructType().add(whole.schema["row"]).add("ids", T.ArrayType(T.IntegerType()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +126,15 @@ def encode(
     return short.unionByName(stitched).unionByName(rest)
 
 
+def _safe(text: str, starts: np.ndarray) -> np.ndarray:
+    """The boundaries that do not follow a blank.
+
+    The pattern looks past a run of blanks to decide where it ends, and nowhere else; a text that is cut after any other
+    character has the same matches on both sides as the whole.
+    """
+    return np.array([s for s in starts.tolist() if s and not text[s - 1].isspace()], dtype=np.int64)
+
+
 def _encode_chunks(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """(seq, k, ids) for all chunks of the documents whose chunks all resynchronise."""
     last = F.ceil((F.length("text") - overlap) / chunk) - 1
@@ -139,7 +148,8 @@ def _encode_chunks(long: DataFrame, path: str, pattern: str, chunk: int, overlap
     def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for part in slices(batches, text=3):
-            starts = [own.boundaries(text) for text in part.column(3).to_pylist()]
+            texts = part.column(3).to_pylist()
+            starts = [_safe(text, own.boundaries(text)) for text in texts]
             heads = [s[s < overlap].astype(np.int32) for s in starts]
             tails = [(s[s >= chunk] - chunk).astype(np.int32) for s in starts]
             yield record_batch(schema, [*part.columns, heads, tails])

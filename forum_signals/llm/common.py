@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def every_column(df: DataFrame) -> list[Column]:
+    return [column(name) for name in df.columns]
+
+
 def arrow_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     wide = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm.common import record_batch, slices
+from forum_signals.llm.common import column, every_column, record_batch, slices
 
 INDEX_ITEMS = 20_000
 BLOCK = 64
@@ -339,11 +339,13 @@ def _finder(docs: DataFrame, index: Index, retrieve: float, overlap: float, sche
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that leak no test item, unchanged; filtered where they are read, without a shuffle."""
-    out = docs
+    # one struct goes through the workers, so that columns may have any name
+    row = F.struct(*every_column(docs)).alias("row")
+    out = docs.select(row, column(text_col).cast("string").alias("text"))
     for index in index_blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        out = out.mapInArrow(_dropper(shared, docs.columns.index(text_col)), docs.schema)
-    return out
+        out = out.mapInArrow(_dropper(shared, 1), out.schema)
+    return out.select("row.*")
 
 
 def _dropper(shared, position: int):

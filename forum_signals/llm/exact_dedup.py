@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm.common import arrow_bytes, default_tasks, record_batch, slices, stored
+from forum_signals.llm.common import arrow_bytes, default_tasks, every_column, record_batch, slices, stored
 
 #: Characters that do not count when texts are compared.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -67,7 +67,7 @@ def stage_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     seq += 1
                 yield record_batch(schema, [part.column(0).cast(_arrow_type(schema)), *out])
 
-    return stored(docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(staged, schema), "exact-rows")
+    return stored(docs.select(F.struct(*every_column(docs)).alias("row")).mapInArrow(staged, schema), "exact-rows")
 
 
 def _arrow_type(schema: T.StructType) -> pa.DataType:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forum_signals.llm.common import default_tasks
+from forum_signals.llm.common import default_tasks, every_column
 from forum_signals.session import scratch_path
 
 #: Bits per dimension.
@@ -107,7 +107,7 @@ def write_shards(
     cells = quantised(docs, numbers, bits)
     runs = runs or max(shards, default_tasks(spark))
     placed = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(f"`{id_col}`").alias("id"),
+        F.struct(*every_column(docs)).alias("row"), F.col(f"`{id_col}`").alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         _curve(bits)(F.array(*cells)).alias("curve"),
     )

@@ -1,36 +1,38 @@
 """SimHash near-dedup by multi-index hashing.
 
-Fingerprints have 64 bits in two 32-bit segments. Two fingerprints that differ in at most two bits meet in at least one
-table entry if each is entered under every value in the radius-1 Hamming ball of either segment, the other segment as it is
-(2 x 32 entries, and the fingerprint itself): with both differing bits in one segment they meet at a value
-between them, with one in each segment the one's ball of the left segment meets the other's ball of the right. The members
-of an entry are pairwise within two bits; each is checked by its complete distance against its neighbour in the entry and
-linked to it. An entry so yields a chain instead of all its pairs, and cannot have more than 65 different members.
-Components of these links are then the components of the full link graph. Equal fingerprints are one node from the start.
+A fingerprint has 64 bits in two 32-bit segments, and every segment has a table from its value to the fingerprints with that value. Of two
+fingerprints that differ in at most two bits either one segment is equal, or both differ in one bit. So every
+fingerprint fetches from the first table the values in the radius-1 Hamming ball of its first segment (33 of them) and from the second
+table its own value, and each match is verified by its complete distance.
+
+A segment value of more than HOT_VALUE different fingerprints is not fetched, as all pairs of them would be matches. Whoever is in or
+would have fetched such a value is entered under all 64-bit values in its radius-1 ball instead: two fingerprints within two bits share one of
+those entries, its members (65 at most) are all within two bits of each other, and each is linked to the next one only.
+Components of the links are then the components of the full link graph. Equal fingerprints are one node from the start.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forum_signals.llm.common import arrow_bytes, record_batch, slices, stored
+from forum_signals.llm.common import arrow_bytes, column, every_column, record_batch, slices, stored
 from forum_signals.llm.components import connected_components
 
 SEED = 42
 #: Shingles whose bits are added up at a time, so that a very long text needs no more memory than this.
 SHINGLE_BLOCK = 65_536
-#: Prefixes in which a shingle is before it counts as frequent and comes last in the order of shingles.
-FREQUENT = 50
+#: Words of a shingle, and bits in which linked fingerprints may differ: the segments above are laid out for two.
+WIDTH = 3
+DISTANCE = 2
+#: Different fingerprints with one segment value up to which all of them are fetched.
+HOT_VALUE = 64
 
 
 def shingle_hashes(text: bytes | None, width: int) -> Iterator[np.ndarray]:
@@ -63,7 +65,7 @@ def fingerprint(text: bytes | None, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The columns ``carry`` of every row and its fingerprint ``fp`` as a signed long."""
     chosen = docs.select(F.struct(*carry).alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType().add(chosen.schema["row"]).add("fp", "long")
@@ -76,19 +78,48 @@ def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", widt
     return chosen.mapInArrow(scored, schema)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b) links between different fingerprints of column ``fp``; enough of them to connect whatever is within 2 bits."""
-    values = prints.select("fp").distinct()
-    balls = [F.lit(0).cast("long")] + [
-        F.lit((1 << bit) - (1 << 64) if bit == 63 else 1 << bit) for segment in (0, 32) for bit in range(segment, segment + 32)
-    ]
-    entries = values.select(F.explode(F.array(*balls)).alias("flip"), "fp").select(
-        F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"), "fp"
-    )
+def _bit(number: int) -> Column:
+    """A long with one bit set."""
+    return F.lit((1 << number) - (1 << 64) if number == 63 else 1 << number)
+
+
+def _segments() -> tuple[Column, Column]:
+    return F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def segment_matches(values: DataFrame, hot_value: int = HOT_VALUE) -> tuple[DataFrame, DataFrame]:
+    """(fp, other) of all table matches of the different fingerprints ``values``, and (fp) of those that hot values leave to ``_chained``."""
+    first, second = _segments()
+    table = values.select(F.explode(F.array(F.struct(F.lit(0).alias("segment"), first.alias("value")), F.struct(F.lit(1).alias("segment"), second.alias("value")))).alias("at"), "fp")
+    table = table.select("at.segment", "at.value", "fp")
+    hot = table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_value)
+    hot = stored(hot.select("segment", "value"), "simhash-hot")
+    ball = F.array(first, *[first.bitwiseXOR(F.lit(1 << bit)) for bit in range(32)])
+    probes = values.select(F.lit(0).alias("segment"), F.explode(ball).alias("value"), "fp").union(values.select(F.lit(1), second, "fp"))
+    cold_table = table.join(hot, ["segment", "value"], "left_anti").withColumnRenamed("fp", "other")
+    matches = probes.join(cold_table, ["segment", "value"]).where("fp > other").select("fp", "other")
+    near_hot = probes.join(hot, ["segment", "value"], "left_semi").select("fp").distinct()
+    return matches, near_hot
+
+
+def _near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+
+
+def _chained(values: DataFrame) -> DataFrame:
+    """(fp, other): every fingerprint and the one before it in each entry of its radius-1 ball."""
+    entry = F.explode(F.array(F.lit(0).cast("long"), *map(_bit, range(64))))
+    entries = values.select(entry.alias("flip"), "fp").select(F.col("fp").bitwiseXOR(F.col("flip")).alias("entry"), "fp")
     before = F.lag("fp").over(Window.partitionBy("entry").orderBy("fp"))
-    matches = entries.select("fp", before.alias("other")).where("other IS NOT NULL")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2
-    return matches.where(near).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    return entries.select("fp", before.alias("other")).where("other IS NOT NULL")
+
+
+def links(prints: DataFrame, hot_value: int = HOT_VALUE) -> DataFrame:
+    """(a, b) links between different fingerprints of column ``fp``; enough of them to connect whatever is within two bits."""
+    values = stored(prints.select("fp").distinct(), "simhash-values")
+    matches, near_hot = segment_matches(values, hot_value)
+    found = matches.union(_chained(near_hot)).where(_near("fp", "other"))
+    return found.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
@@ -98,7 +129,7 @@ def near_groups(prints: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: the id column, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at two or fewer differing bits; component_id is the smallest id reachable over links, the row's own
@@ -106,7 +137,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts have fingerprint zero and link like any other. Repeated rows give repeated rows. Extra columns are ignored, an
     empty table gives an empty table. Whole texts count, whatever their length.
     """
-    prints = stored(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", width), "simhash")
+    prints = stored(fingerprints(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), ["id"], "text", width), "simhash")
     prints = prints.select(F.col("row.id").alias("id"), "fp")
     rooted = least_ids(prints)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -123,181 +154,18 @@ def least_ids(prints: DataFrame) -> DataFrame:
     return named.join(roots, "root").select("fp", "component_id")
 
 
-def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all lower-cased words, offsets per text)."""
-    lists = [(text or b"").lower().split() for text in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    codes = pa.array(chain.from_iterable(lists), type=pa.binary()).dictionary_encode()
-    distinct = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in codes.dictionary.to_pylist()), dtype=np.uint64, count=len(codes.dictionary))
-    return distinct[codes.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.zeros(0, dtype=np.uint64), offsets
-
-
-def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of ``width`` hashes (of all of them if there are fewer)."""
-    width = min(width, len(hashes))
-    rolled = np.zeros(len(hashes) - width + 1 if len(hashes) else 0, dtype=np.uint64)
-    for i in range(width):
-        rolled = (rolled ^ hashes[i : i + len(rolled)]) * np.uint64(0x9E3779B97F4A7C15)
-        rolled ^= rolled >> np.uint64(32)
-    return rolled
-
-
-def prefix_length(n_shingles: int, similarity: float) -> int:
-    """How many first shingles, in any one order of all shingles, two sets of this similarity cannot both lack of the other."""
-    return n_shingles - math.ceil(similarity * n_shingles - 1e-9) + 1
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of every group the row with the smallest id stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component of linked fingerprints the row with the smallest id stays.
 
-    Two texts are near duplicates if the Jaccard similarity of their ``width``-word shingles (lower-cased, split at ASCII blanks;
-    fewer words: the whole sequence) is at least ``similarity``; groups are connected by such pairs. A first round links what is
-    cheap to find: fingerprints within two bits, and the first row of every shingle. The second round is an exact prefix filter
-    over the rows that are not connected yet, so no pair is lost. Each candidate is verified on all shingles.
-
-    Null, empty and blank texts have no shingles and are equal to each other. Null ids come last; of rows with one id
-    the first stays. Columns are those of ``docs``, with any names; an empty table gives an empty table.
+    Fingerprints, links and components are those of ``near_duplicates``. Null, empty and blank texts are one component with all others of fingerprint
+    zero. Null ids come last; of rows with one id the first one stays. Columns are those of ``docs``, whatever their names; an empty table gives
+    an empty table.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = (
-        T.StructType([whole.schema["doc"], whole.schema["id"]]).add("seq", "long").add("fp", "long").add("n", "long")
-        .add("keys", T.ArrayType(T.LongType()))
-    )
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = TaskContext.get().partitionId() << 40
-        for part in slices(batches, text=2):
-            hashes, offsets = _word_hashes(arrow_bytes(part.column(2)))
-            rolled = [_rolled(hashes[x:y], width) for x, y in zip(offsets[:-1], offsets[1:])]
-            fps = np.array([_majority(r) for r in rolled], dtype=np.uint64).view(np.int64)
-            sets = [np.unique(r.view(np.int64)) for r in rolled]
-            keys = [x[: prefix_length(len(x), similarity)] if len(x) else [0] for x in sets]
-            yield record_batch(schema, [*part.columns[:2], [seq + i for i in range(len(sets))], fps, [len(x) for x in sets], keys])
-            seq += len(sets)
-
-    rows = stored(whole.mapInArrow(scored, schema), "simhash-rows")
-    rank = F.struct(F.col("id").isNull().alias("last"), "id", "seq")
-    prefixes = _prefixes(rows, text_col, width, similarity)
-    shared = _shared(prefixes)
-    linked = _verified(rows, _print_pairs(rows, rank).union(_first_pairs(shared, similarity)).distinct(), text_col, width, similarity)
-    parts = connected_components(linked, "simhash-linked").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = _verified(rows, _prefix_pairs(shared, prefixes, parts, similarity), text_col, width, similarity)
-    groups = connected_components(parts.union(found), "simhash-near")
-    ranked = groups.join(rows.select(F.col("seq").alias("node"), rank.alias("rank")), "node")
-    best = ranked.groupBy("component").agg(F.min("rank").alias("best"))
-    gone = ranked.join(best, "component").where("rank != best").select(F.col("node").alias("seq"))
-    return rows.join(gone, "seq", "left_anti").select("doc.*")
-
-
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), SHINGLE_BLOCK):
-        part = hashes[at : at + SHINGLE_BLOCK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
-
-
-def _print_pairs(rows: DataFrame, rank: Column) -> DataFrame:
-    """Pairs (a, b) of seq: at most one per row and fingerprint or link of fingerprints."""
-    # groups are stored before they are joined back: Spark can then split the join of a hot one
-    by_print = stored(rows.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-prints")
-    equal = rows.select("fp", "seq").join(by_print, "fp").select("seq", F.col("least.seq").alias("b")).where("seq != b")
-    first = by_print.select("fp", F.col("least.seq").alias("seq"))
-    linked = links(rows).join(first.select(F.col("fp").alias("a"), "seq"), "a").join(first.select(F.col("fp").alias("b"), F.col("seq").alias("other")), "b")
-    return equal.union(linked.select("seq", "other")).toDF("a", "b")
-
-
-def _prefixes(rows: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """(seq, n, prefix): of each row the first ``prefix_length(n)`` shingles as (times, key), from rare to frequent.
-
-    Shingles that are in more than FREQUENT prefixes by hash alone come last, by how often that is; all others have ``times`` 0 and
-    go by hash. A row whose prefix by hash has none of them keeps it; only of the others all shingles are put in order.
-    """
-    by_hash = rows.select("seq", "n", "keys")
-    spread = by_hash.select("seq", F.explode("keys").alias("key"))
-    frequent = spread.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > FREQUENT)
-    frequent = stored(frequent, "simhash-frequent")
-    plain = F.transform("keys", lambda k: F.struct(F.lit(0).cast("long").alias("times"), k.alias("key")))
-    if frequent.isEmpty():
-        return by_hash.select("seq", "n", plain.alias("prefix"))
-    moved = stored(spread.join(frequent, "key").select("seq").distinct(), "simhash-moved")
-    every = _shingles(rows, moved, text_col, width).select("seq", F.explode_outer("shingles").alias("key"))
-    ordered = every.join(frequent, "key", "left").groupBy("seq").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0).cast("long")).alias("times"), F.coalesce("key", F.lit(0).cast("long")).alias("key")))).alias("set")
-    )
-    ordered = ordered.join(by_hash.select("seq", "n", F.size("keys").alias("held")), "seq")
-    ordered = ordered.select("seq", "n", F.slice("set", F.lit(1), F.col("held")).alias("prefix"))
-    kept = by_hash.join(moved, "seq", "left_anti").select("seq", "n", plain.alias("prefix"))
-    return stored(kept.union(ordered), "simhash-prefixes")
-
-
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """(key, seq, n, place) of the shingles that are in the prefixes of several rows; places count from 1."""
-    spread = prefixes.select("seq", "n", F.posexplode("prefix").alias("place", "at"))
-    spread = spread.select(F.col("at.key").alias("key"), "seq", "n", (F.col("place") + 1).alias("place"))
-    several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    return stored(spread.join(stored(several, "simhash-several"), "key"), "simhash-shared")
-
-
-def _first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of seq: each row and the first row of a shingle and size class that has an eighth of its prefix.
-
-    They are there to connect large groups by few pairs; ``_prefix_pairs`` finds whatever they leave out.
-    """
-    kind = F.floor(F.ln(F.greatest("n", F.lit(1))) / (-2 * math.log(similarity)))
-    keyed = shared.withColumn("class", kind)
-    firsts = keyed.groupBy("key", "class").agg(F.min("seq").alias("b"), F.max("seq").alias("high")).where("b < high").drop("high")
-    met = keyed.join(stored(firsts, "simhash-firsts"), ["key", "class"]).where("seq != b")
-    met = met.groupBy("seq", "b").agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
-    return met.where(8 * F.col("common") >= (1 - similarity) * F.col("n")).select(F.col("seq").alias("a"), "b")
-
-
-def _prefix_pairs(shared: DataFrame, prefixes: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of seq of different ``parts`` (a: row, b: its part) that can be similar enough by their prefixes.
-
-    Similar rows share a shingle of their prefixes. Up to the end of the prefix that ends first all common shingles are
-    known; after it there are at most as many as either row has left. Rows of one part never meet each other.
-    """
-    keyed = shared.join(parts.select(F.col("a").alias("seq"), F.col("b").alias("part")), "seq", "left")
-    keyed = stored(keyed.withColumn("part", F.coalesce("part", "seq")), "simhash-keyed")
-    mixed = keyed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    keyed = stored(keyed.join(stored(mixed, "simhash-mixed"), "key"), "simhash-open")
-    of_key = stored(keyed.select("key", "part").distinct(), "simhash-parts")
-    met = of_key.join(of_key.select("key", F.col("part").alias("other")), "key").where("part < other")
-    left = keyed.select("key", "part", F.col("seq").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
-    right = keyed.select("key", F.col("part").alias("other"), F.col("seq").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
-    least = similarity * F.greatest("n_a", "n_b") - 1e-6
-    both = left.join(stored(met, "simhash-met"), ["key", "part"]).join(right, ["key", "other"]).where(F.least("n_a", "n_b") >= least)
-    both = both.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.max("place_a").alias("place_a"), F.max("place_b").alias("place_b"))
-    ends = prefixes.select("seq", F.size("prefix").alias("held"), F.element_at("prefix", -1).alias("end"))
-    for name in ("a", "b"):
-        both = both.join(ends.select(F.col("seq").alias(name), F.col("held").alias(f"held_{name}"), F.col("end").alias(f"end_{name}")), name)
-    left_a = F.col("n_a") - F.when(F.col("end_a") <= F.col("end_b"), F.col("held_a")).otherwise(F.col("place_a"))
-    left_b = F.col("n_b") - F.when(F.col("end_b") <= F.col("end_a"), F.col("held_b")).otherwise(F.col("place_b"))
-    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    return both.where(F.col("common") + F.least(left_a, left_b) >= needed).select("a", "b")
-
-
-def _verified(rows: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar enough, stored."""
-    pairs = stored(pairs, "simhash-pairs")
-    shingles = _shingles(rows, pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct(), text_col, width)
-    left, right = (shingles.select(F.col("seq").alias(name), F.col("shingles").alias(f"{name}_set")) for name in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    near = (common >= similarity * (F.size("a_set") + F.size("b_set") - common)) | ((F.size("a_set") == 0) & (F.size("b_set") == 0))
-    return stored(both.where(near).select("a", "b"), "simhash-verified")
-
-
-def _shingles(rows: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(seq, shingles) of the rows whose seq is ``wanted``: the distinct shingle hashes."""
-    texts = rows.select("seq", F.col(f"doc.`{text_col}`").cast("string").alias("text")).join(wanted, "seq", "left_semi")
-    schema = T.StructType().add("seq", "long").add("shingles", T.ArrayType(T.LongType()))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text=1):
-            hashes, offsets = _word_hashes(arrow_bytes(part.column(1)))
-            sets = [np.unique(_rolled(hashes[x:y], width)).view(np.int64) for x, y in zip(offsets[:-1], offsets[1:])]
-            yield record_batch(schema, [part.column(0), sets])
-
-    return stored(texts.mapInArrow(hashed, schema), "simhash-shingles")
+    named = docs.select(F.struct(*every_column(docs)).alias("doc"), column(id_col).alias("id"), column(text_col).alias("text"))
+    rows = stored(fingerprints(named, ["doc", "id"], "text", width).withColumn("seq", F.monotonically_increasing_id()), "simhash-rows")
+    rank = F.struct(F.col("row.id").isNull().alias("last"), F.col("row.id").alias("id"), "seq")
+    # one row per fingerprint before groups are formed, however many rows have it
+    least = stored(rows.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-least")
+    rooted = stored(least.join(near_groups(least), "fp", "left").select("least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("best")).select(F.col("best.seq").alias("seq"))
+    return rows.join(kept, "seq", "left_semi").select("row.doc.*")

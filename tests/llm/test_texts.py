@@ -32,6 +32,20 @@ def test_byte_bpe(docs, chunk, overlap):
     assert encoded.select("row.*").columns == docs.columns
 
 
+def test_chunks_that_end_in_blanks(spark):
+    """Every place of a cut in texts full of runs of blanks and contractions gives the library's ids."""
+    rng = random.Random(6)
+    bits = ["a", "\n\n", "\t\t", " \n ", "don't", " 've", "  ", "x1", "\u00a0\u00a0", "…", "\r\n\r\n", "日本", "!!", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(150, 260))) for _ in range(60)]
+    texts += ["word " * 20 + "a\n\n" + "bcd efg " * k for k in range(20, 40)] + ["\n" * 300, "a" * 300]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    expected = [(r[0], r[1], r[2]) for r in brute.byte_bpe([{"doc_id": i, "text": t} for i, t in enumerate(texts)])]
+    for chunk, overlap in ((50, 20), (67, 33), (101, 30)):
+        encoded = byte_bpe.encode(frame, *BPE, chunk=chunk, overlap=overlap)
+        decoded = byte_bpe.decode(encoded.select(F.col("row.doc_id").alias("doc_id"), "ids"), *BPE)
+        fixture.same(queries.bpe_digest(decoded), ["doc_id", "n_tokens", "ids_sha256"], expected)
+
+
 def test_byte_bpe_of_nothing(docs):
     assert byte_bpe.encode(docs.limit(0), *BPE).count() == 0
 
