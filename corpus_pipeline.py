@@ -14,9 +14,6 @@ from forum_signals.llm import byte_bpe, decontamination, exact_dedup, quality, s
 from forum_signals.llm.common import stored, table
 from forum_signals.llm.queries import BYTE_BPE
 
-#: Words of a shingle of the near-copy stage.
-NEAR_WIDTH = 5
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score at least the threshold)."""
@@ -32,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every SimHash component."""
-    return simhash.keep_one(docs, width=NEAR_WIDTH)
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
