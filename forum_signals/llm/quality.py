@@ -30,6 +30,10 @@ FIT_LEAST = 64
 FOLDS = 5
 THRESHOLD = 0.3
 PASSAGE_BYTES = 256
+#: Of the line ends in one such stretch of a text only the first one ends a passage, so that short lines are read together.
+LINE_BYTES = 64
+#: Bytes of text whose passages are held at a time; a longer text is read in blocks of so many bytes.
+BLOCK_BYTES = 1_000_000
 WIDTH = 16
 EPOCHS = 60
 BATCH = 64
@@ -58,11 +62,12 @@ def encode_passages(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     firsts = np.cumsum(lengths) - lengths
     doc_of = np.repeat(np.arange(len(raw)), lengths)
-    # a passage begins at a text's start, after a line end, and PASSAGE_BYTES after the last beginning
+    # a passage begins at a text's start, after the first line end of a stretch, and PASSAGE_BYTES after the last beginning
     begins = np.zeros(len(data), dtype=bool)
     begins[firsts[lengths > 0]] = True
     after = np.flatnonzero(data[:-1] == 10) + 1 if len(data) else np.zeros(0, dtype=np.int64)
-    begins[after] = True
+    stretch = (after - firsts[doc_of[after]]) // LINE_BYTES
+    begins[after[np.append(True, (stretch[1:] != stretch[:-1]) | (doc_of[after[1:]] != doc_of[after[:-1]]))[: len(after)]]] = True
     at = np.flatnonzero(begins)
     since = np.arange(len(data)) - np.repeat(at, np.diff(np.append(at, len(data))))
     begins |= since % PASSAGE_BYTES == 0
@@ -113,6 +118,18 @@ class Network:
         z = np.add.reduceat(alpha[:, None] * h, starts, axis=0)
         return h, t, s, bag, alpha, z, z @ self.c + self.bias[0]
 
+    def score_blocks(self, text: bytes) -> float:
+        """The score of one long text from its blocks: the attention's sums are carried on under a running maximum."""
+        top, total, held = -np.inf, 0.0, np.zeros(WIDTH)
+        for at in range(0, len(text), BLOCK_BYTES):
+            x, _ = encode_passages([text[at : at + BLOCK_BYTES]])
+            h = np.tanh(x @ self.a)
+            e = ((np.tanh(h @ self.v) / (1 + np.exp(-(h @ self.u)))) @ self.w).astype(np.float64)
+            least, top = top, max(top, float(e.max()))
+            p, shrink = np.exp(e - top), np.exp(least - top)
+            total, held = total * shrink + p.sum(), held * shrink + p @ h
+        return float(1 / (1 + np.exp(-np.clip(held / total @ self.c + self.bias[0], -30, 30))))
+
     def score(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Probability of label 1 per document."""
         return 1 / (1 + np.exp(-np.clip(self.forward(x, starts)[-1].astype(np.float64), -30, 30)))
@@ -219,8 +236,13 @@ def fit_documents(
     schema = T.StructType([*sample.schema.fields[:3], T.StructField("features", T.BinaryType())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text=3):
+        for part in slices(batches, text=3, most=BLOCK_BYTES):
             raw = arrow_bytes(part.column(3))
+            if len(raw) == 1 and len(raw[0] or b"") > BLOCK_BYTES:
+                blocks = [raw[0][at : at + BLOCK_BYTES] for at in range(0, len(raw[0]), BLOCK_BYTES)]
+                bag = b"".join(_spread(encode_passages([b])[0], len(b), max(1, share * len(b) // len(raw[0]))).tobytes() for b in blocks)
+                yield record_batch(schema, [*part.columns[:3], [bag]])
+                continue
             x, starts = encode_passages(raw)
             bags = [_spread(bag, len(text or b""), share).tobytes() for bag, text in zip(np.split(x, starts[1:]), raw)]
             yield record_batch(schema, [*part.columns[:3], bags])
@@ -245,8 +267,12 @@ def score_documents(docs: DataFrame, net: Network, carry: list[str], text_col: s
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit_threads()
-        for part in slices(batches, text=1):
-            x, starts = encode_passages(arrow_bytes(part.column(1)))
+        for part in slices(batches, text=1, most=BLOCK_BYTES):
+            texts = arrow_bytes(part.column(1))
+            if len(texts) == 1 and len(texts[0] or b"") > BLOCK_BYTES:
+                yield record_batch(schema, [part.column(0), [net.score_blocks(texts[0])]])
+                continue
+            x, starts = encode_passages(texts)
             yield record_batch(schema, [part.column(0), net.score(x, starts)])
 
     return chosen.mapInArrow(scored, schema)

@@ -18,7 +18,9 @@ from forum_signals.llm.components import connected_components
 
 Rule = tuple[str, str, str]
 
-#: A link element with rel=canonical and a meta refresh, with the attributes in either order.
+#: Link and meta elements. A ``<`` ends an element that is not closed, so a page is read once, whatever it holds.
+ELEMENT = r"(?is)<(?:link|meta)\b[^<>]*+>"
+#: The target of a link element with rel=canonical and of a meta refresh, with the attributes in either order.
 CANONICAL = (
     r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
     r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)""",
@@ -47,9 +49,14 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return rule, verdict
 
 
+def _target(pattern: str):
+    return lambda element: F.regexp_extract(element, pattern, 1)
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(source, target) of the canonical links and refresh redirects that pages declare, with absolute targets only."""
-    found = F.concat(*(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1)) for pattern in CANONICAL))
+    elements = F.regexp_extract_all(F.col(html_col), F.lit(ELEMENT), F.lit(0))
+    found = F.flatten(F.array(*(F.transform(elements, _target(pattern)) for pattern in CANONICAL)))
     targets = pages.select(F.col(url_col).alias("source"), F.explode(found).alias("target"))
     return targets.where(F.col("source").isNotNull() & F.col("target").contains("://")).distinct()
 

@@ -207,3 +207,22 @@ def test_quality_gradient():
         down = loss()
         part += step
         assert (up - down) / 2e-2 == pytest.approx(np.linalg.norm(gradient), rel=0.05, abs=2e-4)
+
+
+def test_quality_of_short_lines_and_long_texts():
+    """Short lines are read together, and a long text in blocks scores like the whole; every byte counts in both."""
+    rng = np.random.default_rng(4)
+    lines = b"\n" * 300_000
+    x, starts = quality.encode_passages([lines, b"ab\n" * 50, b"", None, b"one long line " * 40])
+    sizes = np.diff(np.append(starts, len(x)))
+    assert sizes[0] <= len(lines) // quality.LINE_BYTES + 2 and x.nbytes < 12 * len(lines) and sizes[2] == sizes[3] == 1
+    text = b"".join(bytes(rng.integers(97, 110, rng.integers(1, 90), dtype=np.uint8)) + b"\n" for _ in range(2_000))
+    net = quality.Network(*[rng.normal(size=s).astype(np.float32) / 4 for s in ((quality.N_FEATURES, quality.WIDTH), (quality.WIDTH, 8), (quality.WIDTH, 8), (8,), (quality.WIDTH,), (1,))])
+    parts = [text[at : at + 10_000] for at in range(0, len(text), 10_000)]
+    x = np.concatenate([quality.encode_passages([p])[0] for p in parts])
+    whole = float(net.score(x, np.array([0]))[0])
+    quality.BLOCK_BYTES, before = 10_000, quality.BLOCK_BYTES
+    try:
+        assert net.score_blocks(text) == pytest.approx(whole, rel=1e-4)
+    finally:
+        quality.BLOCK_BYTES = before

@@ -213,3 +213,15 @@ def test_leaks(spark):
     assert decontamination.drop_leaks(frame, bench.limit(0)).count() == len(docs)
     parts = list(decontamination.index_blocks(bench, "item_id", "text", size=2))
     assert sorted(i for p in parts for i in p.item_ids) == [1, 2, 5]
+
+
+def test_links_of_unclosed_elements(spark):
+    """A megabyte of elements that never end is read in one pass, and hides no element after it."""
+    import time
+
+    html = "<link " * 200_000 + '<link rel="canonical" href="http://a.com/x">' + "<meta http-equiv=refresh content='0;url=http://b.com/'>"
+    pages = spark.createDataFrame([(1, "http://a.com/y", html), (2, "http://a.com/z", None)], "page_id long, url string, html string")
+    url_filter.page_links(pages).count()
+    start = time.time()
+    assert {r.target for r in url_filter.page_links(pages).collect()} == {"http://a.com/x", "http://b.com/"}
+    assert time.time() - start < 10
