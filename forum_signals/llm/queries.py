@@ -149,4 +149,17 @@ QUERIES = {
     "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express, over the whole tables.
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": r"""
+        WITH normal AS (
+            SELECT doc_id, coalesce(length(text), 0) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+            FROM documents
+        ), named AS (
+            SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+                row_number() OVER same = 1 AS kept, sha256(body) AS text_sha256
+            FROM normal WINDOW same AS (PARTITION BY body ORDER BY points DESC, doc_id)
+        )
+        SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM named
+    """,
+}
