@@ -162,4 +162,37 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM named
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), lists AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM pieces
+        ), totals AS (
+            SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM lists GROUP BY lang
+        ), places AS (
+            SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists
+        ), grams AS (
+            SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS a
+            FROM places, (VALUES (1), (2), (3), (4)) AS sizes(size) WHERE i + size - 1 <= len(ws)
+            GROUP BY ALL HAVING count(*) >= 30
+        ), candidates AS (
+            SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1
+        ), hidden AS (
+            SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN candidates g
+            ON g.lang = c.lang AND g.size > c.size AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * g.a >= 80 * c.a
+        ), cuts AS (
+            SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM candidates ANTI JOIN hidden USING (lang, phrase)
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, cuts.a, k, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (l.a + r.a) AS BIGINT) AS score
+            FROM cuts JOIN grams l ON l.lang = cuts.lang AND l.phrase = array_to_string(w[1:k], ' ')
+            JOIN grams r ON r.lang = cuts.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
