@@ -46,19 +46,21 @@ def arrow_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(wide).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of at most SLICE_ROWS rows and about ``most`` bytes of column ``text``.
+def slices(
+    batches: Iterator[pa.RecordBatch], text: int | None = None, most: int = SLICE_BYTES, rows: int = SLICE_ROWS
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most ``rows`` rows and about ``most`` bytes of column ``text``.
 
     A single longer text is a slice of its own.
     """
     for batch in batches:
-        start, rows = 0, batch.num_rows
-        if not rows:
+        start, total = 0, batch.num_rows
+        if not total:
             continue
-        sizes = [0] * rows if text is None else [x or 0 for x in _lengths(batch.column(text))]
-        while start < rows:
+        sizes = [0] * total if text is None else [x or 0 for x in _lengths(batch.column(text))]
+        while start < total:
             end, held = start, 0
-            while end < rows and end - start < SLICE_ROWS and (end == start or held + sizes[end] <= most):
+            while end < total and end - start < rows and (end == start or held + sizes[end] <= most):
                 held += sizes[end]
                 end += 1
             yield batch.slice(start, end - start)

@@ -9,11 +9,13 @@ ranges of document ids: their statistics do not overlap, and a range of document
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,10 @@ _DIGEST = (
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Fixed value: the tokenizer file's pattern, restricted to those characters in lower case.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-#: Words encoded in one call.
+#: Texts and bytes whose words are numbered together; a single longer text is worked on alone.
+BULK_ROWS = 8_192
+BULK_BYTES = 16_000_000
+#: Words asked for in one call.
 CALL_WORDS = 2_000
 
 
@@ -54,24 +59,43 @@ class Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.pieces: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.library.model)
-        self.mark = _byte_symbol(0)
-        (self.mark_id,) = self.merges.encode([self.mark], is_pretokenized=True, add_special_tokens=False).ids
         names = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(names) or "(?!)")
-        letters = [chr(c) for c in range(0xC0, 0x100)]  # the mark is above these and stays
+        letters = [chr(c) for c in range(0xC0, 0x100)]
         self.shown = str.maketrans({c: "".join(map(_byte_symbol, c.encode())) for c in letters})
 
     def encode(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
         """The ids of each text and then ``end``, as little-endian 32-bit integers."""
-        words = [(text or b"").split() for text in texts]
+        ids, edges = self.end_to_end(pa.array(texts, type=pa.large_binary()).cast(pa.large_string()))
+        return [ids[a:b].tobytes() + end for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def end_to_end(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text begins and the last one ends.
+
+        Words are split and numbered in bulk, so that each distinct word of a slice is looked up once.
+        """
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        names = _byte_strings(coded.dictionary)
         if len(self) > REMEMBERED:
             self.clear()
-        unseen = list(set().union(*words).difference(self))
+        found = list(map(self.get, names))
+        unseen = [name for name, ids in zip(names, found) if ids is None]
         for at in range(0, len(unseen), CALL_WORDS):
             self._ask(unseen[at : at + CALL_WORDS])
-        return [b"".join(map(self.__getitem__, own)) + end for own in words]
+        if unseen:
+            found = list(map(self.__getitem__, names))
+        known = np.frombuffer(b"".join(found), dtype="<i4")
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        words = coded.indices.to_numpy()
+        counts = lengths[words]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        shift = (np.cumsum(lengths) - lengths)[words] - ends[:-1]
+        shift = np.repeat(shift, counts)
+        shift += np.arange(len(shift))
+        return known[shift], ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
     def _ask(self, raw: list[bytes]) -> None:
         texts = [word.decode("utf-8") for word in raw]
@@ -80,14 +104,29 @@ class Words(dict):
         for (r, _), found in zip(other, self.library.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
             self[r] = np.array(found.ids, dtype="<i4").tobytes()
         known = [(r, PIECES.findall(t.lower())) for r, t, p in zip(raw, texts, plain) if p]
-        if not known:
-            return
-        # a zero byte, which no plain word holds, is put after each word to tell where its ids end
-        pieces = [p if p.isascii() else p.translate(self.shown) for _, own in known for p in (*own, self.mark)]
-        ids = np.array(self.merges.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<i4")
-        ends = np.flatnonzero(ids == self.mark_id).tolist()
-        for (r, _), first, last in zip(known, [0, *(e + 1 for e in ends)], ends, strict=False):
-            self[r] = ids[first:last].tobytes()
+        self._merge(set().union(*(own for _, own in known)).difference(self.pieces))
+        get = self.pieces.__getitem__
+        self.update((r, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for r, own in known)
+
+    def _merge(self, unseen: set[str]) -> None:
+        """Ask the library's merges for the pieces not seen yet, which many words share."""
+        merged = self.library.model.tokenize
+        for piece in unseen:
+            tokens = merged(piece if piece.isascii() else piece.translate(self.shown))
+            self.pieces[piece] = struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+
+    def clear(self) -> None:
+        super().clear()
+        self.pieces.clear()
+
+
+def _byte_strings(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of a string column without nulls."""
+    wide = texts.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1].tolist()
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 def _byte_symbol(byte: int) -> str:
@@ -115,17 +154,17 @@ def write_tokens(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit_threads()
-        run, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<i4").tobytes()
+        run, at = TaskContext.get().partitionId(), 0
         if tokenizer not in _words:
             _words[tokenizer] = Words(tokenizer)
         words = _words[tokenizer]
-        for part in slices(batches, text=1):
-            ids = words.encode(arrow_bytes(part.column(1)), end)
-            sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        for part in slices(batches, text=1, most=BULK_BYTES, rows=BULK_ROWS):
+            ids, edges = words.end_to_end(part.column(1))
+            ids, sizes = np.insert(ids, edges[1:], end_id), np.diff(edges) + 1
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
-            flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-            yield record_batch(_FILE, [part.column(0), [run] * len(ids), starts, sizes, flat.cast(pa.list_(pa.field("element", pa.int32())))])
+            flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(ids, type=pa.int32()))
+            yield record_batch(_FILE, [part.column(0), [run] * part.num_rows, starts, sizes, flat.cast(pa.list_(pa.field("element", pa.int32())))])
 
     options = {
         "compression": "zstd", "orc.stripe.size": str(STRIPE_BYTES), "orc.row.index.stride": str(ROW_INDEX),
