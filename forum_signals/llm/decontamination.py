@@ -34,6 +34,7 @@ K1, B = 1.2, 0.75
 RETRIEVE = 0.5
 #: Share of the question's and of the answer's shingles that a leak must contain.
 OVERLAP = 0.5
+#: Words per shingle; short answers take fewer.
 SHINGLE = 5
 #: A term is selective if at most this many items, or a hundredth of them, have it.
 SELECTIVE = 8
@@ -58,16 +59,23 @@ def fold_words(text: str | None) -> list[str]:
     return [w for w in (names[i] for i in codes.indices.to_pylist()) if w]
 
 
-def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
-    """The words of a test item up to its last sentence, and of the last sentence (at least SHINGLE words of the end).
+def question_and_answer(text: str | None) -> tuple[list[str], list[str], int]:
+    """The words of a test item up to its answer, those of the answer, and how many words a shingle of the answer has.
 
-    An item of at most SHINGLE words is all answer.
+    The answer is the last sentence, or a quarter of an item of one sentence (at least SHINGLE words), with as many words before it
+    that every shingle holds a word of it: the question alone never gives one. Shingles have at most half of its words,
+    so that one changed word leaves half of them. An item of at most SHINGLE words is all answer and one shingle.
     """
     sentences = [fold_words(s) for s in (text or "").replace("!", ".").replace("?", ".").split(".")]
     words = [w for s in sentences for w in s]
     last = len(next((s for s in reversed(sentences) if s), []))
-    cut = len(words) - min(len(words), max(last, SHINGLE)) if last < len(words) else max(0, len(words) - max(SHINGLE, len(words) // 4))
-    return words[:cut], words[cut:]
+    if len(words) <= SHINGLE:
+        return [], words, len(words)
+    if last == len(words):
+        last = max(SHINGLE, last // 4)
+    width = min(SHINGLE, max(2, last // 2))
+    cut = max(0, len(words) - last - width + 1)
+    return words[:cut], words[cut:], width
 
 
 def contained(part: list[int], passage: set[tuple[int, ...]], width: int) -> float:
@@ -92,6 +100,7 @@ class Index:
     selective: np.ndarray  # whether few items have the term
     granted: np.ndarray  # per item the impact of all its other terms
     open: bool  # whether those alone can reach the threshold
+    widths: list[int]  # words per shingle of the answer
 
     def blocks(self, term: int) -> dict[int, float]:
         """Block number -> largest impact of the term in it."""
@@ -105,10 +114,10 @@ class Index:
 def build_index(rows: list[tuple[object, str | None]], threshold: float = RETRIEVE) -> Index | None:
     """The index of (item id, text) rows; None if no item has a word. Items without words cannot leak and are left out."""
     parts = [(item, *question_and_answer(text)) for item, text in rows]
-    parts = sorted(((i, q, a) for i, q, a in parts if q or a), key=lambda p: (p[0] is None, str(p[0]).zfill(20), p[1], p[2]))
+    parts = sorted((p for p in parts if p[2]), key=lambda p: (p[0] is None, str(p[0]).zfill(20), p[1], p[2]))
     if not parts:
         return None
-    bags = [Counter(q + a) for _, q, a in parts]
+    bags = [Counter(q + a) for _, q, a, _ in parts]
     lengths = [sum(bag.values()) for bag in bags]
     mean = sum(lengths) / len(bags)
     df = Counter(t for bag in bags for t in bag)
@@ -131,7 +140,7 @@ def build_index(rows: list[tuple[object, str | None]], threshold: float = RETRIE
     return Index(
         pa.array(names, type=pa.large_string()), first, items, impacts, np.array([max(x for _, x in p) for p in postings]),
         [p[0] for p in parts], [coded(p[1]) for p in parts], [coded(p[2]) for p in parts], 2 * max(lengths),
-        selective, granted, bool((granted >= threshold).any()),
+        selective, granted, bool((granted >= threshold).any()), [p[3] for p in parts],
     )
 
 
@@ -227,8 +236,8 @@ def leaks_in(texts: pa.Array, index: Index, retriever: Retriever, overlap: float
         coded, sets = passage.tolist(), {}
         for item, score in retriever.search(query.tolist()):
             shares = []
-            for part in (index.questions[item], index.answers[item]):
-                width = min(SHINGLE, len(part))
+            question, answer = index.questions[item], index.answers[item]
+            for part, width in ((question, min(SHINGLE, len(question))), (answer, index.widths[item])):
                 if width not in sets:
                     sets[width] = {tuple(coded[i : i + width]) for i in range(len(coded) - width + 1)}
                 shares.append(contained(part, sets[width], width) if width else 1.0)
