@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forum_signals.llm.common import default_tasks, every_column
+from forum_signals.llm.common import every_column, size_tasks
 from forum_signals.session import scratch_path
 
 #: Bits per dimension.
 BITS = 5
+#: Text bytes of a run; the number of runs, and of the tasks that write them, grows with the data.
+RUN_BYTES = 67_108_864
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -65,10 +67,11 @@ def as_number(column: Column, kind: str) -> Column:
     return F.coalesce(F.when(F.isnan(number), F.lit(None)).otherwise(number), F.lit(-1.0))
 
 
-def quantised(docs: DataFrame, numbers: dict[str, Column], bits: int) -> list[Column]:
-    """Per dimension the number of quantile cuts at or below the value, from 0 to 2**bits - 1."""
+def quantised(docs: DataFrame, numbers: dict[str, Column], bits: int, size: Column) -> tuple[list[Column], int]:
+    """Per dimension the number of quantile cuts at or below the value, from 0 to 2**bits - 1, and the sum of ``size``."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = docs.agg(*(F.percentile_approx(c, shares, 2000).alias(f"cut_{i}") for i, c in enumerate(numbers.values()))).first()
+    asked = [F.percentile_approx(c, shares, 2000).alias(f"cut_{i}") for i, c in enumerate(numbers.values())]
+    cuts = docs.agg(*asked, F.sum(size).alias("size")).first()
     cells = []
     for i, column in enumerate(numbers.values()):
         edges = sorted(set(cuts[i] or []))
@@ -76,7 +79,7 @@ def quantised(docs: DataFrame, numbers: dict[str, Column], bits: int) -> list[Co
         for edge in edges:
             total = total + (column >= F.lit(float(edge))).cast("int")
         cells.append(total)
-    return cells
+    return cells, cuts["size"] or 0
 
 
 def _curve(bits: int):
@@ -104,11 +107,12 @@ def write_shards(
     kinds = dict(docs.dtypes)
     numbers = {name: as_number(F.col(f"`{name}`"), kinds[name]) for name in dimensions}
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    cells = quantised(docs, numbers, bits)
-    runs = runs or max(shards, default_tasks(spark))
+    size = (F.octet_length(text) + 1).cast("long")
+    cells, total = quantised(docs, numbers, bits, size)
+    runs = runs or max(shards, size_tasks(total, RUN_BYTES))
     placed = docs.select(
         F.struct(*every_column(docs)).alias("row"), F.col(f"`{id_col}`").alias("id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         _curve(bits)(F.array(*cells)).alias("curve"),
     )
     order = ["curve", "id", "text_crc32"]
