@@ -162,6 +162,27 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM named
     """,
+    # the given pages declare no canonical or refresh link, so the rules decide alone and the default is to allow
+    "op7_url_filter": r"""
+        WITH rests AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rests
+        ), ruled AS (
+            SELECT *, '.' || host AS h, CASE
+                WHEN ends_with(h, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                WHEN ends_with(h, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+                WHEN ends_with(h, '.com') AND starts_with(path, '/') THEN 'com/'
+                WHEN ends_with(h, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+                WHEN ends_with(h, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/' END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict,
+            CASE WHEN rule IS NULL THEN 'default' ELSE 'rule' END AS reason
+        FROM ruled
+    """,
     "op11_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
