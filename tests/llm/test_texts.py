@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import brute
 import fixture
@@ -161,6 +162,31 @@ def test_redirect_equivalence(spark):
     }
 
 
+def test_targets_are_resolved_and_spellings_are_one_page(spark):
+    from urllib.parse import urljoin
+
+    page = "HTTPS://Www.A.io/dir/page.html?q=1#top"
+    targets = [
+        "x", "x/y?z=1", "./x", "../x", "../../../x", "/x/./y/../z", "/x/..", "/x/.", "..", ".", "//B.io/Q", "?q=2", "/a&amp;b?c=1&amp;d=2",
+        "HTTP://B.io/Case#f", "http://b.io", "/", "/a..b/..c", "é/ü",
+    ]
+    frame = spark.createDataFrame([(i, page, t) for i, t in enumerate(targets)], "i int, page string, t string")
+    got = {r.i: r.u for r in frame.select("i", url_filter.resolved(F.col("t"), F.col("page")).alias("u")).collect()}
+    assert got == {i: urljoin("https://www.a.io/dir/page.html?q=1", t.replace("&amp;", "&").split("#")[0].replace("HTTP://B", "http://b").replace("//B", "//b")) for i, t in enumerate(targets)}
+    nowhere = spark.createDataFrame([("", page), ("#top", page), ("mailto:a@b.io", page), ("x", "no scheme"), (None, page), ("x", None)], "t string, page string")
+    assert nowhere.where(url_filter.resolved(F.col("t"), F.col("page")).isNotNull()).count() == 0
+    html = lambda target: f'<link rel="canonical" href="{target}">'
+    rows = [
+        (1, "http://a.io/d/1", html("../2")), (2, "http://A.IO/2#frag", html("//Bad.org/x?a=1&amp;b=2")), (3, "http://bad.org/x?a=1&b=2", None),
+        (4, "http://a.io/4", html("#self")), (5, "http://a.io/d/1#part", None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = url_filter.judge_urls(pages, [("bad.org", "/", "block")], url_filter.page_links(pages)).collect()
+    assert {r.page_id: (r.verdict, r.reason) for r in got} == {
+        1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("allow", "default"), 5: ("block", "alias"),
+    }
+
+
 def test_wand_finds_what_scoring_everything_finds():
     rng = random.Random(5)
     weights = [1 / (i + 1) for i in range(400)]
@@ -215,6 +241,26 @@ def test_leaks(spark):
     assert sorted(i for p in parts for i in p.item_ids) == [1, 2, 5]
 
 
+@pytest.mark.parametrize("answer", ["bernese alps hide this spring", "it rises far up in the bernese alps", "yes"])
+def test_leaks_of_edited_answers(spark, answer):
+    """An item with one word of its answer changed still leaks if the answer has four words or more; a question alone never does."""
+    question = "Which river flows through the old town of Bern and where does it rise"
+    words = answer.split()
+    bench = spark.createDataFrame([(1, f"{question}? {answer}."), (2, "one two three four five")], "item_id long, text string")
+    edited = [f"some {question} " + " ".join([*words[:i], "changed", *words[i + 1 :]]) + " after" for i in range(len(words))]
+    docs = [*edited, f"{question}? {answer}", question, f"{question} and nothing of that kind is here", "one two five four three"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.find_leaks(frame, bench).collect())
+    assert got == [(i, 1) for i in range(len(words) + 1) if len(words) > 1 or i == 1]
+
+
+def test_runs_grow_with_the_data(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN_BYTES", 1_000)
+    docs = spark.createDataFrame([(i, "s", "en", i, "x" * 99) for i in range(200)], "doc_id long, source string, lang string, n_chars int, text string")
+    got = sharding.write_shards(docs, scratch_path(spark, "grown"), shards=4).collect()
+    assert len({r.run for r in got}) > 15 and {r.shard: 50 for r in got} == Counter(r.shard for r in got)
+
+
 def test_links_of_unclosed_elements(spark):
     """A megabyte of elements that never end is read in one pass, and hides no element after it."""
     import time
