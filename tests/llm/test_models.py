@@ -137,6 +137,12 @@ def test_training_helps_on_held_out_texts(spark):
     assert after > before
 
 
+def test_registered_model_beats_the_unigram_base_on_held_out_documents(spark):
+    rows = queries.op5_lm_scoring(spark, LARGER).where("held_out").collect()
+    tokens = sum(r.n_tokens for r in rows)
+    assert sum(r.score for r in rows) / tokens > sum(r.base_score for r in rows) / tokens + 0.05
+
+
 def test_quality_on_held_out_documents(spark):
     rows = {r.doc_id: r for r in queries.op6_quality(spark, LARGER).collect()}
     assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows.values())
