@@ -109,7 +109,7 @@ def write_shards(
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
     cells, total = quantised(docs, numbers, bits, size)
-    runs = runs or max(shards, size_tasks(total, RUN_BYTES))
+    runs = runs or size_tasks(total, RUN_BYTES)
     placed = docs.select(
         F.struct(*every_column(docs)).alias("row"), F.col(f"`{id_col}`").alias("id"),
         size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
