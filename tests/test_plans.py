@@ -10,7 +10,7 @@ from forum_signals.functions import matching
 from forum_signals.operators import flags, model, sampling, topics
 from forum_signals.plans.forum import Forum
 from forum_signals.sources.schemas import COMMENTS, POSTS, TAGS
-from forum_signals.sources.tables import write_table
+from forum_signals.sources.tables import row_counts, write_table
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,19 @@ def test_texts_are_matched_once_and_never_shuffled(stored):
     assert plan.count("partial_max(has_miscomm") == 2
 
 
+def test_jobs_never_shuffle_the_text_of_linked_comments(stored):
+    """Counting the view moves ids only, and the flags of linked comments are moved in place of their text."""
+    counted = physical(row_counts({"comments_enriched": model.comments_enriched(stored.comments, stored.posts)}))
+    flagged = physical(flags.flag_comments_of(stored.comments, stored.posts))
+    for plan in (counted, flagged):
+        assert "Join" in plan and "Exchange hashpartitioning" in plan
+        schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+        assert ["Text" in s for s in schemas if "PostId" in s] == [plan is flagged]
+        for part in plan.split("Exchange hashpartitioning")[1:]:
+            columns = re.search(r"Project \[(.*)\]", part.split("\n")[1])
+            assert columns and not re.search(r"\b[Tt]ext#\d+(,|$| AS text)", columns.group(1))
+
+
 def test_scans_read_only_needed_columns(stored):
     plan = physical(stored.question_miscomm)
     schemas = sorted(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
