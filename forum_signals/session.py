@@ -28,10 +28,16 @@ def local_session(cores: str | int = "*", app: str = "forum-signals", **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in its configuration.
 
-    Where none is named, a folder of the warehouse serves, which all executors reach as well.
+    Where none is named, a folder of the warehouse serves, which all executors reach as well. A warehouse on the machine's own disk
+    does only if the session runs on one machine; on a cluster it is refused.
     """
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return folder.rstrip("/")
+    if folder := spark.conf.get(CHECKPOINT_KEY, None):
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if warehouse.startswith("file:") and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors of {master} reach; {warehouse} is local")
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
