@@ -93,9 +93,9 @@ class Workspace:
         return model.answers(self.posts)
 
 
-def ingest(work: Workspace, dump_folder: str) -> dict[str, DataFrame]:
-    """Dump XML to typed Parquet tables; files that are missing are skipped."""
-    return {name: work.save(name, df) for name, df in dump.read_dump(work.spark, dump_folder).items()}
+def ingest(work: Workspace, dump_folder: str, whole: bool = False) -> dict[str, DataFrame]:
+    """Dump XML to typed Parquet tables; files that are missing are skipped. ``whole`` is for files whose comments hold rows."""
+    return {name: work.save(name, df) for name, df in dump.read_dump(work.spark, dump_folder, whole).items()}
 
 
 def build_model(work: Workspace) -> DataFrame:

@@ -50,6 +50,18 @@ def write(folder, text):
     return str(path)
 
 
+def test_a_dump_whose_comments_hold_rows(spark, tmp_path):
+    """The split read refuses it, the whole read takes the rows beside the comment; the job passes the choice on."""
+    from forum_signals.plans import jobs
+
+    write(tmp_path, ROOTED % '<row Id="1"/><!-- <row Id="2"/> -->\n<row Id="3" Text="a"/>')
+    with pytest.raises(Exception, match="a comment or literal section spans a row"):
+        dump.read_dump(spark, str(tmp_path))["comments"].collect()
+    assert sorted(r.Id for r in dump.read_dump(spark, str(tmp_path), whole=True)["comments"].collect()) == [1, 3]
+    saved = jobs.ingest(jobs.Workspace(spark, str(tmp_path / "work")), str(tmp_path), whole=True)
+    assert list(saved) == ["comments"] and sorted(r.Id for r in saved["comments"].collect()) == [1, 3]
+
+
 def test_every_layout_of_a_row_is_read(spark, tmp_path):
     rows = [
         '<row Id="1" />', '<row\tId="2"/>', '<row\n  Id="3"\n/>', '<row\r\n\tId="4"></row>', '<row    Id="5" >\n</row >', "<row/>", "<row />",
