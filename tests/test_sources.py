@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from forum_signals.functions.casts import safe_int
 from forum_signals.sources import dump, norms, tables
 from forum_signals.sources.schemas import COMMENTS, POSTS, enforce
 
@@ -50,6 +51,24 @@ def write(folder, text):
     return str(path)
 
 
+def test_integers_of_any_script(spark):
+    """As Python reads them, within the type."""
+    texts = [
+        "12", " 7 ", "+3", "-4", "1_000", "1__0", "_1", "1.5", "", "x", "\u0663\u0664", "\uff11\uff12", "\U0001d7d9\U0001d7da", "\u00a05\u3000", "\u2003-\u0967",
+        "\u06611\u0966", "\u00b2", "\u2460", "1\u00a02", "\u0661_\u0662", "\u4e00", "\u00a0", None,
+    ]
+
+    def plain(text):
+        try:
+            return int(text)
+        except (TypeError, ValueError):
+            return None
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.a, r.b) for r in frame.select("i", safe_int(F.col("t"), "bigint").alias("a"), safe_int(F.col("t"), "int", 0).alias("b")).collect()}
+    assert got == {i: (plain(t), plain(t) or 0) for i, t in enumerate(texts)}
+
+
 def test_a_dump_whose_comments_hold_rows(spark, tmp_path):
     """The split read refuses it, the whole read takes the rows beside the comment; the job passes the choice on."""
     from forum_signals.plans import jobs
