@@ -5,8 +5,8 @@ mapped to their index on the Hilbert curve; rows in curve order are cut into sha
 shard is written as runs: Parquet files that each cover a short stretch of the curve, so that their column
 statistics are narrow in all the dimensions at once and a reader prunes files by any of them.
 
-Nothing is ranked in one task: rows are range-partitioned by (curve index, id, text checksum), so a curve cell with a
-third of all rows spreads over many runs, and ranks come from the row counts of the runs.
+Nothing is ranked in one task: runs are cut by bytes from the sizes of the curve's cells, a cell with a third of all bytes
+spreads over many runs by a hash of its rows, and ranks come from the row counts of the runs.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from forum_signals.session import scratch_path
 
 #: Bits per dimension.
 BITS = 5
-#: Text bytes of a run; the number of runs, and of the tasks that write them, grows with the data.
+#: Text bytes of a run at most, unless one text is longer; the number of runs, and of the tasks that write them, grows with the data.
 RUN_BYTES = 67_108_864
 
 
@@ -67,11 +67,11 @@ def as_number(column: Column, kind: str) -> Column:
     return F.coalesce(F.when(F.isnan(number), F.lit(None)).otherwise(number), F.lit(-1.0))
 
 
-def quantised(docs: DataFrame, numbers: dict[str, Column], bits: int, size: Column) -> tuple[list[Column], int]:
-    """Per dimension the number of quantile cuts at or below the value, from 0 to 2**bits - 1, and the sum of ``size``."""
+def quantised(docs: DataFrame, numbers: dict[str, Column], bits: int) -> list[Column]:
+    """Per dimension the number of quantile cuts at or below the value, from 0 to 2**bits - 1."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     asked = [F.percentile_approx(c, shares, 2000).alias(f"cut_{i}") for i, c in enumerate(numbers.values())]
-    cuts = docs.agg(*asked, F.sum(size).alias("size")).first()
+    cuts = docs.agg(*asked).first()
     cells = []
     for i, column in enumerate(numbers.values()):
         edges = sorted(set(cuts[i] or []))
@@ -79,7 +79,7 @@ def quantised(docs: DataFrame, numbers: dict[str, Column], bits: int, size: Colu
         for edge in edges:
             total = total + (column >= F.lit(float(edge))).cast("int")
         cells.append(total)
-    return cells, cuts["size"] or 0
+    return cells
 
 
 def _curve(bits: int):
@@ -90,6 +90,25 @@ def _curve(bits: int):
     return curve
 
 
+def cut_runs(cells: list[tuple[int, int]], run_bytes: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(curve, first run, parts) of each cell, given its bytes in curve order, and the number of runs.
+
+    Neighbouring cells share a run as long as it holds at most ``run_bytes``; a larger cell is a stretch of runs of its own,
+    one for each part of its rows.
+    """
+    placed, runs, held = [], 0, 0
+    for curve, size in cells:
+        parts = size_tasks(size, run_bytes)
+        if held and (parts > 1 or held + size > run_bytes):
+            runs, held = runs + 1, 0
+        placed.append((curve, runs, parts))
+        if parts > 1:
+            runs += parts
+        else:
+            held += size
+    return placed, runs + (held > 0)
+
+
 def write_shards(
     docs: DataFrame, path: str, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), shards: int = 8,
     bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", law: str = "rows", runs: int | None = None,
@@ -100,7 +119,7 @@ def write_shards(
     (unsigned; a null text counts as empty), curve (the Hilbert index), shard, slot (position in the shard, gapless from 0), run.
     ``law`` is ``rows`` (shards differ by at most one row; the first ones take the surplus) or ``bytes`` (a row goes to the
     shard its first byte falls in, when all sizes are laid end to end). Ties on the curve are ordered by id (nulls
-    first) and checksum; repeated rows stay repeated. The files hold the whole rows in ``row``, whatever their columns are
+    first) and checksum within a run; repeated rows stay repeated. The files hold the whole rows in ``row``, whatever their columns are
     called. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -108,15 +127,20 @@ def write_shards(
     numbers = {name: as_number(F.col(f"`{name}`"), kinds[name]) for name in dimensions}
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    cells, total = quantised(docs, numbers, bits, size)
-    runs = runs or size_tasks(total, RUN_BYTES)
+    curve = _curve(bits)(F.array(*quantised(docs, numbers, bits)))
+    # one row per cell of the curve: at most 2**(bits * dimensions), whatever the data
+    found = docs.select(curve.alias("curve"), size.alias("size")).groupBy("curve").agg(F.sum("size").alias("size")).orderBy("curve").collect()
+    total = sum(r["size"] for r in found)
+    cells, runs = cut_runs([(r["curve"], r["size"]) for r in found], size_tasks(total, runs) if runs else RUN_BYTES)
+    cuts = F.broadcast(spark.createDataFrame(cells, "curve long, first int, parts int"))
     placed = docs.select(
-        F.struct(*every_column(docs)).alias("row"), F.col(f"`{id_col}`").alias("id"),
-        size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        _curve(bits)(F.array(*cells)).alias("curve"),
-    )
+        F.struct(*every_column(docs)).alias("row"), F.col(f"`{id_col}`").alias("id"), size.alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), curve.alias("curve"),
+    ).join(cuts, "curve")
+    part = F.pmod(F.xxhash64("id", "text_crc32"), F.col("parts")).cast("int")
     order = ["curve", "id", "text_crc32"]
-    ordered = placed.repartitionByRange(runs, *order).sortWithinPartitions(*order)
+    targeted = placed.withColumn("target", F.col("first") + part).drop("first", "parts")
+    ordered = targeted.repartitionById(max(1, runs), F.col("target")).drop("target").sortWithinPartitions(*order)
     position = F.monotonically_increasing_id()
     ordered.select(
         "*", F.shiftright(position, 33).cast("int").alias("run"), position.bitwiseAND((1 << 33) - 1).alias("at")
