@@ -32,6 +32,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt evenly over the cores: a file may hold all its rows in one block, which one task would read and match."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def hash_number(key: Column) -> Column:
     """The first eight hex digits of md5 as a number: the same in every engine."""
     return F.conv(F.substr(F.md5(key), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
@@ -99,7 +104,8 @@ def line_id() -> Column:
 
 def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of the table is an answer to its order's question."""
-    lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(load(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = lines.join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     body = F.concat(
         F.lit("<p>"), "p_name", F.lit(" &amp; "), "p_type", F.lit(" List&lt;which one&gt; "),
         phrase(key("a", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
@@ -115,7 +121,7 @@ def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("<div>"), "text", F.lit(" "), phrase(key("d", "doc_id")), F.lit("</div>"))
-    return load(spark, sf_dir, "documents").select(
+    return spread(load(spark, sf_dir, "documents"), "doc_id").select(
         *_reply(
             Id=DOCUMENT + F.col("doc_id"), PostTypeId=F.lit(2), ParentId=F.col("doc_id") * 10, Body=body,
             Score=F.col("n_chars"),
@@ -130,7 +136,7 @@ def page_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("page_id") * 10)
     )
     body = F.concat("html", F.lit("<p>"), phrase(key("p", "page_id")), F.lit("</p>"))
-    return load(spark, sf_dir, "pages").select(
+    return spread(load(spark, sf_dir, "pages"), "page_id").select(
         *_reply(Id=PAGE + F.col("page_id"), PostTypeId=F.lit(2), ParentId=parent, Body=body)
     )
 
@@ -172,7 +178,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("role") == "assistant", DOCUMENT + F.col("conv_id"))
         .otherwise(WIKI + F.col("conv_id"))
     )
-    from_turns = load(spark, sf_dir, "conversations").select(
+    from_turns = spread(load(spark, sf_dir, "conversations"), "conv_id").select(
         (TURN + F.col("conv_id") * 1000 + F.col("turn")).alias("Id"),
         turn_target.alias("PostId"),
         F.concat_ws(" ", "text", phrase(key("t", "conv_id", "turn"))).alias("Text"),
@@ -194,15 +200,16 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def norm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``Word, Conc, position``: each word of the documents twice, some unrated."""
-    words = load(spark, sf_dir, "documents").select(F.explode(tokenize(F.col("text"))).alias("w")).distinct()
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    words = docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("w")).distinct()
     bucket = hash_number(F.col("w"))
-    first = words.select(F.upper("w").alias("Word"), (1 + bucket % 401 / 100).alias("Conc"), F.lit(1).alias("position"))
-    second = words.select(
+    first = F.struct(F.upper("w").alias("Word"), (1 + bucket % 401 / 100).alias("Conc"), F.lit(1).alias("position"))
+    second = F.struct(
         F.col("w").alias("Word"),
         F.when(bucket % 5 != 0, 1 + F.floor(bucket / 7) % 401 / 100).alias("Conc"),
         F.lit(2).alias("position"),
     )
-    return first.unionByName(second)
+    return words.select(F.inline(F.array(first, second)))
 
 
 def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
