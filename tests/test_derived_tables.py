@@ -4,9 +4,11 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from forum_signals.functions import text
 from forum_signals.session import shared_dir
-from verification import base
+from verification import base, forum_tables
 
 SF_DIR = os.environ.get("FORUM_CHECK_DIR", "/root/testdata/sf0.001")
 
@@ -37,3 +39,16 @@ def test_a_stored_table_has_the_derived_rows(spark):
     work.path("posts")
     assert work.saved == {"posts"} and work.posts.columns == derived.columns
     assert work.posts.exceptAll(derived).isEmpty() and derived.exceptAll(work.posts).isEmpty()
+
+
+def test_norms_read_the_documents_once(spark):
+    """And cut them at what is no letter, several times as fast as extracting each run of letters."""
+    norms = forum_tables.norms(spark, SF_DIR)
+    assert scanned(norms) == ["doc_"]
+    assert "regexp_extract_all" not in norms._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_at_the_ends(spark):
+    texts = spark.createDataFrame([("",), ("--",), ("a",), ("1a B2",), ("İx K",), (None,)], "t string")
+    found = [r[0] for r in texts.select(text.tokenize(F.col("t"))).collect()]
+    assert found == [[], [], ["a"], ["a", "b"], ["i", "x", "k"], []]
