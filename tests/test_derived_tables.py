@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forum_signals.functions import text
+from forum_signals.operators.model import linkable_roots
 from forum_signals.session import shared_dir
 from verification import base, forum_tables
 
@@ -52,3 +53,22 @@ def test_tokens_at_the_ends(spark):
     texts = spark.createDataFrame([("",), ("--",), ("a",), ("1a B2",), ("İx K",), (None,)], "t string")
     found = [r[0] for r in texts.select(text.tokenize(F.col("t"))).collect()]
     assert found == [[], [], ["a"], ["a", "b"], ["i", "x", "k"], []]
+
+
+def moved(df):
+    """Whether a plan moves rows of a table before it reads them."""
+    return "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("source", [base.forum, base.fresh_workspace])
+def test_rows_are_dealt_only_where_their_texts_are_read(spark, source):
+    tables = source(spark, SF_DIR)
+    assert moved(tables.answers)
+    assert not moved(linkable_roots(tables.posts))
+    assert not moved(tables.posts.where("PostTypeId = 2").agg(F.count("*")))
+
+
+def test_undealt_posts_are_the_same_rows(spark):
+    dealt, undealt = (forum_tables.posts(spark, SF_DIR, dealt=d) for d in (True, False))
+    assert dealt.schema == undealt.schema
+    assert dealt.exceptAll(undealt).isEmpty() and undealt.exceptAll(dealt).isEmpty()
