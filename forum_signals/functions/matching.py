@@ -3,8 +3,8 @@
 Regular expressions dominate the cost of the whole analysis, so three things keep them cheap
 without changing any result:
 
-* one expression with all phrases decides whether a text matches at all; the thirteen
-  category expressions are evaluated for the matching texts only;
+* one expression with all phrases finds the first phrase of a text, if there is any; if no other begins
+  after it, the thirteen category expressions are tried at that one place, and else from there on;
 * phrases are grouped by first word, so that most word starts are dismissed after one letter;
 * plain ASCII texts use Java's own word boundary; only the others need the Unicode one.
 """
@@ -12,7 +12,7 @@ without changing any result:
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +69,7 @@ def _by_first_word(fragments: Iterable[str]) -> tuple[str, str]:
 def ascii_regex(phrases: Iterable[str]) -> str:
     """For 7-bit text: case-insensitive, ``.`` stops at a line feed only."""
     letters, body = _by_first_word(_fill(p, ASCII_SPACE) for p in phrases)
-    return rf"(?id)(?=[{letters}])\b(?:{body})\b"
+    return rf"(?id)\b(?=[{letters}])(?:{body})\b"
 
 
 def unicode_regex(phrases: Iterable[str]) -> str:
@@ -78,11 +78,33 @@ def unicode_regex(phrases: Iterable[str]) -> str:
     return rf"(?iud)(?=[{letters}]){UNICODE_START}(?:{body}){UNICODE_BOUNDARY}"
 
 
+def _at_beginning(regex: str) -> str:
+    """The regex for the beginning of a text only; Java then tries no other place."""
+    flags, rest = re.match(r"(\(\?[a-z]+\))(.*)", regex, re.S).groups()
+    return rf"{flags}\A{rest}"
+
+
+def _either(ascii_only: Column, make: Callable[[Callable[[Iterable[str]], str]], Column]) -> Column:
+    """What ``make`` builds with the expressions for 7-bit text, or with those for any text."""
+    return F.when(ascii_only, make(ascii_regex)).otherwise(make(unicode_regex))
+
+
 def matches(text: Column, phrases: Iterable[str], ascii_only: Column | None = None) -> Column:
     """True where any of ``phrases`` occurs in ``text``."""
     phrases = tuple(phrases)
     ascii_only = is_ascii(text) if ascii_only is None else ascii_only
-    return F.when(ascii_only, text.rlike(ascii_regex(phrases))).otherwise(text.rlike(unicode_regex(phrases)))
+    return _either(ascii_only, lambda regex: text.rlike(regex(phrases)))
+
+
+def begins_with(text: Column, phrases: Iterable[str], ascii_only: Column) -> Column:
+    """True where ``text`` begins with any of ``phrases``."""
+    phrases = tuple(phrases)
+    return _either(ascii_only, lambda regex: text.rlike(_at_beginning(regex(phrases))))
+
+
+def from_first_phrase(text: Column, ascii_only: Column) -> Column:
+    """The text from its first phrase of any category on, or ''."""
+    return _either(ascii_only, lambda regex: F.regexp_extract(text, regex(ALL_PHRASES) + "(?s:.*)", 0))
 
 
 def contains_miscomm(text: Column) -> Column:
@@ -100,17 +122,21 @@ def with_flags(texts: DataFrame, text: Column, keep: Iterable[str]) -> DataFrame
     """``keep`` columns, ``has_miscomm`` and one ``cat_*`` column per category.
 
     Each step is its own projection, so that Catalyst computes the cleaned text, the ASCII
-    test and the any-phrase test once per row.
+    test and the search for the first phrase once per row. A phrase begins where the text from the
+    first one on begins, or after its first character, so nothing before that can change a category.
     """
-    keep = list(keep)
+    keep, ascii_only, rest = list(keep), F.col("_ascii"), F.col("_rest")
     cleaned = texts.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
     gated = cleaned.select(*keep, "_text", is_ascii(F.col("_text")).alias("_ascii"))
-    found = gated.select(
-        *keep, "_text", "_ascii", matches(F.col("_text"), ALL_PHRASES, F.col("_ascii")).alias(HAS_MISCOMM)
-    )
+    opened = gated.select(*keep, "_ascii", from_first_phrase(F.col("_text"), ascii_only).alias("_rest"))
+    found = opened.select(*keep, "_ascii", "_rest", (rest != "").alias(HAS_MISCOMM))
+    # cut after its first character the rest may begin within a word: that finds too much, never too little
+    later = matches(F.substr(rest, F.lit(2)), ALL_PHRASES, ascii_only)
+    found = found.select(*found.columns, F.when(F.col(HAS_MISCOMM), later).otherwise(False).alias("_several"))
     flags = [
-        F.when(F.col(HAS_MISCOMM), matches(F.col("_text"), phrases, F.col("_ascii")))
-        .otherwise(False)
+        F.when(~F.col(HAS_MISCOMM), False)
+        .when(F.col("_several"), matches(rest, phrases, ascii_only))
+        .otherwise(begins_with(rest, phrases, ascii_only))
         .alias(CATEGORY_PREFIX + name)
         for name, phrases in PHRASES.items()
     ]

@@ -104,3 +104,21 @@ def test_single_columns_agree_with_the_staged_form(spark):
     for row, staged in zip(rows.orderBy("id").collect(), flags_of(spark, texts)):
         assert row["any"] == staged["has_miscomm"]
         assert all(row[name] == staged[f"cat_{name}"] for name in PHRASES)
+
+
+def test_phrases_after_the_first_one(spark):
+    """Phrases within, right behind and far behind the first one count; letters cut off by it start none."""
+    texts = [
+        "which part", "which part how do i", "what do you mean by which one", "i can't tell if you're serious",
+        "if by is this for you mean", "i see now\nin what units", "xwhich part, i see now", "i see nowwhich part",
+        "so you're saying each", "ſo you're ſaying which one é", "éhow do i how do i", "i'm i'm serious", "do you mean all than what",
+    ]
+    assert_parity(spark, texts)
+    assert flags_of(spark, ["which part how do i"])[0]["cat_actionability"]
+
+
+def test_categories_are_tried_at_one_place(spark):
+    """A text with one phrase is not searched thirteen times: each category has an expression for a text's beginning."""
+    flagged = matching.with_flags(spark.createDataFrame([("which part",)], "text string"), F.col("text"), ["text"])
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?id)\A") == len(PHRASES) and plan.count(r"(?iud)\A") == len(PHRASES)

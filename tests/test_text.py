@@ -83,3 +83,18 @@ def test_safe_int(spark):
     assert column_of(spark, lambda c: safe_int(c, "int"), values) == [5, 5, 5, -5, 1000] + [None] * 7
     assert column_of(spark, lambda c: safe_int(c, "int", 0), values)[5:] == [0] * 7
     assert column_of(spark, lambda c: safe_int(c, "bigint"), ["99999999999"]) == [99999999999]
+
+
+def test_only_blanks_that_change_are_replaced(spark):
+    texts = ["a b", " a  b ", "\ta\tb\n", "a \tb", "a\t b", "a\x1cb \x1c c", "é\xa0a \xa0 b c d", "  ", "", "é  é é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = [r[0] for r in df.orderBy("id").select(text.collapse_whitespace(F.col("t"))).collect()]
+    assert found == [" ".join(t.split()) for t in texts]
+
+
+def test_markup_entities_take_the_short_way(spark):
+    texts = ["&amp;lt; &lt;b&gt; & &quot;", "&lt;&amp;", "&amp;quot;", "&quot;&lt;&#39;", "&nbsp;a", "a & b", "&copy;&lt;", "&amp"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").orderBy("id")
+    decoded = df.select(text.unescape_entities(F.col("t")).alias("t"))
+    assert [r[0] for r in decoded.collect()] == [unescape(t) for t in texts]
+    assert text._BEYOND_MARKUP in decoded._jdf.queryExecution().logical().toString()
