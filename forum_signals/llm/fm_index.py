@@ -56,12 +56,12 @@ def suffix_order(symbols: np.ndarray, longest: int) -> np.ndarray:
     n, ends = len(symbols), int((symbols == 0).sum())
     rank = symbols.astype(np.int64) + ends
     rank[symbols == 0] = np.arange(ends)
-    order, width = np.argsort(rank, kind="stable"), 1
+    order, width = np.argsort(rank), 1  # equal ones need no order of their own: in the end there are none
     while width <= longest:
         after = np.zeros(n, dtype=np.int64)
         after[:-width] = rank[width:] + 1 if width < n else 0
         key = rank * (n + ends + int(symbols.max(initial=0)) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, dtype=np.int64)
@@ -81,14 +81,30 @@ class FMIndex:
         counts = np.bincount(symbols, minlength=alphabet)
         self.smaller = np.cumsum(counts) - counts
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of equally long patterns (one per row), found from their last symbols backwards."""
-        low = np.zeros(len(patterns), dtype=np.int64)
-        high = np.full(len(patterns), len(self.order), dtype=np.int64)
+    def places(self) -> np.ndarray:
+        """Where the suffix of each position stands in the order."""
+        places = np.empty(len(self.order), dtype=np.int64)
+        places[self.order] = np.arange(len(self.order))
+        return places
+
+    def search(self, patterns: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of equally long patterns (one per row), found from their last symbols backwards.
+
+        ``own`` gives the place in the order of one occurrence of each pattern, if they are all known to occur: once an interval
+        holds a single suffix, the pattern's only occurrence is that one, and it needs no more steps.
+        """
+        low, high = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), len(self.order), dtype=np.int64)
+        live, first, last = np.arange(len(patterns)), low.copy(), high.copy()
         for place in range(patterns.shape[1] - 1, -1, -1):
-            symbol = patterns[:, place]
-            low = self.smaller[symbol] + self.wavelet.occurrences(symbol, low)
-            high = self.smaller[symbol] + self.wavelet.occurrences(symbol, high)
+            symbol = patterns[live, place]
+            first = self.smaller[symbol] + self.wavelet.occurrences(symbol, first)
+            last = self.smaller[symbol] + self.wavelet.occurrences(symbol, last)
+            if own is not None:
+                single = last - first == 1
+                known = live[single]
+                low[known], high[known] = own[known], own[known] + 1
+                live, first, last = live[~single], first[~single], last[~single]
+        low[live], high[live] = first, last
         return low, high
 
     def matching_statistics(self, symbols: np.ndarray, most: int) -> np.ndarray:

@@ -191,6 +191,25 @@ def test_components(spark):
     assert got == {n: least[root[n]] for e in real for n in e}
 
 
+def test_search_ends_at_a_single_occurrence(monkeypatch):
+    """The same intervals in fewer steps, for patterns of the indexed sequences themselves."""
+    rng = np.random.default_rng(9)
+    sequences = [rng.integers(1, 40, rng.integers(0, 30)) for _ in range(60)]
+    sequences += [sequences[5][:20], np.concatenate([sequences[7], sequences[7]]), np.ones(25, dtype=np.int64)]
+    symbols = np.concatenate([np.append(s, 0) for s in sequences])
+    index = FMIndex(symbols, 40, max(map(len, sequences)))
+    ends = np.cumsum([len(s) + 1 for s in sequences]) - 1
+    starts = np.concatenate([np.arange(e - len(s), e - 6) for s, e in zip(sequences, ends.tolist())])
+    patterns, steps = symbols[starts[:, None] + np.arange(7)], []
+    plain = index.search(patterns)
+    occurrences = index.wavelet.occurrences
+    monkeypatch.setattr(index.wavelet, "occurrences", lambda symbol, at: steps.append(len(at)) or occurrences(symbol, at))
+    found = index.search(patterns, index.places()[starts])
+    assert (found[0] == plain[0]).all() and (found[1] == plain[1]).all()
+    assert (plain[1] > plain[0]).all() and (plain[1] - plain[0]).max() > 1
+    assert sum(steps) < 2 * 7 * len(patterns) * 2 / 3
+
+
 def test_fm_index():
     rng = np.random.default_rng(3)
     sequences = [rng.integers(1, 6, rng.integers(1, 40)).tolist() for _ in range(60)]
