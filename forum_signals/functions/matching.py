@@ -124,11 +124,14 @@ def with_flags(texts: DataFrame, text: Column, keep: Iterable[str]) -> DataFrame
     Each step is its own projection, so that Catalyst computes the cleaned text, the ASCII
     test and the search for the first phrase once per row. A phrase begins where the text from the
     first one on begins, or after its first character, so nothing before that can change a category.
+
+    The text from the first phrase on comes from a generator of one row, which a condition on a flag stops at. Pushed further
+    down it would hold the whole cleaning once for every place where a step names it: tens of megabytes of plan.
     """
     keep, ascii_only, rest = list(keep), F.col("_ascii"), F.col("_rest")
     cleaned = texts.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
     gated = cleaned.select(*keep, "_text", is_ascii(F.col("_text")).alias("_ascii"))
-    opened = gated.select(*keep, "_ascii", from_first_phrase(F.col("_text"), ascii_only).alias("_rest"))
+    opened = gated.select(*keep, "_ascii", F.explode_outer(F.array(from_first_phrase(F.col("_text"), ascii_only))).alias("_rest"))
     found = opened.select(*keep, "_ascii", "_rest", (rest != "").alias(HAS_MISCOMM))
     # cut after its first character the rest may begin within a word: that finds too much, never too little
     later = matches(F.substr(rest, F.lit(2)), ALL_PHRASES, ascii_only)

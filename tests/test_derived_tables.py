@@ -72,3 +72,9 @@ def test_undealt_posts_are_the_same_rows(spark):
     dealt, undealt = (forum_tables.posts(spark, SF_DIR, dealt=d) for d in (True, False))
     assert dealt.schema == undealt.schema
     assert dealt.exceptAll(undealt).isEmpty() and undealt.exceptAll(dealt).isEmpty()
+
+
+def test_parts_of_answers_are_never_broadcast(spark):
+    """However small their file is."""
+    plan = forum_tables.line_answers(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

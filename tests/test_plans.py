@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forum_fixture import forum
-from forum_signals.functions import matching
+from forum_signals.functions import matching, text
 from forum_signals.operators import flags, model, sampling, topics
 from forum_signals.plans.forum import Forum
 from forum_signals.sources.schemas import COMMENTS, POSTS, TAGS
@@ -43,6 +43,14 @@ def test_texts_are_matched_once_and_never_shuffled(stored):
     assert plan.count("partial_max(has_miscomm") == 2
 
 
+def test_a_condition_on_a_flag_repeats_no_cleaning(stored):
+    """The plan stays as long as without the condition; pushed down, it held the cleaning once per use of its steps."""
+    flagged = stored.answers_flagged
+    plan, chosen = (physical(df) for df in (flagged, flags.flagged_only(flagged, "cat_epistemic").select("answer_id")))
+    assert 0 < chosen.count(text.CODE_BLOCK) <= plan.count(text.CODE_BLOCK)
+    assert len(chosen) <= len(plan)
+
+
 def test_jobs_never_shuffle_the_text_of_linked_comments(stored):
     """Counting the view moves ids only, and the flags of linked comments are moved in place of their text."""
     counted = physical(row_counts({"comments_enriched": model.comments_enriched(stored.comments, stored.posts)}))
