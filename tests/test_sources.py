@@ -1,7 +1,10 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from forum_signals.functions.casts import safe_int
+from forum_signals.session import LEAN_WRITES
 from forum_signals.sources import dump, norms, tables
 from forum_signals.sources.schemas import COMMENTS, POSTS, enforce
 from verification.dump_writer import write_dump
@@ -224,3 +227,49 @@ def test_the_written_dump_is_compressed(spark, tmp_path):
     assert sum(f.stat().st_size for f in path.glob("part-*")) < 5000 * 40
     rows = {tuple(r) for r in dump.read_dump_rows(spark, str(path), COMMENTS).collect()}
     assert rows == {tuple(r) for r in texts.collect()}
+
+
+def size(path):
+    return sum(f.stat().st_size for f in path.glob("part-*"))
+
+
+def test_the_written_dump_is_smaller_than_with_lz4(spark, tmp_path):
+    posts = spark.range(20_000).selectExpr(
+        "id * 7919 as Id", "id % 2000 as PostId", "concat('<p>anodized brass ', id % 150, ' &amp; which one</p>') as Text",
+    )
+    write_dump(posts.coalesce(1), str(tmp_path / "Comments.xml"))
+    spark.read.text(str(tmp_path / "Comments.xml")).write.option("compression", "lz4").text(str(tmp_path / "lz4"))
+    assert 0 < size(tmp_path / "Comments.xml") < 0.8 * size(tmp_path / "lz4")
+    assert dump.read_dump_rows(spark, str(tmp_path / "Comments.xml"), COMMENTS).count() == 20_000
+
+
+def shuffled(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in blocks.mkString(",").split(",") if name.startswith("shuffle_")}
+
+
+def test_writes_keep_no_shuffle_files(spark, tmp_path):
+    """They go at once, not with the driver's next garbage, and the session's settings are as before."""
+    rows = spark.range(1000).selectExpr("id as Id", "cast(id % 3 as string) as Text").repartition(4, "Id")
+    settings = {key: spark.conf.get(key, None) for key in LEAN_WRITES}
+    before = shuffled(spark)
+    write_dump(rows, str(tmp_path / "Comments.xml"))
+    kept = tables.write_table(rows, str(tmp_path / "kept"))
+    end = time.time() + 10
+    while shuffled(spark) - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled(spark) - before
+    assert kept.count() == dump.read_dump_rows(spark, str(tmp_path / "Comments.xml"), COMMENTS).count() == 1000
+    assert settings == {key: spark.conf.get(key, None) for key in LEAN_WRITES}
+
+
+@pytest.mark.parametrize("kinds", [3, 20])
+def test_posts_are_written_by_type_unsorted(spark, tmp_path, kinds):
+    """So that no task spills its texts; with more types than files held open the rows are the same."""
+    posts = spark.range(500).selectExpr("id as Id", f"cast(id % {kinds} as byte) as PostTypeId", "'x' as Body")
+    kept = tables.write_table(posts, str(tmp_path / "posts"), partition_by="PostTypeId")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [p for p in (runs.apply(i).physicalPlanDescription() for i in range(runs.size())) if f"{tmp_path}/posts" in p and "Insert" in p]
+    assert plans and "Sort" not in plans[-1]
+    assert sorted((r.Id, r.PostTypeId) for r in kept.collect()) == [(i, i % kinds) for i in range(500)]
